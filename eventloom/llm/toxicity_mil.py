@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning (operator 9).
 
-A document is a bag of sentences. A sentence's logit is a bias plus the weights of its hashed lower-case words; the
+A document is a bag of sentences. A sentence's logit is a bias plus the weights of its hashed lower-case words and their stems; the
 document's score is the noisy-or of its sentences, ``1 - prod(1 - p_sentence)``. Only documents have labels: the
 gradient of the document's loss is shared out among its sentences, so the model finds the offending ones itself.
 Sentences end at ``. ! ?`` and line ends.
@@ -22,23 +22,35 @@ from pyspark.sql import functions as F
 from ._common import stratified_sample
 from .textfeat import LOWER, WORD, mix, slices, span_hashes, word_spans
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
+#: Beside its whole form a word is known by its first bytes, so inflected forms share weight.
+STEMS = (4, 5)
 SENTENCE = np.ones(256, bool)
 SENTENCE[[10, 33, 46, 63]] = False
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
 
 def bags(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Bucket and sentence of each word; first and end byte and row of each sentence."""
+    """Bucket and sentence of each word and stem; first and end byte and row of each sentence."""
     raw = LOWER[raw]
     s0, s1 = word_spans(raw, at, SENTENCE)
     w0, w1 = word_spans(raw, at, WORD)
-    bucket = (span_hashes(raw, w0, w1) & np.uint64(BUCKETS - 1)).astype(np.int64)
-    return bucket, np.searchsorted(s0, w0, "right") - 1, s0, s1, np.searchsorted(at, s0, "right") - 1
+    sentence = np.searchsorted(s0, w0, "right") - 1
+    features = [span_hashes(raw, w0, w1)]
+    for n in STEMS:
+        features.append(mix(span_hashes(raw, w0, np.minimum(w1, w0 + n)) + np.uint64(n)))
+    bucket = (np.stack(features, axis=1).ravel() & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return bucket, np.repeat(sentence, len(features)), s0, s1, np.searchsorted(at, s0, "right") - 1
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 160, rate: float = 0.1, decay: float = 1e-4, least: int = 4) -> tuple[np.ndarray, float]:
-    """Word weights and bias by Adam on the mean document loss. Buckets of fewer than ``least`` documents keep weight 0."""
+def train(texts: list[str], y: np.ndarray, steps: int = 160, rate: float = 0.1, decay: float = 1e-2, least: int = 4, screen: float = 4.0, clean_weight: float = 3.0) -> tuple[np.ndarray, float]:
+    """Word weights and bias by Adam on the mean document loss, where a clean document weighs ``clean_weight``.
+
+    Equal texts count once. Words in fewer than ``least`` documents, or not in ``screen`` standard deviations more toxic
+    documents than chance puts there, keep weight 0: they could only be learned by heart.
+    """
+    first = {t: k for k, t in reversed([*enumerate(texts)])}
+    texts, y = list(first)[::-1], np.asarray(y)[[*first.values()][::-1]] if len(texts) else np.zeros(0)
     weights = np.zeros(BUCKETS)
     if not len(texts) or y.min() == y.max():
         return weights, (30.0 if len(texts) and y.min() == 1 else -800.0)
@@ -48,11 +60,15 @@ def train(texts: list[str], y: np.ndarray, steps: int = 160, rate: float = 0.1,
         parts.append((bucket, sentence + first_sentence, row + first_row))
         first_sentence, first_row = first_sentence + len(s0), first_row + j - i
     bucket, sentence, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-    in_doc = np.unique(row[sentence] * BUCKETS + bucket) % BUCKETS
-    common = np.bincount(in_doc, minlength=BUCKETS) >= least
-    bucket, sentence = bucket[common[bucket]], sentence[common[bucket]]
-    n, bias = len(y), -5.0
-    weight_of = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum()))) / n
+    in_doc = np.unique(row[sentence] * BUCKETS + bucket)
+    seen, n = np.bincount(in_doc % BUCKETS, minlength=BUCKETS), len(y)
+    seen_toxic = np.bincount(in_doc % BUCKETS, y[in_doc // BUCKETS], minlength=BUCKETS)
+    rate_toxic = y.mean()
+    surprise = (seen_toxic - seen * rate_toxic) / np.sqrt(np.maximum(seen * rate_toxic * (1 - rate_toxic), 1e-9))
+    kept = (seen >= least) & (surprise >= screen)
+    bucket, sentence = bucket[kept[bucket]], sentence[kept[bucket]]
+    bias = -5.0
+    weight_of = np.where(y == 1, 1.0, clean_weight) / n
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for t in range(1, steps + 1):
         z = np.clip(bias + np.bincount(sentence, weights[bucket], minlength=first_sentence), -30, 30)
@@ -102,7 +118,7 @@ def score_batch(column: pa.Array, weights: np.ndarray, bias: float, located: flo
 def score_toxicity(documents: DataFrame, model: tuple[np.ndarray, float], located: float = 0.5) -> DataFrame:
     """``doc_id``, ``score`` and ``offending``: spans (code points) and scores of the sentences at or above ``located``."""
     weights, bias = model
-    given = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # fixed size: 512 KB
+    given = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # fixed size: 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
