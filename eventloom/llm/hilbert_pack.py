@@ -1,8 +1,8 @@
 """Packing along a space-filling curve (operator 7).
 
 Each document becomes the ids of its text and a closing id; a hashed histogram of the ids, projected to three
-dimensions, gives its Hilbert key. Documents are range-sorted by (key, salt), so a group of copies with one key is
-spread over as many partitions as it needs, and written once with their ids. Prefix sums over the partitions' totals
+dimensions, gives its Hilbert key. Documents are range-sorted by the key and a salt below it, so a group of copies with one
+key is spread over as many partitions as it needs, and written once with their ids. Prefix sums over the partitions' totals
 then give every id a place in one gapless stream along the curve, which is cut every ``size`` ids: neighbours on the
 curve share sequences and only the last sequence is short.
 
@@ -13,6 +13,7 @@ documents. An empty table gives no pieces. Very long texts span as many sequence
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,38 +27,74 @@ from ._common import materialize
 from .textfeat import mix, slices
 
 DIMS, BITS, HASHED = 3, 10, 64
-#: Whitespace-separated chunks whose ids a worker remembers at most.
-REMEMBERED = 300_000
+#: Whitespace-separated chunks and words whose ids a worker remembers at most.
+CHUNKS, WORDS = 300_000, 400_000
+#: Pieces that the tokenizer takes one by one, in texts of ASCII and accented Latin letters.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e0-9]+")
+#: What those texts consist of, lower-cased; any other chunk goes to the tokenizer whole.
+SIMPLE = re.compile(r"[!-;=-~\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e]+")
 _workers: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Ids of texts for tokenizers that drop white space, chunk by chunk, with a bounded memory of chunks."""
+    """Ids of texts for tokenizers that drop white space and mark word ends, with a bounded memory of chunks and words.
+
+    Texts are split at ASCII white space. A new chunk is cut into the pieces that the tokenizer would merge separately,
+    and only pieces not seen before are encoded, many at a time: the word-end mark on ids tells them apart again.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
+
+    def learn_words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(part):  # not one piece a word: encode one by one
+                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                    self.words[w] = np.array(e.ids, "<u4").tobytes()
+                continue
+            raw, last = ids.tobytes(), (4 * last).tolist()
+            self.words.update(zip(part, [raw[p:q] for p, q in zip([0, *last], last, strict=False)], strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > REMEMBERED:
+        if len(self.known) + len(chunks) > CHUNKS:
             self.known = {}
         new = [c for c in chunks if c not in self.known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        cut, whole, fresh = {}, [], set()
+        for c in new:
+            t = c.decode().lower()
+            if SIMPLE.fullmatch(t) and c.isascii() | (len(t) == len(c.decode())):
+                cut[c] = pieces = PIECES.findall(t)
+                fresh.update(pieces)
+            else:
+                whole.append(c)
+        if len(self.words) + len(fresh) > WORDS:
+            self.words = {}
+        words = self.words
+        self.learn_words([w for w in fresh if w not in words])
+        for c, pieces in cut.items():
+            self.known[c] = b"".join([words[w] for w in pieces])
+        for c, e in zip(whole, self.tokenizer.encode_batch([c.decode() for c in whole], add_special_tokens=False) if whole else [], strict=True):
+            self.known[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split, stop = [t.split() for t in texts], end.to_bytes(4, "little")
         try:
             known = self.known
-            return [b"".join([known[c] for c in s]) + end.to_bytes(4, "little") for s in split]
+            return [b"".join([known[c] for c in s]) + stop for s in split]
         except KeyError:
             self.learn({c for s in split for c in s})
             known = self.known
-            return [b"".join([known[c] for c in s]) + end.to_bytes(4, "little") for s in split]
+            return [b"".join([known[c] for c in s]) + stop for s in split]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -109,9 +146,13 @@ def curve_keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hilbert_key(np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def encode_documents(documents: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
-    """``doc_id``, ``key``, ``salt`` and ``ids`` (little-endian unsigned 32-bit) of every row."""
+def encode_documents(documents: DataFrame, tokenizer_path: str, end: int, bounds: np.ndarray | None = None) -> DataFrame:
+    """``doc_id``, ``place``, ``part`` and ``ids`` (little-endian unsigned 32-bit) of every row.
+
+    ``place`` is the Hilbert key with a salt below it, ``part`` the interval of ``bounds`` that holds it.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
+    bounds = np.zeros(0, np.int64) if bounds is None else bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, salt = encoder(tokenizer_path), TaskContext.get().partitionId() << 34
@@ -121,10 +162,26 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end: int) -> Dat
                 ids = enc.encode([data[p:q] for p, q in zip(at[:-1], at[1:], strict=True)], end)
                 sizes = np.cumsum([0, *(len(x) // 4 for x in ids)])
                 keys = curve_keys(np.frombuffer(b"".join(ids), "<u4"), sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys), pa.array(mix(np.arange(salt, salt + j - i, dtype=np.uint64)).astype(np.int64)), pa.array(ids, pa.binary())], names=["doc_id", "key", "salt", "ids"])
+                place = (keys << 32) | (mix(np.arange(salt, salt + j - i, dtype=np.uint64)) >> np.uint64(32)).astype(np.int64)
                 salt += j - i
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(place), pa.array(np.searchsorted(bounds, place).astype(np.int32)), pa.array(ids, pa.binary())], names=["doc_id", "place", "part", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, salt long, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place long, part int, ids binary")
+
+
+def range_bounds(documents: DataFrame, tokenizer_path: str, end: int, parts: int, least: int = 4000) -> np.ndarray:
+    """Places that cut the curve into ``parts`` intervals of about equally many ids, from a sample of at least ``least`` rows and twenty a part.
+
+    Encoding is the dear step, so the sample alone is encoded twice, not all rows.
+    """
+    rows = documents.count()
+    share = min(1.0, max(least, 20 * parts) / max(1, rows))
+    some = documents if share == 1 else documents.sample(fraction=share, seed=1)
+    found = encode_documents(some, tokenizer_path, end).select("place", F.octet_length("ids").alias("n")).orderBy("place").toPandas()
+    if not len(found):
+        return np.zeros(0, np.int64)
+    upto = found["n"].cumsum().to_numpy()
+    return found["place"].to_numpy()[np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)]
 
 
 def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end: int = 1) -> DataFrame:
@@ -139,7 +196,9 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end: int =
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part)), pa.array(first), pa.array(n), b.column(1)], names=["doc_id", "part", "first", "n", "ids"])
 
-    along = encode_documents(documents, tokenizer_path, end).repartitionByRange("key", "salt").sortWithinPartitions("key", "salt").select("doc_id", "ids")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(documents, tokenizer_path, end, parts)
+    along = encode_documents(documents, tokenizer_path, end, bounds).repartitionById(parts, F.col("part")).sortWithinPartitions("place").select("doc_id", "ids")
     placed = materialize(along.mapInArrow(place, f"doc_id {kind}, part long, first long, n long, ids binary"), "packed")
     before, total = {}, 0
     for r in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row a partition
