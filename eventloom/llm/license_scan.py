@@ -19,17 +19,24 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-# Names and wording of common licences' notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. Creative Commons Attribution-NonCommercial 4.0 International.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Released under the BSD License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "proprietary": "All rights reserved.",
-}
+# Names and wording of common licences' headers and files.
+TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", "Released under the BSD License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("proprietary", "All rights reserved."),
+)
 LINE = r"(?i)(licen[sc]|copyright|rights reserved|spdx|permission is hereby|redistribution and use|creative commons)"
 
 
@@ -43,7 +50,7 @@ def license_lines(text: Column) -> Column:
     return F.when(text.rlike(LINE), lines).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.6) -> DataFrame:
+def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """``file, line, license, cosine`` of the best template of each candidate line at or above ``threshold``.
 
     ``files`` has ``file`` and ``text``. Equal lines are scored once, so a header that a third of all files carries is
@@ -53,26 +60,26 @@ def own_licenses(files: DataFrame, templates: dict[str, str] | None = None, thre
     lines = files.select("file", F.explode(license_lines(F.col("text"))).alias("line"))
     lines = materialize(lines.select("file", F.trim("line").alias("line")), "license_lines")
     distinct = materialize(lines.groupBy("line").agg(F.count("*").alias("n")), "license_distinct")
-    known = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, template string")
+    known = spark.createDataFrame(list(templates), "license string, template string")
     terms = distinct.select("line", "n", F.explode(words(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
-    notices = known.select("license", F.explode(words(F.col("template"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
+    notices = known.select("license", "template", F.explode(words(F.col("template"))).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("tf"))
     total = distinct.agg(F.sum("n").alias("n")).select(F.coalesce("n", F.lit(0)).alias("total"))
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))
     n = total.first()["total"]
     idf = F.log((F.lit(n) + 2) / (F.coalesce("df", F.lit(0)) + 1)) + 0.2
     x = terms.join(df, "term").select("line", "term", (F.sqrt("tf") * idf).alias("x"))
-    y = notices.join(df, "term", "left").select("license", "term", (F.sqrt("tf") * idf).alias("y"))
+    y = notices.join(df, "term", "left").select("license", "template", "term", (F.sqrt("tf") * idf).alias("y"))
     # Dots and norms are sums of rounded decimals, so their order does not matter.
     dec = lambda c: c.cast("decimal(28,12)")
     nx = x.groupBy("line").agg(F.sqrt(F.sum(dec(F.col("x") * F.col("x"))).cast("double")).alias("nx"))
-    ny = y.groupBy("license").agg(F.sqrt(F.sum(dec(F.col("y") * F.col("y"))).cast("double")).alias("ny"))
-    dot = x.join(F.broadcast(y), "term").groupBy("line", "license").agg(F.sum(dec(F.col("x") * F.col("y"))).cast("double").alias("dot"))  # the templates are a fixed list
-    scored = dot.join(nx, "line").join(F.broadcast(ny), "license").select("line", "license", F.round(F.col("dot") / (F.col("nx") * F.col("ny")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    ny = y.groupBy("license", "template").agg(F.sqrt(F.sum(dec(F.col("y") * F.col("y"))).cast("double")).alias("ny"))
+    dot = x.join(F.broadcast(y), "term").groupBy("line", "license", "template").agg(F.sum(dec(F.col("x") * F.col("y"))).cast("double").alias("dot"))  # the templates are a fixed list
+    scored = dot.join(nx, "line").join(F.broadcast(ny), ["license", "template"]).select("line", "license", F.round(F.col("dot") / (F.col("nx") * F.col("ny")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
     ranked = scored.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("line", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
     return lines.join(materialize(ranked, "license_best"), "line").select("file", "line", "license", "cosine")
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.6) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
     """``file, path, license, cosine, how, declared_in`` of every row of ``files`` (``file, path, text``).
 
     ``how`` is ``own``, ``inherited`` or ``none``. The own licence of a file with several is the one of highest cosine.

@@ -102,7 +102,7 @@ def score_batch(column: pa.Array, weights: np.ndarray, bias: float, located: flo
         bucket, sentence, s0, s1, row = bags(raw, at)
         has = np.bincount(sentence, minlength=len(s0)) > 0
         z = np.clip(bias + np.bincount(sentence, weights[bucket], minlength=len(s0)), -700, 30)
-        p = np.where(has, 1 / (1 + np.exp(-z)), 0.0)
+        p = np.where(has & (z > -700), 1 / (1 + np.exp(-z)), 0.0)
         scores.append(-np.expm1(np.bincount(row, np.log1p(-p), minlength=j - i)))
         out: list[list[dict]] = [[] for _ in range(j - i)]
         hits = np.flatnonzero(p >= located)
