@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .textfeat import mix, slices
 
 DIMS, BITS, HASHED = 3, 10, 64
 #: Whitespace-separated chunks and words whose ids a worker remembers at most.
-CHUNKS, WORDS = 300_000, 400_000
+CHUNKS, WORDS = 400_000, 700_000
 #: Pieces that the tokenizer takes one by one, in texts of ASCII and accented Latin letters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e0-9]+")
 #: What those texts consist of, lower-cased; any other chunk goes to the tokenizer whole.
@@ -66,35 +67,38 @@ class ChunkEncoder:
             self.words.update(zip(part, [raw[p:q] for p, q in zip([0, *last], last, strict=False)], strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > CHUNKS:
-            self.known = {}
-        new = [c for c in chunks if c not in self.known]
-        cut, whole, fresh = {}, [], set()
-        for c in new:
-            t = c.decode().lower()
-            if SIMPLE.fullmatch(t) and c.isascii() | (len(t) == len(c.decode())):
+        """Makes all of ``chunks`` known. When the memory is full, only what this batch uses is kept: mostly the frequent ones."""
+        new = chunks.difference(self.known)
+        if len(self.known) + len(new) > CHUNKS:
+            self.known = {c: self.known[c] for c in chunks if c in self.known}
+        plain = [c for c in new if c.isalpha()]  # ASCII letters only: one piece
+        stopped = [c for c in new if c[-1] in b".," and c[:-1].isalpha()]  # and a full stop or comma: two
+        lower = [c.decode().lower() for c in plain]
+        heads = [c[:-1].decode().lower() for c in stopped]
+        cut, whole, fresh = {}, [], {".", ",", *lower, *heads}
+        for c in new.difference(plain, stopped):
+            given = c.decode()
+            t = given.lower()
+            if len(t) == len(given) and SIMPLE.fullmatch(t):
                 cut[c] = pieces = PIECES.findall(t)
                 fresh.update(pieces)
             else:
                 whole.append(c)
         if len(self.words) + len(fresh) > WORDS:
-            self.words = {}
-        words = self.words
-        self.learn_words([w for w in fresh if w not in words])
-        for c, pieces in cut.items():
-            self.known[c] = b"".join([words[w] for w in pieces])
+            self.words = {w: self.words[w] for w in fresh if w in self.words}
+        words, known = self.words, self.known
+        self.learn_words([*fresh.difference(words)])
+        known.update(zip(plain, map(words.__getitem__, lower), strict=True))
+        known.update((c, words[h] + words[chr(c[-1])]) for c, h in zip(stopped, heads, strict=True))
+        known.update((c, b"".join([words[w] for w in pieces])) for c, pieces in cut.items())
         for c, e in zip(whole, self.tokenizer.encode_batch([c.decode() for c in whole], add_special_tokens=False) if whole else [], strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+            known[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         split, stop = [t.split() for t in texts], end.to_bytes(4, "little")
-        try:
-            known = self.known
-            return [b"".join([known[c] for c in s]) + stop for s in split]
-        except KeyError:
-            self.learn({c for s in split for c in s})
-            known = self.known
-            return [b"".join([known[c] for c in s]) + stop for s in split]
+        self.learn(set().union(*split))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, s)) + stop for s in split]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -191,7 +195,7 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end: int =
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = np.array([len(x) // 4 for x in b.column(1).to_pylist()], np.int64)
+            n = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // 4
             first = before + np.cumsum(n) - n
             before += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part)), pa.array(first), pa.array(n), b.column(1)], names=["doc_id", "part", "first", "n", "ids"])
