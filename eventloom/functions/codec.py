@@ -45,10 +45,14 @@ def decode_vector_blob():
 
 
 def source_hash(event_ids, entity_ids):
-    """One row: sha256 over the sorted event ids, ``---`` and the sorted entity ids, a line each.
+    """One row, ``source_hash``: a digest of both id sets that no task has to see whole.
 
-    The digest is of the whole list by definition, so the ids (not the rows) meet in one task; ids of 10^8 events are
-    a few GB, beyond which a digest by domain partition should be recorded instead.
+    Ids fall into 4096 buckets by their own hash; each bucket's sorted ids, a line each, are digested, and the sorted
+    bucket digests of events, ``---`` and those of entities give the result.
     """
-    lines = lambda df: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: F.concat(x.cast("string"), F.lit("\n"))), "").alias("text"))
-    return lines(event_ids).withColumnRenamed("text", "e").crossJoin(lines(entity_ids).withColumnRenamed("text", "n")).select(F.sha2(F.concat("e", F.lit("---\n"), "n"), 256).alias("source_hash"))
+    def digests(df, kind: str):
+        ids = df.select(F.col("id").cast("string").alias("id"))
+        each = ids.groupBy(F.substring(F.sha2("id", 256), 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("digest"))
+        return each.agg(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", F.lit(":"), "digest"))), "\n").alias(kind))  # 4096 lines at most
+
+    return digests(event_ids, "e").crossJoin(digests(entity_ids, "n")).select(F.sha2(F.concat("e", F.lit("\n---\n"), "n"), 256).alias("source_hash"))

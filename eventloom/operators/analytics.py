@@ -43,12 +43,13 @@ def cooccurring(g: EventGraph, entity_ids: list, events: DataFrame | None = None
 def cooccurrence_edges(participation: DataFrame, least: int = 2, below: int = 50) -> DataFrame:
     """``a_id, b_id, event_count`` over events of ``least`` to ``below - 1`` entities.
 
-    An event's entities are gathered into one array (bounded by ``below``), so pairs are made row by row after a single
-    shuffle on the event, and the counts combine map-side before the second.
+    Events are counted first, so an event of very many entities is never gathered; of the others, at most ``below`` ids
+    form one array, pairs are made row by row, and their counts combine map-side.
     """
-    sizes = participation.select("event_id", "entity_id").distinct().groupBy("event_id").agg(F.count("*").alias("n"), F.collect_list("entity_id").alias("all"))
-    few = sizes.where((F.col("n") >= least) & (F.col("n") < below)).select(F.array_sort("all").alias("all"))
-    pairs = few.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("a_id"), y.alias("b_id")))))).alias("p"))
+    part = participation.select("event_id", "entity_id").distinct()
+    few = part.groupBy("event_id").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") < below)).select("event_id")
+    whole = part.join(few, "event_id", "left_semi").groupBy("event_id").agg(F.array_sort(F.collect_list("entity_id")).alias("all"))
+    pairs = whole.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("a_id"), y.alias("b_id")))))).alias("p"))
     return pairs.groupBy("p.a_id", "p.b_id").agg(F.count("*").alias("event_count"))
 
 
