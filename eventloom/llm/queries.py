@@ -28,10 +28,13 @@ def held_out(modulus: int, rest: int):
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are documents; a document's path is ``source/lang/<hundreds of its id>/<id>.txt``."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan.scan_licenses(docs.select(F.col("doc_id").alias("file"), path.alias("path"), "text")).withColumnRenamed("file", "doc_id")
+    """Files are documents, in folders of their source, its languages and hundreds of ids: every fiftieth id stands in the
+    source's own folder, every other tenth in the language's, the rest below."""
+    docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    source, lang = F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))
+    folder = F.when(i % 50 == 0, source).when(i % 10 == 0, F.concat_ws("/", source, lang)).otherwise(F.concat_ws("/", source, lang, F.floor(i / 100).cast("string")))
+    path = F.concat(folder, F.lit("/"), i.cast("string"), F.lit(".txt"))
+    return license_scan.scan_licenses(docs.select(i.alias("file"), path.alias("path"), "text")).withColumnRenamed("file", "doc_id")
 
 
 def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL expresses."""
-    return {"op2_pivot_search": OP2_SQL}
+    return {"op1_license_scan": op1_sql(), "op2_pivot_search": OP2_SQL}
 
 
 OP2_SQL = """
@@ -103,3 +106,34 @@ with v as (
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """
+
+
+def op1_sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    notices = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in license_scan.TEMPLATES)
+    return f"""
+with files as (
+  select doc_id, coalesce(source, '-') || case when doc_id % 50 = 0 then '' else '/' || coalesce(lang, '-') || case when doc_id % 10 = 0 then '' else '/' || cast(floor(doc_id / 100) as bigint) end end as dir, doc_id || '.txt' as name, text from documents
+), lines as (
+  select doc_id, trim(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line from files) where regexp_matches(line, {quote(license_scan.LINE)})
+), di as (select line, count(*) as n from lines group by 1),
+terms as (select line, n, term, count(*) as tf from (select line, n, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) as term from di) where term <> '' group by 1, 2, 3),
+known(license, template) as (values {notices}),
+notices as (select license, template, term, count(*) as tf from (select license, template, unnest(regexp_split_to_array(lower(template), '[^a-z0-9]+')) as term from known) where term <> '' group by 1, 2, 3),
+df as (select term, sum(n) as df from terms group by 1), total as (select coalesce(sum(n), 0) as total from di),
+x as (select line, term, sqrt(tf) * (ln((total + 2) / (df + 1)) + 0.2) as x from terms join df using (term), total),
+y as (select license, template, term, sqrt(tf) * (ln((total + 2) / (coalesce(df, 0) + 1)) + 0.2) as y from notices left join df using (term), total),
+nx as (select line, sqrt(cast(sum(cast(x * x as decimal(28, 12))) as double)) as nx from x group by 1),
+ny as (select license, template, sqrt(cast(sum(cast(y * y as decimal(28, 12))) as double)) as ny from y group by 1, 2),
+dots as (select line, license, template, cast(sum(cast(x * y as decimal(28, 12))) as double) as dot from x join y using (term) group by 1, 2, 3),
+scored as (select line, license, round(dot / (nx * ny), 6) as cosine from dots join nx using (line) join ny using (license, template)),
+best as (select line, license, cosine from scored where cosine >= 0.6 qualify row_number() over (partition by line order by cosine desc, license) = 1),
+own as (select doc_id, license, cosine from lines join best using (line) qualify row_number() over (partition by doc_id order by cosine desc, license) = 1),
+votes as (select dir, license, count(*) as n, sum(cast(cosine as decimal(28, 6))) as c from files join own using (doc_id) group by 1, 2),
+declared as (select dir as ancestor, license as inherited from votes qualify row_number() over (partition by dir order by n desc, c / n desc, license) = 1),
+dirs as (select distinct dir, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1), lambda k: array_to_string(string_split(dir, '/')[1:k], '/'))) as ancestor from files),
+near as (select dir, ancestor as declared_in, inherited from dirs join declared using (ancestor) qualify row_number() over (partition by dir order by length(ancestor) desc) = 1)
+select doc_id, dir || '/' || name as path, coalesce(license, inherited) as license, cosine,
+  case when license is not null then 'own' when inherited is not null then 'inherited' else 'none' end as how, case when license is null then declared_in end as declared_in
+from files left join own using (doc_id) left join near using (dir)
+"""
