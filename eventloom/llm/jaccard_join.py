@@ -6,9 +6,9 @@ similar sets of sizes m and n share at least ``need(m, n)`` n-grams, so if each
 n-grams (its head), they share at least ``k`` of those. Heads are inverted to lists of (class, size, position).
 
 Index-level skipping: a list is sorted by size and held in blocks; block pairs whose sizes or positions rule a link out
-are skipped whole. Answer-level skipping: first every class is joined to the first class of its lists, its best leader is
-verified, and those answers are taken over: classes already connected need no further comparison, so a group of near
-copies costs a star, not all its pairs. Then pairs across components with enough shared head n-grams are verified
+are skipped whole. Answer-level skipping: first every class is verified against a few leaders, the first
+classes of its lists, and those answers are taken over: classes already connected need no further comparison, so a group
+of near copies costs a few stars, not all its pairs. Then pairs across components with enough shared head n-grams are verified
 against whole texts.
 
 Defined cases: texts without words, and null texts, have empty sets, link with nothing and are their own component.
@@ -35,6 +35,8 @@ from .textfeat import LOWER, SPACED, mix, slices, span_hashes, word_spans
 #: An n-gram counts as frequent from so many documents on, counted in runs of CHUNK n-grams where it occurs LOCAL times.
 FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 48, 6, 4_000_000, 250_000
 BLOCK = 1024
+#: A class is verified against at most so many leaders of its lists before the rest is searched.
+LEADERS = 8
 
 
 def sets_of(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +120,10 @@ def shown(size, percent: int):
 
 
 def heads(documents: DataFrame, often: DataFrame, n: int, percent: int) -> DataFrame:
-    """Postings ``gram, fp, size, pos`` of the heads of all classes that can link; a task sends a class once."""
+    """Postings ``gram, fp, size, pos, rare`` of the heads of all classes that can link; a task sends a class once.
+
+    ``rare`` is how many of the class's n-grams are not frequent; they come first, so a posting from there on is frequent.
+    """
     top = often.orderBy(F.desc("df"), "gram").limit(MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT pairs of numbers
     known = documents.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(np.int64), top["df"].to_numpy(np.float64)))
 
@@ -146,14 +151,15 @@ def heads(documents: DataFrame, often: DataFrame, n: int, percent: int) -> DataF
                     k = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
                     rank = np.where(grams[k] == gram, tier[k] + 1, 0)
                     o = np.lexsort((gram, rank, row))
-                    gram, row = gram[o], row[o]
+                    gram, row, rank = gram[o], row[o], rank[o]
+                rare = np.bincount(row[rank == 0], minlength=len(size))
                 start = np.searchsorted(row, row)
                 pos = np.arange(len(row)) - start
                 head, _ = shown(size, percent)
                 on = pos < head[row]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[on].view(np.int64)), pa.array(fp[row[on]].view(np.int64)), pa.array(size[row[on]].astype(np.int32)), pa.array(pos[on].astype(np.int32))], names=["gram", "fp", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[on].view(np.int64)), pa.array(fp[row[on]].view(np.int64)), pa.array(size[row[on]].astype(np.int32)), pa.array(pos[on].astype(np.int32)), pa.array(rare[row[on]].astype(np.int32))], names=["gram", "fp", "size", "pos", "rare"])
 
-    return documents.select("text").mapInArrow(run, "gram long, fp long, size int, pos int")
+    return documents.select("text").mapInArrow(run, "gram long, fp long, size int, pos int, rare int")
 
 
 def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -173,58 +179,80 @@ def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """Postings of lists with two classes at least, and ``lead``, the list's first class. Streams: no list is held whole."""
+    """Postings of lists with two classes at least, and ``leads``: those of the list's first LEADERS classes that stand before.
+
+    Streams: of the list that a batch breaks off in, only its last posting and its leaders are kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_gram = last_fp = lead = None
-        held: list = []  # the first posting of a list, until a second class comes
+        kept = None  # last posting, its number in its list, the list's leaders, whether it was sent
         for b in batches:
-            g, f, s, p = (b.column(k).to_numpy() for k in range(4))
+            g, f, s, p, r = (b.column(k).to_numpy() for k in range(5))
             if not len(g):
                 continue
-            if last_gram is not None:
-                g, f, s, p = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip((last_gram, last_fp, *held), (g, f, s, p), strict=True))
+            if kept is not None:
+                g, f, s, p, r = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(kept[0], (g, f, s, p, r), strict=True))
             new = np.ones(len(g), bool)
             new[1:] = g[1:] != g[:-1]
             fresh = new.copy()
             fresh[1:] |= f[1:] != f[:-1]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            leads = f[start]
-            carried = last_gram is not None
-            if carried:
-                leads = np.where(start == 0, lead, leads)
-            distinct = np.cumsum(fresh)
-            end = np.append(np.flatnonzero(new)[1:], len(g))[np.cumsum(new) - 1]
-            several = distinct[end - 1] - distinct[start] > 0
-            if carried and sent:
-                several |= start == 0
-            on = several & fresh
-            if carried and sent:
-                on[0] = False  # sent with the batch before
-            tail_sent = bool(several[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (g, f, s, p, leads)], names=["gram", "fp", "size", "pos", "lead"])
-            last_gram, last_fp, held, lead, sent = g[-1], f[-1], [s[-1], p[-1]], leads[-1], tail_sent
-
-    return postings.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "gram long, fp long, size int, pos int, lead long")
+            which, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            number = np.cumsum(fresh)
+            number = number - number[first[which]]  # of the class in its list, from 0
+            if kept is not None:
+                number[which == 0] += kept[1]
+            leads = np.zeros((len(first), LEADERS), np.int64)
+            if kept is not None:
+                leads[0] = kept[2]
+            at = np.flatnonzero(fresh & (number < LEADERS))
+            leads[which[at], number[at]] = f[at]
+            last = np.append(first[1:], len(g)) - 1
+            on = fresh & (number[last][which] > 0)
+            if kept is not None and kept[3]:
+                on[0] = False
+            many = np.minimum(number[on], LEADERS)
+            values = leads[which[on]][np.arange(LEADERS) < many[:, None]]
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in (g, f, s, p, r)), column], names=["gram", "fp", "size", "pos", "rare", "leads"])
+            kept = ((g[-1], f[-1], s[-1], p[-1], r[-1]), number[-1], leads[-1], bool(number[-1] > 0))
+
+    return postings.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "gram long, fp long, size int, pos int, rare int, leads array<long>")
 
 
 def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """``a, b, n``: how many head n-grams pairs of classes of different components share, counted per task."""
+    """``a, b`` of different components that share enough head n-grams.
+
+    Lists of rare and of frequent n-grams are two channels. A pair with a rare head n-gram in common is found in the lists
+    of those: what it lacks to the least count its frequent head n-grams must be able to add. Any other similar pair has
+    only frequent n-grams in common, so both must have as many of them as a similar pair needs to share: in a long list
+    most classes have too few, and none of their pairs is made. Pairs are counted per task, then summed, and the count is
+    held against the least one that travels with them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(pairs: list[np.ndarray]) -> pa.RecordBatch:
-            a, c = np.unique(np.concatenate(pairs, axis=0), axis=0, return_counts=True) if pairs else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, 0])), pa.array(np.ascontiguousarray(a[:, 1])), pa.array(c.astype(np.int64))], names=["a", "b", "n"])
+        names = ["a", "b", "frequent", "least", "n"]
+
+        def counted(pairs: list) -> pa.RecordBatch:
+            if not pairs:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=names)
+            a, b, often, least = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            o = np.lexsort((often, b, a))
+            a, b, often, least = a[o], b[o], often[o], least[o]
+            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (often[1:] != often[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], often[at], least[at], np.diff(np.append(at, len(a))))], names=names)
 
         pairs, many = [], 0
-        for g, f, size, pos, comp in lists_of(batches):
+        for g, f, size, pos, rare, comp in lists_of(batches):
             edge = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 if j - i < 2 or (comp[i:j] == comp[i]).all():
                     continue
+                often = pos[i] >= rare[i]
                 # Sorted by size, in blocks: a block is compared with later ones while sizes and positions allow a link.
                 o = i + np.lexsort((pos[i:j], size[i:j]))
-                fo, so, po, co = f[o], size[o].astype(np.int64), pos[o].astype(np.int64), comp[o]
+                if often:
+                    o = o[100 * (size[o].astype(np.int64) - rare[o]) >= percent * size[o].astype(np.int64)]
+                fo, so, po, ro, co = f[o], size[o].astype(np.int64), pos[o].astype(np.int64), rare[o].astype(np.int64), comp[o]
                 for x in range(0, len(o), BLOCK):
                     xs = slice(x, x + BLOCK)
                     top = so[xs].max()
@@ -236,19 +264,26 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         if min(top - po[xs].min(), so[ys].max() - po[ys].min()) < least:
                             continue
                         ok = (co[xs, None] != co[None, ys]) & (percent * so[None, ys] <= 100 * so[xs, None])
+                        if often:
+                            ok &= np.minimum(so[xs, None] - ro[xs, None], so[None, ys] - ro[None, ys]) >= need(so[xs, None], so[None, ys], percent)
                         if x == y:
                             ok = np.triu(ok, 1)
                         p, q = np.nonzero(ok)
                         if len(p):
+                            (hx, kx), (hy, ky) = shown(so[xs], percent), shown(so[ys], percent)
+                            fewer = np.minimum(kx[p], ky[q])
+                            if not often:
+                                fewer = np.maximum(1, fewer - np.minimum(np.maximum(hx - ro[xs], 0)[p], np.maximum(hy - ro[ys], 0)[q]))
                             p, q = fo[xs][p], fo[ys][q]
-                            pairs.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+                            pairs.append((np.minimum(p, q), np.maximum(p, q), np.full(len(p), int(often)), fewer))
                             many += len(p)
                             if many >= 500_000:
                                 yield counted(pairs)
                                 pairs, many = [], 0
         yield counted(pairs)
 
-    return lists.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = lists.select("gram", "fp", "size", "pos", "rare", "comp").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, frequent long, least long, n long")
+    return found.groupBy("a", "b", "frequent").agg(F.first("least").alias("least"), F.sum("n").alias("n")).where("n >= least").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -283,10 +318,9 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     lists = materialize(shared_lists(postings), "lists")
     classes = materialize(facts.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
 
-    # Leaders: each class against the class it meets first in most of its lists.
-    met = lists.where("fp != lead").groupBy("fp", "lead").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    best = met.groupBy("fp").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"), F.max("n").alias("n"), F.first("size").alias("size"))
-    stars = materialize(best.where(F.col("n") * 400 >= F.col("size") * (100 - percent)).select(F.col("fp").alias("a"), F.col("lead").alias("b")), "stars")
+    # Leaders: each class against the first classes of its lists, where it meets them often enough.
+    met = lists.select("fp", "size", F.explode("leads").alias("lead")).groupBy("fp", "lead").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    stars = materialize(met.where(F.col("n") * 400 >= F.col("size") * (100 - percent)).select(F.col("fp").alias("a"), F.col("lead").alias("b")), "stars")
     source = documents.select("doc_id", "text")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -297,13 +331,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     joined = materialize(connected_components(links), "joined")
 
     # Across components: lists that hold more than one, by blocks.
-    marked = lists.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("gram", "fp", "size", "pos", F.coalesce("root", "fp").alias("comp"))
-    sizes = lists.groupBy("fp").agg(F.first("size").alias("size"))
-    counts = cross_pairs(marked, percent)
-    small = counts.join(sizes.withColumnRenamed("fp", "a").withColumnRenamed("size", "sa"), "a").join(sizes.withColumnRenamed("fp", "b").withColumnRenamed("size", "sb"), "b")
-    plain = lambda s: F.col(s) - F.ceil(F.col(s) * percent / 100) + 1
-    enough = F.least(F.floor(plain("sa") / 2), F.floor(plain("sb") / 2)) + 1
-    pairs = materialize(small.where(F.col("n") >= enough).select("a", "b"), "pairs")
+    marked = lists.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("gram", "fp", "size", "pos", "rare", F.coalesce("root", "fp").alias("comp"))
+    pairs = materialize(cross_pairs(marked, percent), "pairs")
     more = verified(pairs, texts_of(pairs), n, percent)
     final = materialize(connected_components(links.union(more)), "components")
 
