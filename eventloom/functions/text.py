@@ -10,10 +10,7 @@ SOURCE_AXES = {
     "autotag": ("autotag", "qc", 0.4, False),
     "llm_build": ("llm_build", "qc", 0.4, False),
     "build": ("build", "baseline", 0.2, False),
-    "mweft_save_tag": ("forced", "discovery", 1.0, True),
-    "mweft_category": ("autotag", "qc", 0.4, False),
     "working_folder": ("autotag", "container", 0.0, False),
-    "mweft_save_tag_root": ("forced", "discovery", 1.0, True),
 }
 # The display bucket of each role.
 ROLE_BUCKETS = {"discovery": "forced", "qc": "autotag", "container": "container", "baseline": "build", "unknown": "unknown"}
@@ -21,18 +18,23 @@ ROLE_BUCKETS = {"discovery": "forced", "qc": "autotag", "container": "container"
 NO_TIMESTAMP = ["null", "none", "n/a", "na", "unknown", "undefined", ""]
 
 
-def source_axis(source: Column) -> Column:
-    """Struct (axis, role, authority, discoverable) of a tag's source; anything else is unknown."""
+def source_axis(source: Column, legacy: dict[str, str] | None = None) -> Column:
+    """Struct (axis, role, authority, discoverable) of a tag's source; anything else is unknown.
+
+    ``legacy`` gives older labels of a store and the label each stands for now.
+    """
+    for old, now in (legacy or {}).items():
+        source = F.when(source == old, F.lit(now)).otherwise(source)
     out = F.struct(F.lit("unknown").alias("axis"), F.lit("unknown").alias("role"), F.lit(0.0).alias("authority"), F.lit(False).alias("discoverable"))
     for name, (axis, role, authority, seen) in SOURCE_AXES.items():
         out = F.when(source == name, F.struct(F.lit(axis).alias("axis"), F.lit(role).alias("role"), F.lit(authority).alias("authority"), F.lit(seen).alias("discoverable"))).otherwise(out)
     return out
 
 
-def display_bucket(source: Column) -> Column:
+def display_bucket(source: Column, legacy: dict[str, str] | None = None) -> Column:
     out = F.lit("unknown")
     for role, bucket in ROLE_BUCKETS.items():
-        out = F.when(source_axis(source)["role"] == role, bucket).otherwise(out)
+        out = F.when(source_axis(source, legacy)["role"] == role, bucket).otherwise(out)
     return out
 
 

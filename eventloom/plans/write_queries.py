@@ -107,11 +107,11 @@ def ts_normalize(spark, sf):
     return table(spark, sf, "events").select("event_id", text.normalise_timestamp(raw).alias("iso"))
 
 
-@query("select id, axis, role, authority, bucket from (values ('forced', 'forced', 'discovery', 1.0::double, 'forced'), ('mweft_category', 'autotag', 'qc', 0.4::double, 'autotag'), ('working_folder', 'autotag', 'container', 0.0::double, 'container'), ('build', 'build', 'baseline', 0.2::double, 'build'), ('other', 'unknown', 'unknown', 0.0::double, 'unknown')) v(id, axis, role, authority, bucket)", prelude=False)
+@query("select id, axis, role, authority, bucket from (values ('forced', 'forced', 'discovery', 1.0::double, 'forced'), ('old', 'autotag', 'qc', 0.4::double, 'autotag'), ('working_folder', 'autotag', 'container', 0.0::double, 'container'), ('build', 'build', 'baseline', 0.2::double, 'build'), ('other', 'unknown', 'unknown', 0.0::double, 'unknown')) v(id, axis, role, authority, bucket)", prelude=False)
 def source_axes(spark, sf):
-    s = spark.createDataFrame([(x,) for x in ("forced", "mweft_category", "working_folder", "build", "other")], "id string")
-    a = text.source_axis(F.col("id"))
-    return s.select("id", a["axis"].alias("axis"), a["role"].alias("role"), a["authority"].alias("authority"), text.display_bucket(F.col("id")).alias("bucket"))
+    s = spark.createDataFrame([(x,) for x in ("forced", "old", "working_folder", "build", "other")], "id string")
+    a = text.source_axis(F.col("id"), {"old": "autotag"})
+    return s.select("id", a["axis"].alias("axis"), a["role"].alias("role"), a["authority"].alias("authority"), text.display_bucket(F.col("id"), {"old": "autotag"}).alias("bucket"))
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))), 6) as n, round(1 - list_cosine_similarity(cast(embedding as double[]), (select cast(embedding as double[]) from embeddings where vec_id = 0)), 6) as d from embeddings", prelude=False)
