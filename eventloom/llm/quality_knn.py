@@ -93,8 +93,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, per_class: int = 15
     df, n = document_frequency(documents)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(learn_from).dropDuplicates(["doc_id"])
     chosen = stratified_sample(known, "doc_id", "y", per_class)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id", "text").toPandas()
-    return train(rows["text"].tolist(), rows["y"].to_numpy(), df, n)
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
+    return train(rows["text"].to_pylist(), rows["y"].to_numpy(), df, n)
 
 
 def vote(column: pa.Array, m: QualityModel) -> np.ndarray:

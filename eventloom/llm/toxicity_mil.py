@@ -43,6 +43,11 @@ def bags(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return bucket, np.repeat(sentence, len(features)), s0, s1, np.searchsorted(at, s0, "right") - 1
 
 
+def moved(by: int, found: Iterator) -> Iterator:
+    for i, j, *rest in found:
+        yield i + by, j + by, *rest
+
+
 def train(texts: list[str], y: np.ndarray, steps: int = 160, rate: float = 0.1, decay: float = 1e-2, least: int = 4, screen: float = 4.0, clean_weight: float = 3.0) -> tuple[np.ndarray, float]:
     """Word weights and bias by Adam on the mean document loss, where a clean document weighs ``clean_weight``.
 
@@ -54,19 +59,21 @@ def train(texts: list[str], y: np.ndarray, steps: int = 160, rate: float = 0.1,
     weights = np.zeros(BUCKETS)
     if not len(texts) or y.min() == y.max():
         return weights, (30.0 if len(texts) and y.min() == 1 else -800.0)
-    parts, first_sentence, first_row = [], 0, 0
-    for i, j, raw, at in slices(pa.array(texts, pa.large_string())):
-        bucket, sentence, s0, _, row = bags(raw, at)
-        parts.append((bucket, sentence + first_sentence, row + first_row))
-        first_sentence, first_row = first_sentence + len(s0), first_row + j - i
-    bucket, sentence, row = (np.concatenate(x) for x in zip(*parts, strict=True))
-    in_doc = np.unique(row[sentence] * BUCKETS + bucket)
-    seen, n = np.bincount(in_doc % BUCKETS, minlength=BUCKETS), len(y)
-    seen_toxic = np.bincount(in_doc % BUCKETS, y[in_doc // BUCKETS], minlength=BUCKETS)
+    n, seen, seen_toxic = len(y), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    blocks = lambda: ((i, j, *bags(raw, at)) for k in range(0, n, 100) for i, j, raw, at in moved(k, slices(pa.array(texts[k : k + 100], pa.large_string()))))
+    for i, j, bucket, sentence, _, _, row in blocks():
+        in_doc = np.unique(row[sentence] * BUCKETS + bucket)
+        seen += np.bincount(in_doc % BUCKETS, minlength=BUCKETS)
+        seen_toxic += np.bincount(in_doc % BUCKETS, y[i:j][in_doc // BUCKETS], minlength=BUCKETS)
     rate_toxic = y.mean()
     surprise = (seen_toxic - seen * rate_toxic) / np.sqrt(np.maximum(seen * rate_toxic * (1 - rate_toxic), 1e-9))
     kept = (seen >= least) & (surprise >= screen)
-    bucket, sentence = bucket[kept[bucket]], sentence[kept[bucket]]
+    parts, first_sentence = [], 0
+    for i, _, bucket, sentence, s0, _, row in blocks():
+        on = kept[bucket]
+        parts.append((bucket[on].astype(np.int32), (sentence[on] + first_sentence).astype(np.int32), (row + i).astype(np.int32)))
+        first_sentence += len(s0)
+    bucket, sentence, row = (np.concatenate(x) for x in zip(*parts, strict=True))
     bias = -5.0
     weight_of = np.where(y == 1, 1.0, clean_weight) / n
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
@@ -85,15 +92,15 @@ def train(texts: list[str], y: np.ndarray, steps: int = 160, rate: float = 0.1,
     return weights, float(bias)
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn_from, per_class: int = 2500) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, learn_from, per_class: int = 2000) -> tuple[np.ndarray, float]:
     """Learn from at most about ``per_class`` documents of each label (the documented bound), with their whole texts.
 
     ``learn_from`` is a condition on ``doc_id``. The sample is chosen by a hash of the id among all labelled rows.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(learn_from).dropDuplicates(["doc_id"])
     chosen = stratified_sample(known, "doc_id", "y", per_class)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id", "text").toPandas()
-    return train(rows["text"].tolist(), rows["y"].to_numpy())
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
+    return train(rows["text"].to_pylist(), rows["y"].to_numpy())
 
 
 def score_batch(column: pa.Array, weights: np.ndarray, bias: float, located: float) -> tuple[np.ndarray, list[list[dict]]]:
