@@ -98,7 +98,8 @@ def pivot_top_k(rows: DataFrame, is_query: Column, k: int = 5, vector: str = "em
         for b in batches:
             if len(b):
                 x = np.stack(b["v"]).astype(np.float64)
-                d = np.sqrt(np.maximum(((x[:, None, :] - centre[None]) ** 2).sum(axis=2), 0))
+                square = (x**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1) - 2 * (x @ centre.T)  # whole numbers, so exact
+                d = np.sqrt(np.maximum(square, 0))
                 yield b.assign(d=list(d))
 
     ints = ints.where(F.size("v") == width)
