@@ -3,7 +3,8 @@
 A document is the set of its distinct word n-grams, 64-bit hashes. Equal sets are one class, named by a fingerprint, and
 only classes are compared. All sets share one order of n-grams: rare before frequent, then by hash. With threshold t, two
 similar sets of sizes m and n share at least ``need(m, n)`` n-grams, so if each shows its first ``size - need + k``
-n-grams (its head), they share at least ``k`` of those. Heads are inverted to lists of (class, size, position).
+n-grams (its head), they share at least ``k`` of those. Heads are inverted to lists of (class, size, position). Parity bits of the sets bound
+from below in how many n-grams two differ.
 
 Index-level skipping: a list is sorted by size and held in blocks; block pairs whose sizes or positions rule a link out
 are skipped whole. Answer-level skipping: first every class is verified against a few leaders, the first
@@ -35,6 +36,8 @@ from .textfeat import LOWER, SPACED, mix, slices, span_hashes, word_spans
 #: An n-gram counts as frequent from so many documents on, counted in runs of CHUNK n-grams where it occurs LOCAL times.
 FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 48, 6, 4_000_000, 250_000
 BLOCK = 1024
+#: Cells of a set's parity bits.
+BITS = 256
 #: A class is verified against at most so many leaders of its lists before the rest is searched.
 LEADERS = 8
 
@@ -76,8 +79,17 @@ def fingerprints(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size == 0, 0, np.where(f == 0, 1, f)).astype(np.uint64)
 
 
+def parities(gram: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set, whether the number of its n-grams in each of BITS cells is odd. Two sets differ in at least as many
+    n-grams as these bits differ."""
+    rows = len(at) - 1
+    row = np.repeat(np.arange(rows), np.diff(at))
+    odd = np.bincount(row * BITS + (gram % np.uint64(BITS)).astype(np.int64), minlength=rows * BITS).reshape(rows, BITS) & 1
+    return [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
+
+
 def describe(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n_shingles, fp`` of every row, and ``gram, df`` of n-grams that are frequent in some run of rows."""
+    """``doc_id, n_shingles, fp, bits`` of every row, and ``gram, df`` of n-grams that are frequent in some run of rows."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,23 +99,23 @@ def describe(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         def frequent() -> pa.RecordBatch:
             g, c = np.unique(np.concatenate(held), return_counts=True)
             g, c = g[c >= LOCAL].view(np.int64), c[c >= LOCAL]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(g), none), pa.array(c.astype(np.int64)), pa.nulls(len(g), pa.int64()), pa.array(g)], names=["doc_id", "n_shingles", "fp", "gram"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(g), none), pa.array(c.astype(np.int64)), pa.nulls(len(g), pa.int64()), pa.array(g), pa.nulls(len(g), pa.binary())], names=["doc_id", "n_shingles", "fp", "gram", "bits"])
 
         for b in batches:
             none = b.column(0).type
-            for i, j, raw, at in slices(b.column(1)):
+            for i, j, raw, at in slices(b.column(1), rows=4000):
                 gram, to = sets_of(raw, at, n)
                 held.append(gram)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(to)), pa.array(fingerprints(gram, to).view(np.int64)), pa.nulls(j - i, pa.int64())], names=["doc_id", "n_shingles", "fp", "gram"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(to)), pa.array(fingerprints(gram, to).view(np.int64)), pa.nulls(j - i, pa.int64()), pa.array(parities(gram, to), pa.binary())], names=["doc_id", "n_shingles", "fp", "gram", "bits"])
                 if sum(map(len, held)) >= CHUNK:
                     yield frequent()
                     held = []
         if held:
             yield frequent()
 
-    facts = materialize(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, fp long, gram long"), "sets")
+    facts = materialize(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, fp long, gram long, bits binary"), "sets")
     often = facts.where("gram is not null").groupBy("gram").agg(F.sum("n_shingles").alias("df")).where(F.col("df") >= FREQUENT)
-    return facts.where("gram is null").select("doc_id", "n_shingles", "fp"), often
+    return facts.where("gram is null").select("doc_id", "n_shingles", "fp", "bits"), often
 
 
 def need(m, n, percent: int):
@@ -165,8 +177,13 @@ def heads(documents: DataFrame, often: DataFrame, n: int, percent: int) -> DataF
 def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Runs of whole lists from rows sorted by their first column; the last list of a batch waits for the next batch."""
     rest: list[np.ndarray] | None = None
+    def plain(c: pa.Array) -> np.ndarray:
+        if pa.types.is_binary(c.type):  # of one width: rows of whole words
+            return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1 if len(c) else BITS // 64)
+        return c.to_numpy(zero_copy_only=False)
+
     for b in batches:
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        cols = [plain(b.column(k)) for k in range(b.num_columns)]
         cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
             continue
@@ -242,7 +259,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], often[at], least[at], np.diff(np.append(at, len(a))))], names=names)
 
         pairs, many = [], 0
-        for g, f, size, pos, rare, comp in lists_of(batches):
+        for g, f, size, pos, rare, comp, bits in lists_of(batches):
             edge = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
             for i, j in zip(edge[:-1], edge[1:], strict=True):
                 if j - i < 2 or (comp[i:j] == comp[i]).all():
@@ -269,6 +286,10 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         if x == y:
                             ok = np.triu(ok, 1)
                         p, q = np.nonzero(ok)
+                        if len(p):  # no more n-grams may differ than similar sets can differ in, so no more bits
+                            apart = np.bitwise_count(bits[o[xs]][p] ^ bits[o[ys]][q]).sum(axis=1, dtype=np.int64)
+                            on = apart * (100 + percent) <= (so[xs][p] + so[ys][q]) * (100 - percent)
+                            p, q = p[on], q[on]
                         if len(p):
                             (hx, kx), (hy, ky) = shown(so[xs], percent), shown(so[ys], percent)
                             fewer = np.minimum(kx[p], ky[q])
@@ -282,7 +303,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                                 pairs, many = [], 0
         yield counted(pairs)
 
-    found = lists.select("gram", "fp", "size", "pos", "rare", "comp").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, frequent long, least long, n long")
+    found = lists.select("gram", "fp", "size", "pos", "rare", "comp", "bits").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, frequent long, least long, n long")
     return found.groupBy("a", "b", "frequent").agg(F.first("least").alias("least"), F.sum("n").alias("n")).where("n >= least").select("a", "b").distinct()
 
 
@@ -316,7 +337,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     facts, often = describe(documents, n)
     postings = heads(documents, often, n, percent)
     lists = materialize(shared_lists(postings), "lists")
-    classes = materialize(facts.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = materialize(facts.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits")), "classes")
 
     # Leaders: each class against the first classes of its lists, where it meets them often enough.
     met = lists.select("fp", "size", F.explode("leads").alias("lead")).groupBy("fp", "lead").agg(F.count("*").alias("n"), F.first("size").alias("size"))
@@ -331,7 +352,8 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     joined = materialize(connected_components(links), "joined")
 
     # Across components: lists that hold more than one, by blocks.
-    marked = lists.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("gram", "fp", "size", "pos", "rare", F.coalesce("root", "fp").alias("comp"))
+    known = classes.select("fp", "bits").join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "bits", F.coalesce("root", "fp").alias("comp"))
+    marked = lists.drop("leads").join(known, "fp")
     pairs = materialize(cross_pairs(marked, percent), "pairs")
     more = verified(pairs, texts_of(pairs), n, percent)
     final = materialize(connected_components(links.union(more)), "components")
