@@ -92,8 +92,8 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, per_class: int = 15
     """Neighbours: at most about ``per_class`` whole documents of each label (the documented bound) where ``learn_from`` holds."""
     df, n = document_frequency(documents)
     known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(learn_from).dropDuplicates(["doc_id"])
-    chosen = stratified_sample(known, "doc_id", "y", per_class)
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
+    chosen = stratified_sample(known, "doc_id", "y", per_class)  # a few thousand ids by its bound: broadcast
+    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
     return train(rows["text"].to_pylist(), rows["y"].to_numpy(), df, n)
 
 
