@@ -33,8 +33,9 @@ from ._common import materialize
 from .components import connected_components
 from .textfeat import LOWER, SPACED, mix, slices, span_hashes, word_spans
 
-#: An n-gram counts as frequent from so many documents on, counted in runs of CHUNK n-grams where it occurs LOCAL times.
-FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 48, 6, 4_000_000, 250_000
+#: An n-gram counts as frequent from so many classes on, counted in runs of CHUNK n-grams where it occurs LOCAL times. With
+#: two of them, what stays unknown in P runs is in the order of sqrt(P) classes at most, so its pairs grow with the input.
+FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 24, 2, 4_000_000, 250_000
 BLOCK = 1024
 #: Cells of a set's parity bits.
 BITS = 256
@@ -94,6 +95,7 @@ def describe(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        seen: set[int] = set()
         none = None
 
         def frequent() -> pa.RecordBatch:
@@ -105,11 +107,13 @@ def describe(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
             none = b.column(0).type
             for i, j, raw, at in slices(b.column(1), rows=4000):
                 gram, to = sets_of(raw, at, n)
-                held.append(gram)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(to)), pa.array(fingerprints(gram, to).view(np.int64)), pa.nulls(j - i, pa.int64()), pa.array(parities(gram, to), pa.binary())], names=["doc_id", "n_shingles", "fp", "gram", "bits"])
+                fp = fingerprints(gram, to)
+                fresh = np.array([f not in seen and not seen.add(f) for f in fp.tolist()], bool)  # a class counts once a run
+                held.append(gram[np.repeat(fresh, np.diff(to))])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(to)), pa.array(fp.view(np.int64)), pa.nulls(j - i, pa.int64()), pa.array(parities(gram, to), pa.binary())], names=["doc_id", "n_shingles", "fp", "gram", "bits"])
                 if sum(map(len, held)) >= CHUNK:
                     yield frequent()
-                    held = []
+                    held, seen = [], set()
         if held:
             yield frequent()
 
