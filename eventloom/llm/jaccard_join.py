@@ -281,8 +281,9 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         ys = slice(y, y + BLOCK)
                         if percent * so[y] > 100 * top:
                             break
-                        least = need(so[x], so[y], percent)
-                        if min(top - po[xs].min(), so[ys].max() - po[ys].min()) < least:
+                        # At a shared n-gram, what may be shared before it counts as well as what may follow.
+                        before, after = min(po[xs].max(), po[ys].max()), min((so[xs] - po[xs]).max(), (so[ys] - po[ys]).max())
+                        if before + after < need(so[x], so[y], percent):
                             continue
                         ok = (co[xs, None] != co[None, ys]) & (percent * so[None, ys] <= 100 * so[xs, None])
                         if often:
@@ -290,6 +291,10 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         if x == y:
                             ok = np.triu(ok, 1)
                         p, q = np.nonzero(ok)
+                        if len(p):
+                            m, n, u, v = so[xs][p], so[ys][q], po[xs][p], po[ys][q]
+                            on = np.minimum(u, v) + np.minimum(m - u, n - v) >= need(m, n, percent)
+                            p, q = p[on], q[on]
                         if len(p):  # no more n-grams may differ than similar sets can differ in, so no more bits
                             apart = np.bitwise_count(bits[o[xs]][p] ^ bits[o[ys]][q]).sum(axis=1, dtype=np.int64)
                             on = apart * (100 + percent) <= (so[xs][p] + so[ys][q]) * (100 - percent)

@@ -134,6 +134,26 @@ def test_jaccard_on_edited_groups(spark, monkeypatch):
     assert [got[i] for i in range(len(rows))] == comp
 
 
+def test_jaccard_on_stars_of_equal_length(spark):
+    """Each copy is like the base alone, of its length, and its own rare n-grams fill the first places of its head."""
+    rng = random.Random(5)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{k}" for k in range(204)]
+        rows.append(" ".join(base))
+        for copy in range(50):
+            w = list(base)
+            for k in rng.sample(range(1, 34), 4):
+                w[k * 6] = f"g{group}c{copy}k{k}"
+            rows.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [shingles(t) for t in rows]
+    comp = union_find(len(sets), similar_pairs(sets))
+    assert sorted(set(comp)) == [51 * k for k in range(6)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df).collect()}
+    assert [got[i] for i in range(len(rows))] == comp
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(k, " ".join(["w"] * 10), f"s{min(k // 100, 3)}" if k < 1000 else "big") for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
