@@ -7,7 +7,7 @@ n-grams (its head), they share at least ``k`` of those. Heads are inverted to li
 from below in how many n-grams two differ.
 
 Index-level skipping: a list is sorted by size and held in blocks; block pairs whose sizes or positions rule a link out
-are skipped whole. Answer-level skipping: first every class is verified against a few leaders, the first
+are skipped whole. Long lists are dealt to cells of two bounded blocks before the exchange. Answer-level skipping: first every class is verified against a few leaders, the first
 classes of its lists, and those answers are taken over: classes already connected need no further comparison, so a group
 of near copies costs a few stars, not all its pairs. Then pairs across components with enough shared head n-grams are verified
 against whole texts.
@@ -37,6 +37,8 @@ from .textfeat import LOWER, SPACED, mix, slices, span_hashes, word_spans
 #: two of them, what stays unknown in P runs is in the order of sqrt(P) classes at most, so its pairs grow with the input.
 FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 24, 2, 4_000_000, 250_000
 BLOCK = 1024
+#: A list of more postings is dealt to cells of two blocks of about so many.
+CELL = 4096
 #: Cells of a set's parity bits.
 BITS = 256
 #: A class is verified against at most so many leaders of its lists before the rest is searched.
@@ -178,25 +180,32 @@ def heads(documents: DataFrame, often: DataFrame, n: int, percent: int) -> DataF
     return documents.select("text").mapInArrow(run, "gram long, fp long, size int, pos int, rare int")
 
 
-def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Runs of whole lists from rows sorted by their first column; the last list of a batch waits for the next batch."""
-    rest: list[np.ndarray] | None = None
+def lists_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Edges and columns of runs of whole lists, from rows sorted by their first ``keys`` columns; the last list of a batch
+    waits for the next batch."""
+
     def plain(c: pa.Array) -> np.ndarray:
         if pa.types.is_binary(c.type):  # of one width: rows of whole words
             return np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1 if len(c) else BITS // 64)
         return c.to_numpy(zero_copy_only=False)
 
+    def edges(cols: list[np.ndarray]) -> np.ndarray:
+        new = np.ones(len(cols[0]) + 1, bool)
+        new[1:-1] = np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0)
+        return np.flatnonzero(new)
+
+    rest: list[np.ndarray] | None = None
     for b in batches:
         cols = [plain(b.column(k)) for k in range(b.num_columns)]
         cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if cut:
-            yield [c[:cut] for c in cols]
-        rest = [c[cut:] for c in cols]
+        at = edges(cols)
+        if len(at) > 2:
+            yield at[:-1], [c[: at[-2]] for c in cols]
+        rest = [c[at[-2] :] for c in cols]
     if rest is not None and len(rest[0]):
-        yield rest
+        yield edges(rest), rest
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
@@ -240,6 +249,35 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return postings.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "gram long, fp long, size int, pos int, rare int, leads array<long>")
 
 
+def cells(lists: DataFrame, percent: int) -> DataFrame:
+    """Postings of lists that hold several components, with the cell ``x, y`` they are compared in and their block ``own``.
+
+    A list of more than CELL postings is dealt to blocks: by size, so that most blocks are too far apart in size to be
+    compared, then by component, or within a component that would fill a block. Every two blocks that can hold a pair are
+    one cell, so a task never holds more than two blocks, and members of one large component do not meet each other.
+    In lists of frequent n-grams, classes with too few of them are left out first.
+    """
+    size = F.col("size").cast("long")
+    able = lists.where((F.col("pos") < F.col("rare")) | (100 * (size - F.col("rare")) >= percent * size))
+    mixed = able.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least < most").select("gram", "n")
+    held = materialize(able.join(mixed, "gram"), "mixed")
+    zero = F.lit(0).cast("long")
+    short = held.where(F.col("n") <= CELL).select("*", zero.alias("own"), zero.alias("x"), zero.alias("y")).drop("n")
+
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent)))
+    long = held.where(F.col("n") > CELL).withColumn("band", band)
+    large = long.groupBy("gram", "band", "comp").agg(F.count("*").alias("many")).where(F.col("many") > CELL // 8)
+    spread = F.when(F.col("many").isNull(), F.xxhash64("band", F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / CELL)))).otherwise(F.xxhash64("band", "comp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("many") / CELL))))
+    placed = long.join(large, ["gram", "band", "comp"], "left").withColumn("own", spread).drop("band", "many", "n")
+    blocks = placed.groupBy("gram", "own").agg(F.min("size").cast("long").alias("lo"), F.max("size").cast("long").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    x, y = (blocks.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in ("own", "lo", "hi", "c", "d"))) for side in "xy")
+    near = (F.col("x_own") <= F.col("y_own")) & (percent * F.col("x_lo") <= 100 * F.col("y_hi")) & (percent * F.col("y_lo") <= 100 * F.col("x_hi"))
+    one = (F.col("x_c") == F.col("x_d")) & (F.col("y_c") == F.col("y_d")) & (F.col("x_c") == F.col("y_c"))
+    both = x.join(y, "gram").where(near & ~one).select("gram", F.col("x_own").alias("x"), F.col("y_own").alias("y"))
+    sides = both.select("gram", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("own"))
+    return short.unionByName(placed.join(sides, ["gram", "own"]))
+
+
 def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of different components that share enough head n-grams.
 
@@ -263,17 +301,12 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], often[at], least[at], np.diff(np.append(at, len(a))))], names=names)
 
         pairs, many = [], 0
-        for g, f, size, pos, rare, comp, bits in lists_of(batches):
-            edge = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+        for edge, (_, cx, cy, f, size, pos, rare, comp, bits, own) in lists_of(batches, 3):
             for i, j in zip(edge[:-1], edge[1:], strict=True):
-                if j - i < 2 or (comp[i:j] == comp[i]).all():
-                    continue
-                often = pos[i] >= rare[i]
+                often, apart = pos[i] >= rare[i], cx[i] != cy[i]
                 # Sorted by size, in blocks: a block is compared with later ones while sizes and positions allow a link.
                 o = i + np.lexsort((pos[i:j], size[i:j]))
-                if often:
-                    o = o[100 * (size[o].astype(np.int64) - rare[o]) >= percent * size[o].astype(np.int64)]
-                fo, so, po, ro, co = f[o], size[o].astype(np.int64), pos[o].astype(np.int64), rare[o].astype(np.int64), comp[o]
+                fo, so, po, ro, co, wo = f[o], size[o].astype(np.int64), pos[o].astype(np.int64), rare[o].astype(np.int64), comp[o], own[o]
                 for x in range(0, len(o), BLOCK):
                     xs = slice(x, x + BLOCK)
                     top = so[xs].max()
@@ -286,6 +319,8 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                         if before + after < need(so[x], so[y], percent):
                             continue
                         ok = (co[xs, None] != co[None, ys]) & (percent * so[None, ys] <= 100 * so[xs, None])
+                        if apart:
+                            ok &= wo[xs, None] != wo[None, ys]
                         if often:
                             ok &= np.minimum(so[xs, None] - ro[xs, None], so[None, ys] - ro[None, ys]) >= need(so[xs, None], so[None, ys], percent)
                         if x == y:
@@ -296,8 +331,8 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                             on = np.minimum(u, v) + np.minimum(m - u, n - v) >= need(m, n, percent)
                             p, q = p[on], q[on]
                         if len(p):  # no more n-grams may differ than similar sets can differ in, so no more bits
-                            apart = np.bitwise_count(bits[o[xs]][p] ^ bits[o[ys]][q]).sum(axis=1, dtype=np.int64)
-                            on = apart * (100 + percent) <= (so[xs][p] + so[ys][q]) * (100 - percent)
+                            odd = np.bitwise_count(bits[o[xs]][p] ^ bits[o[ys]][q]).sum(axis=1, dtype=np.int64)
+                            on = odd * (100 + percent) <= (so[xs][p] + so[ys][q]) * (100 - percent)
                             p, q = p[on], q[on]
                         if len(p):
                             (hx, kx), (hy, ky) = shown(so[xs], percent), shown(so[ys], percent)
@@ -312,7 +347,8 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
                                 pairs, many = [], 0
         yield counted(pairs)
 
-    found = lists.select("gram", "fp", "size", "pos", "rare", "comp", "bits").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, frequent long, least long, n long")
+    dealt = cells(lists, percent).select("gram", "x", "y", "fp", "size", "pos", "rare", "comp", "bits", "own")
+    found = dealt.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(run, "a long, b long, frequent long, least long, n long")
     return found.groupBy("a", "b", "frequent").agg(F.first("least").alias("least"), F.sum("n").alias("n")).where("n >= least").select("a", "b").distinct()
 
 
