@@ -148,6 +148,17 @@ def strength(kind: str, value: Column) -> Column:
     return F.when(value >= strong, "strong").when(value > medium if kind == "entity" else value >= medium, "medium").otherwise("weak")
 
 
+def token_set(a: Column) -> Column:
+    """Sorted distinct words of a name, as ``token_set_ratio`` takes them."""
+    import pandas as pd
+
+    @F.pandas_udf("array<string>")
+    def words(x: pd.Series) -> pd.Series:
+        return x.map(lambda p: sorted(set((p or "").lower().split())))
+
+    return words(a)
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Similarity (0 to 1) of two names whatever the order and repetition of their words, by an Arrow-batched UDF."""
     from difflib import SequenceMatcher

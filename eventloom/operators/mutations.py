@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_name, prefixed_id, token_set_ratio
+from ..functions.text import normalise_name, prefixed_id, token_set, token_set_ratio
 from ..graph import KEYS, EventGraph
 from .analytics import cooccurrence_edges
 from .lookup import newest_per_key
@@ -13,6 +13,8 @@ from .lookup import newest_per_key
 # What may stand in an edge's source or kind.
 NEXT_SOURCES = ["chunk_order", "file_name", "folder_name", "thread", "topic_segment", "user_manual", "version up"]
 MEMBER_KINDS = ["contains", "refers"]
+#: Names of one band of length are dealt to blocks of about so many.
+CELL = 1024
 
 
 def insert_new(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -117,17 +119,79 @@ def merge_candidates(g: EventGraph) -> DataFrame:
     return rows.join(best.select("norm", F.col("domain").alias("_d"), F.col("type").alias("_t"), "canonical"), (rows["norm"] == best["norm"]) & F.col("domain").eqNullSafe(F.col("_d")) & F.col("type").eqNullSafe(F.col("_t"))).where("id <> canonical").select("id", "canonical")
 
 
-def fuzzy_candidates(g: EventGraph, threshold: float = 0.85, hub: int = 200) -> DataFrame:
-    """``a, b, ratio`` of live entities of one domain and type that share a word and whose token-set ratio reaches ``threshold``.
+def alike_in_cells(names: DataFrame, threshold: float) -> DataFrame:
+    """``na, nb`` (na < nb) of names of one domain and type whose joined words can reach the ratio as whole strings.
 
-    Only names with a common word are compared, and words in more than ``hub`` names do not make pairs.
+    A ratio of ``threshold`` bounds how far lengths differ, so only neighbouring bands of length are compared, dealt to cells
+    of two bounded blocks; in a cell, characters in common bound the ratio from above. Nothing else is left out.
     """
-    rows = g.live("entities").select("id", "domain", "type", normalise_name(F.col("name")).alias("norm"))
-    words = rows.select("id", "domain", "type", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).where("word <> ''")
-    rare = words.groupBy("domain", "type", "word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= hub)).drop("n")
-    words = words.join(rare, ["domain", "type", "word"], "left_semi")
-    pairs = words.toDF("a", "domain", "type", "na", "word").join(words.toDF("b", "domain", "type", "nb", "word"), ["domain", "type", "word"]).where("a < b").select("a", "b", "na", "nb").distinct()
-    return pairs.withColumn("ratio", token_set_ratio(F.col("na"), F.col("nb"))).where(F.col("ratio") >= threshold).select("a", "b", "ratio")
+    step = max(1.05, 1.001 * (2 - threshold) / threshold)
+    banded = names.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(step))))
+    keys = ["domain", "type", "band"]
+    many = banded.groupBy(*keys).agg(F.ceil(F.count("*") / CELL).alias("blocks"))
+    above = many.select("domain", "type", (F.col("band") - 1).alias("band"), F.col("blocks").alias("upper"))
+    below = many.select("domain", "type", (F.col("band") + 1).alias("band"), F.col("blocks").alias("lower"))
+    placed = banded.join(many.join(above, keys, "left").join(below, keys, "left"), keys)
+    own = F.pmod(F.xxhash64("norm"), F.col("blocks"))
+    run = lambda n: F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(0)) - 1)
+    within = F.transform(run(F.col("blocks")), lambda k: F.struct(F.col("band").alias("of"), F.lit(0).alias("up"), F.least(own, k).alias("x"), F.greatest(own, k).alias("y"), (own > k).cast("int").alias("side")))
+    upward = F.when(F.col("upper") > 0, F.transform(run(F.col("upper")), lambda k: F.struct(F.col("band").alias("of"), F.lit(1).alias("up"), own.alias("x"), k.alias("y"), F.lit(0).alias("side"))))
+    downward = F.when(F.col("lower") > 0, F.transform(run(F.col("lower")), lambda k: F.struct((F.col("band") - 1).alias("of"), F.lit(1).alias("up"), k.alias("x"), own.alias("y"), F.lit(1).alias("side"))))
+    none = F.array().cast("array<struct<of:bigint,up:int,x:bigint,y:bigint,side:int>>")
+    dealt = placed.withColumn("cell", F.explode(F.concat(within, F.coalesce(upward, none), F.coalesce(downward, none)))).select("domain", "type", "cell.*", "norm", "joined")
+
+    def compare(part):
+        import numpy as np
+        import pandas as pd
+
+        counts = np.array([np.bincount(np.array([ord(c) % 32 for c in t]), minlength=32) for t in part["joined"]], np.int32)
+        size, side, norm = counts.sum(axis=1), part["side"].to_numpy(), part["norm"].to_numpy(object)
+        apart = part["up"].iloc[0] == 1 or part["x"].iloc[0] != part["y"].iloc[0]
+        x = np.flatnonzero(side == 0) if apart else np.arange(len(part))
+        y = np.flatnonzero(side == 1) if apart else x
+        out = []
+        for lo in range(0, len(x), 256):
+            r = x[lo : lo + 256]
+            common = sum(np.minimum(counts[r, k][:, None], counts[y, k][None]) for k in range(32))
+            i, j = np.nonzero(2 * common >= threshold * (size[r][:, None] + size[y][None]) - 1e-9)
+            out += [(min(u, v), max(u, v)) for u, v in zip(norm[r[i]], norm[y[j]], strict=True) if (u != v if apart else u < v)]
+        domain, kind = part["domain"].iloc[0], part["type"].iloc[0]
+        return pd.DataFrame([(domain, kind, *p) for p in out], columns=["domain", "type", "na", "nb"], dtype=object)
+
+    return dealt.groupBy("domain", "type", "of", "up", "x", "y").applyInPandas(compare, "domain string, type string, na string, nb string")
+
+
+def covered_by_words(names: DataFrame, threshold: float) -> DataFrame:
+    """``na, nb`` (na < nb) of names of which one can reach the ratio with the words it shares with the other.
+
+    The shared words must make up ``threshold / (2 - threshold)`` of that name, so one of its first words, rare before
+    frequent, is shared unless those after it would do alone.
+    """
+    words = names.select("domain", "type", "norm", "size", F.explode("words").alias("word"))
+    often = words.groupBy("domain", "type", "word").agg(F.count("*").alias("n"))
+    ordered = words.join(often, ["domain", "type", "word"]).groupBy("domain", "type", "norm", "size").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"))
+    rest = lambda k: F.aggregate(F.slice(F.col("w"), k + 1, F.size("w")), F.lit(0), lambda total, x: total + F.length(x["word"]) + 1)
+    first = F.filter(F.col("w"), lambda x, k: (rest(k) - 1) * (2 - threshold) >= threshold * F.col("size") - 1e-6)
+    lead = ordered.select("domain", "type", F.col("norm").alias("one"), F.explode(first)).select("domain", "type", "one", F.col("col.word").alias("word"))
+    met = lead.join(words.select("domain", "type", "word", F.col("norm").alias("other")), ["domain", "type", "word"]).where("one <> other")
+    return met.select("domain", "type", F.least("one", "other").alias("na"), F.greatest("one", "other").alias("nb"))
+
+
+def fuzzy_candidates(g: EventGraph, threshold: float = 0.85) -> DataFrame:
+    """``a, b, ratio`` of live entities of one domain and type whose token-set ratio reaches ``threshold`` (above 0).
+
+    Names are compared once each. The ratio is reached by the whole strings or by shared words alone; both kinds of
+    candidates come from sound bounds and are verified exactly. Missing domains and types count as empty.
+    """
+    rows = g.live("entities").select("id", F.coalesce("domain", F.lit("")).alias("domain"), F.coalesce("type", F.lit("")).alias("type"), normalise_name(F.col("name")).alias("norm"))
+    words = token_set(F.col("norm"))
+    names = rows.select("domain", "type", "norm").distinct().withColumn("words", words).where(F.size("words") > 0).withColumn("joined", F.array_join("words", " ")).withColumn("size", F.length("joined"))
+    keys = ["domain", "type", "na", "nb"]
+    pairs = alike_in_cells(names, threshold).union(covered_by_words(names, threshold)).distinct()
+    scored = pairs.withColumn("ratio", token_set_ratio(F.col("na"), F.col("nb"))).where(F.col("ratio") >= threshold)
+    found = scored.select(*keys, "ratio").union(names.select("domain", "type", "norm", "norm", F.lit(1.0)))
+    both = found.join(rows.toDF("p", "domain", "type", "na"), ["domain", "type", "na"]).join(rows.toDF("q", "domain", "type", "nb"), ["domain", "type", "nb"])
+    return both.where("na <> nb or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "ratio")
 
 
 def merge_groups(g: EventGraph, mapping: DataFrame) -> EventGraph:

@@ -141,3 +141,30 @@ def test_cosine(spark):
     df = frame(spark, [([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<float>, b array<float>, c array<float>")
     row = df.select(vec.cosine(F.col("a"), F.col("b")).alias("x"), vec.cosine(F.col("a"), F.col("c")).alias("y"), vec.normalise(F.col("c")).alias("n")).first()
     assert row["x"] == pytest.approx(0.96) and row["y"] == 0 and row["n"] == [0, 0]
+
+
+def test_fuzzy_candidates_are_whole(spark, monkeypatch):
+    """Variants without a common word, words in more than 200 names, other orders, and all pairs against brute force."""
+    import random
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(M, "CELL", 40)
+    rng = random.Random(4)
+    names = ["microsoft", "microsft", "Alpha Beta", "beta  alpha", "alpha", None, " ", "x"]
+    names += ["red box " + "".join(rng.choice("abcdefgh") for _ in range(rng.choice([4, 12, 30]))) for _ in range(205)] + ["red box", "box red"]
+    kinds = [(k % 2 if k > 100 else 0) for k in range(len(names))]
+    rows = [(k, n, None if kinds[k] else "d", "t", False) for k, n in enumerate(names)] + [(999, "microsoft", "d", "t", True)]
+    g = EventGraph(spark, {"entities": frame(spark, rows, "id long, name string, domain string, type string, deprecated boolean")})
+
+    def ratio(p, q):
+        p, q = set((p or "").lower().split()), set((q or "").lower().split())
+        if not p or not q:
+            return 0
+        both = " ".join(sorted(p & q))
+        u, v = (" ".join(filter(None, [both, " ".join(sorted(z))])) for z in (p - q, q - p))
+        return max(SequenceMatcher(None, x, y, False).ratio() for x, y in [(u, v)] + ([(both, u), (both, v)] if both else []))
+
+    got = [(r["a"], r["b"]) for r in M.fuzzy_candidates(g).collect()]
+    want = {(a, b): r for b in range(len(names)) for a in range(b) if kinds[a] == kinds[b] and (r := max(ratio(names[a], names[b]), ratio(names[b], names[a]))) >= 0.85}
+    sure = {p for p in want if min(ratio(*(names[k] for k in p)), ratio(*(names[k] for k in p[::-1]))) >= 0.85}
+    assert len(got) == len(set(got)) and sure <= set(got) <= set(want) and {(0, 1), (2, 3), (2, 4)} <= sure
