@@ -17,13 +17,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component, once; documents without words all stay, and so do rows without id."""
-    groups = materialize(jaccard_join.jaccard_components(docs), "groups")
-    ids = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    ids = materialize(ids, "kept")
-    once = docs.join(ids.where("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(ids.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each component: of its smallest id, and of several texts of that id the one of smallest hash. Rows
+    without words all stay. Rows without id are linked by their texts; one stays where no other row of its group has an id."""
+    rows = materialize(jaccard_join.jaccard_components(docs).where("group is not null"), "groups")
+    same = rows.groupBy("group", "doc_id", "body").agg(F.count("*").alias("rows"))
+    best = same.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "rows")).alias("x"))
+    kept = materialize(best.select(F.col("x.doc_id").alias("kept_id"), F.col("x.body").alias("kept_body"), F.col("x.rows").alias("kept_rows")), "kept")
+    chosen = lambda rows: docs.join(kept.where(rows), (F.xxhash64(docs["text"]) == kept["kept_body"]) & docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    wordless = ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    return chosen("kept_rows = 1").unionByName(chosen("kept_rows > 1").dropDuplicates(["doc_id", "text"])).unionByName(docs.where(wordless))
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

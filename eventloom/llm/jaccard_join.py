@@ -3,20 +3,24 @@
 A document is the set of its distinct word n-grams, 64-bit hashes. Equal sets are one class, named by a fingerprint, and
 only classes are compared. All sets share one order of n-grams: rare before frequent, then by hash. With threshold t, two
 similar sets of sizes m and n share at least ``need(m, n)`` n-grams, so if each shows its first ``size - need + k``
-n-grams (its head), they share at least ``k`` of those. Heads are inverted to lists of (class, size, position). Parity bits of the sets bound
-from below in how many n-grams two differ.
+n-grams (its head), they share at least ``k`` of those.
 
-Index-level skipping: a list is sorted by size and held in blocks; block pairs whose sizes or positions rule a link out
-are skipped whole. Long lists are dealt to cells of two bounded blocks before the exchange. Answer-level skipping: first every class is verified against a few leaders, the first
-classes of its lists, and those answers are taken over: classes already connected need no further comparison, so a group
-of near copies costs a few stars, not all its pairs. Then pairs across components with enough shared head n-grams are verified
-against whole texts.
+Index-level skipping: a list of a rare n-gram is short, and its pairs are made and counted; a pair of short lists needs
+``k`` of them. The list of a frequent n-gram is never built. It has a leader instead, the class with the smallest share
+of rare n-grams, and whoever shows the n-gram is compared with the leader alone.
+
+Answer-level skipping: with ``S(u)`` the n-grams in which ``u`` and its leader differ, two members of a leader differ in
+``|S(u)| + |S(v)| - 2 |S(u) & S(v)|`` n-grams. So their answer follows from the answers of the leader and the
+differences: where both are small, both are linked to the leader already, and else the members share at least a known
+number of differences. Each member posts only as many differences as a link to another component can require, seldom
+ones first; lists of differences are held in blocks, and block pairs whose positions rule a link out are skipped. What
+is left is verified against whole texts.
 
 Defined cases: texts without words, and null texts, have empty sets, link with nothing and are their own component.
 Fewer than n words: the whole sequence is the only n-gram. Repeated rows and copies fall into one component by
-definition (equal sets). A null id is passed over where ids are compared: the smallest
-id that is not null names a component, and a class without any id is compared with none. ``doc_id`` identifies a text.
-Other columns are ignored. Frequent n-grams only order the heads, so how many are known changes speed, not results.
+definition (equal sets). The smallest id that is not null names a component; a row without id, or with an id that other
+texts have too, is linked by its own text. Other columns are ignored. Which n-grams count as frequent changes speed, not
+results.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +37,15 @@ from ._common import materialize
 from .components import connected_components
 from .textfeat import LOWER, SPACED, mix, slices, span_hashes, word_spans
 
-#: An n-gram counts as frequent from so many classes on, counted in runs of CHUNK n-grams where it occurs LOCAL times. With
-#: two of them, what stays unknown in P runs is in the order of sqrt(P) classes at most, so its pairs grow with the input.
+#: An n-gram counts as frequent from so many classes on, counted in runs of CHUNK n-grams where it occurs LOCAL times.
 FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 24, 2, 4_000_000, 250_000
+#: Pairs are made in lists of so many classes at most; longer ones have a leader, so no list makes more than SHORT / 2 pairs a posting.
+SHORT = 32
 BLOCK = 1024
-#: A list of more postings is dealt to cells of two blocks of about so many.
+#: A list of more differences is dealt to cells of two blocks of about so many.
 CELL = 4096
 #: Cells of a set's parity bits.
 BITS = 256
-#: A class is verified against at most so many leaders of its lists before the rest is searched.
-LEADERS = 8
 
 
 def sets_of(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +94,23 @@ def parities(gram: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.packbits(odd.astype(np.uint8), axis=1)]
 
 
+def need(m, n, percent: int):
+    """Least intersection of two similar sets of sizes m and n, in integers: 100 i >= percent (m + n - i)."""
+    return -(-percent * (m + n) // (100 + percent))
+
+
+def shown(size, percent: int):
+    """How many first n-grams a set shows, and how many of them similar sets share at least (half the plain prefix more)."""
+    least = -(-percent * size // 100)
+    plain = size - least + 1
+    extra = plain // 2
+    return np.minimum(size, plain + extra), extra + 1
+
+
 def describe(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n_shingles, fp, bits`` of every row, and ``gram, df`` of n-grams that are frequent in some run of rows."""
+    """``doc_id, body, n_shingles, fp`` of every row, and ``gram, df`` of n-grams that are frequent in some run of rows."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "body", "n_shingles", "fp", "gram"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -103,52 +120,54 @@ def describe(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         def frequent() -> pa.RecordBatch:
             g, c = np.unique(np.concatenate(held), return_counts=True)
             g, c = g[c >= LOCAL].view(np.int64), c[c >= LOCAL]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(g), none), pa.array(c.astype(np.int64)), pa.nulls(len(g), pa.int64()), pa.array(g), pa.nulls(len(g), pa.binary())], names=["doc_id", "n_shingles", "fp", "gram", "bits"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(g), none), pa.nulls(len(g), pa.int64()), pa.array(c.astype(np.int64)), pa.nulls(len(g), pa.int64()), pa.array(g)], names=names)
 
         for b in batches:
             none = b.column(0).type
-            for i, j, raw, at in slices(b.column(1), rows=4000):
+            for i, j, raw, at in slices(b.column(2), rows=4000):
                 gram, to = sets_of(raw, at, n)
                 fp = fingerprints(gram, to)
                 fresh = np.array([f not in seen and not seen.add(f) for f in fp.tolist()], bool)  # a class counts once a run
                 held.append(gram[np.repeat(fresh, np.diff(to))])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(to)), pa.array(fp.view(np.int64)), pa.nulls(j - i, pa.int64()), pa.array(parities(gram, to), pa.binary())], names=["doc_id", "n_shingles", "fp", "gram", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(np.diff(to)), pa.array(fp.view(np.int64)), pa.nulls(j - i, pa.int64())], names=names)
                 if sum(map(len, held)) >= CHUNK:
                     yield frequent()
                     held, seen = [], set()
         if held:
             yield frequent()
 
-    facts = materialize(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, fp long, gram long, bits binary"), "sets")
+    facts = materialize(documents.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {kind}, body long, n_shingles long, fp long, gram long"), "sets")
     often = facts.where("gram is not null").groupBy("gram").agg(F.sum("n_shingles").alias("df")).where(F.col("df") >= FREQUENT)
-    return facts.where("gram is null").select("doc_id", "n_shingles", "fp", "bits"), often
+    return facts.where("gram is null").drop("gram"), often
 
 
-def need(m, n, percent: int):
-    """Least intersection of two similar sets of sizes m and n, in integers: 100 i >= percent (m + n - i)."""
-    return -(-percent * (m + n) // (100 + percent))
+class Frequencies:
+    """Document counts of the most frequent n-grams, at most MOST_FREQUENT pairs of numbers, sent to all tasks once."""
 
+    def __init__(self, often: DataFrame):
+        top = often.orderBy(F.desc("df"), "gram").limit(MOST_FREQUENT).toPandas()
+        gram = top["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(gram)
+        self.table = often.sparkSession.sparkContext.broadcast((gram[order], top["df"].to_numpy(np.int64)[order]))
 
-def shown(size, percent: int):
-    """How many first n-grams a set shows, and how many of them similar sets share at least (half the plain prefix more)."""
-    least = -(-percent * size // 100)
-    plain = size - least + 1
-    extra = plain // 2
-    return np.minimum(size, plain + extra), extra + 1
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        """Counts of n-grams, 0 for those that are not known as frequent."""
+        known, df = self.table.value
+        if not len(known):
+            return np.zeros(len(gram), np.int64)
+        k = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+        return np.where(known[k] == gram, df[k], 0)
 
 
-def heads(documents: DataFrame, often: DataFrame, n: int, percent: int) -> DataFrame:
-    """Postings ``gram, fp, size, pos, rare`` of the heads of all classes that can link; a task sends a class once.
+def heads(documents: DataFrame, frequencies: Frequencies, n: int, percent: int) -> DataFrame:
+    """Heads of all classes that can link; a task sends a class once.
 
-    ``rare`` is how many of the class's n-grams are not frequent; they come first, so a posting from there on is frequent.
+    ``gram, fp, size`` of each rare n-gram of a head, and one row ``fp, size, rank, often`` of a class with frequent ones:
+    these, and its share of rare n-grams in millionths.
     """
-    top = often.orderBy(F.desc("df"), "gram").limit(MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT pairs of numbers
-    known = documents.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(np.int64), top["df"].to_numpy(np.float64)))
+    names = ["gram", "fp", "size", "rank", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, df = known.value
-        order = np.argsort(grams.view(np.uint64))
-        grams, tier = grams.view(np.uint64)[order], np.log2(np.maximum(df, 1))[order].astype(np.int64) if len(df) else np.zeros(0, np.int64)
         seen: set[int] = set()
         for b in batches:
             for _, _, raw, at in slices(b.column(0)):
@@ -164,20 +183,236 @@ def heads(documents: DataFrame, often: DataFrame, n: int, percent: int) -> DataF
                 gram, row = gram[on], row[on]
                 if not len(gram):
                     continue
-                rank = np.zeros(len(gram), np.int64)
-                if len(grams):
-                    k = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-                    rank = np.where(grams[k] == gram, tier[k] + 1, 0)
-                    o = np.lexsort((gram, rank, row))
-                    gram, row, rank = gram[o], row[o], rank[o]
-                rare = np.bincount(row[rank == 0], minlength=len(size))
-                start = np.searchsorted(row, row)
-                pos = np.arange(len(row)) - start
-                head, _ = shown(size, percent)
-                on = pos < head[row]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[on].view(np.int64)), pa.array(fp[row[on]].view(np.int64)), pa.array(size[row[on]].astype(np.int32)), pa.array(pos[on].astype(np.int32)), pa.array(rare[row[on]].astype(np.int32))], names=["gram", "fp", "size", "pos", "rare"])
-
-    return documents.select("text").mapInArrow(run, "gram long, fp long, size int, pos int, rare int")
+                df = frequencies.of(gram)
+                tier = np.where(df > 0, np.log2(np.maximum(df, 1)).astype(np.int64) + 1, 0)
+                o = np.lexsort((gram, tier, row))
+                gram, row, tier = gram[o], row[o], tier[o]
+                rare = np.bincount(row[tier == 0], minlength=len(size))
+                on = np.arange(len(row)) - np.searchsorted(row, row) < shown(size, percent)[0][row]
+                gram, row, tier = gram[on].view(np.int64), row[on], tier[on]
+                key = fp.view(np.int64)
+                r = row[tier == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[tier == 0]), pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.list_(pa.int64()))], names=names)
+                row, gram = row[tier > 0], gram[tier > 0]
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+                r = row[first]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(gram))
+                yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.array((rare[r] * 1_000_000 // np.maximum(size[r], 1)).astype(np.int32)), lists], names=names)
+
+    return documents.select("text").mapInArrow(run, "gram long, fp long, size int, rank int, often array<long>")
+
+
+def met(heads_: DataFrame, percent: int) -> DataFrame:
+    """What the lists give, by ``kind``: 0, classes ``a, b`` that share ``n`` n-grams of short lists, of which they need
+    ``least`` in all; 1, class ``a`` in a long list led by ``b``; 2, class ``a`` with its frequent n-grams and rank ``n``.
+
+    Streams lists sorted by n-gram; what is held of a list is at most SHORT classes, or the leader of a longer one.
+    """
+    names, short = ["kind", "a", "b", "n", "least", "often"], SHORT
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, least: np.ndarray, often: pa.Array | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(x).astype(np.int64)) for x in (a, b, n, least)), pa.nulls(len(a), pa.list_(pa.int64())) if often is None else often], names=names)
+
+    def counted(pairs: list) -> pa.RecordBatch:
+        a, b, least = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        o = np.lexsort((b, a))
+        a, b, least = a[o], b[o], least[o]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return rows(0, a[at], b[at], np.diff(np.append(at, len(a))), least[at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None  # the list that a batch breaks off in
+        far: tuple | None = None  # n-gram, leader and last class of a longer one
+        pairs, many = [], 0
+
+        def whole(f: np.ndarray, s: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Pairs and leaders of the lists that ``at`` cuts from the classes ``f`` of sizes ``s``."""
+            nonlocal pairs, many
+            count = np.diff(at)
+            for n in np.unique(count[(count > 1) & (count <= short)]):
+                first = at[:-1][count == n]
+                for lo in range(0, len(first), 4096):
+                    i, j = (first[lo : lo + 4096, None] + k for k in np.triu_indices(int(n), 1))
+                    x, y, m, q = f[i].ravel(), f[j].ravel(), s[i].ravel().astype(np.int64), s[j].ravel().astype(np.int64)
+                    ok = percent * np.maximum(m, q) <= 100 * np.minimum(m, q)
+                    x, y, m, q = x[ok], y[ok], m[ok], q[ok]
+                    pairs.append((np.minimum(x, y), np.maximum(x, y), np.minimum(shown(m, percent)[1], shown(q, percent)[1])))
+                    many += len(x)
+                    if many >= 1_000_000:
+                        yield counted(pairs)
+                        pairs, many = [], 0
+            for k in np.flatnonzero(count > short):
+                u = f[at[k] + 1 : at[k + 1]]
+                yield rows(1, u, np.full(len(u), f[at[k]]), np.zeros(len(u)), np.zeros(len(u)))
+
+        for b in batches:
+            lone = b.column(4).is_valid()
+            c = b.filter(lone)
+            if c.num_rows:
+                yield rows(2, *(c.column(k).to_numpy() for k in (1, 1, 3, 2)), c.column(4))
+            b = b.filter(pc.invert(lone))
+            g, f, s = (b.column(k).to_numpy() for k in range(3))
+            if rest is not None:
+                g, f, s = (np.concatenate(x) for x in zip(rest, (g, f, s), strict=True))
+                rest = None
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (f[1:] != f[:-1])
+            if far is not None and len(g):
+                new[0] &= (g[0], f[0]) != (far[0], far[2])
+            g, f, s = g[new], f[new], s[new]
+            if far is not None and len(g):
+                k = int(np.searchsorted(g, far[0], "right"))
+                yield rows(1, f[:k], np.full(k, far[1]), np.zeros(k), np.zeros(k))
+                far = (far[0], far[1], f[-1]) if k == len(g) else None
+                g, f, s = g[k:], f[k:], s[k:]
+            if not len(g):
+                continue
+            at = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+            if at[-1] - at[-2] > short:
+                far = (g[-1], f[at[-2]], f[-1])
+            else:
+                rest = [x[at[-2] :] for x in (g, f, s)]
+                at = at[:-1]
+            yield from whole(f, s, at)
+        if rest is not None:
+            yield from whole(rest[1], rest[2], np.array([0, len(rest[0])]))
+        if pairs:
+            yield counted(pairs)
+
+    return heads_.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "kind int, a long, b long, n long, least long, often array<long>")
+
+
+def sets_at(column: pa.Array, n: int) -> list[np.ndarray]:
+    own: list[np.ndarray] = []
+    for _, _, raw, at in slices(column):
+        gram, to = sets_of(raw, at, n)
+        own += [gram[p:q] for p, q in zip(to[:-1], to[1:], strict=True)]
+    return own
+
+
+def both_sets(b: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row, set of ``ta`` and set of ``tb`` of a batch with ``a, b, ta, tb``; a text that repeats in a part is hashed once."""
+    for lo in range(0, b.num_rows, 256):
+        part = b.slice(lo, 256)
+        sets = []
+        for name, text in (("a", "ta"), ("b", "tb")):
+            _, first, back = np.unique(part.column(name).to_numpy(), return_index=True, return_inverse=True)
+            own = sets_at(part.column(text).take(pa.array(first)), n)
+            sets.append([own[k] for k in back])
+        for k in range(part.num_rows):
+            yield lo + k, sets[0][k], sets[1][k]
+
+
+def measured(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``a, b, m, q, both``: sizes and intersection of the whole sets of each pair. ``texts`` has ``fp, text`` of all in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((3, b.num_rows), np.int64)
+            for k, x, y in both_sets(b, n):
+                out[:, k] = len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v) for v in out)], names=["a", "b", "m", "q", "both"])
+
+    return with_texts(pairs, texts).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, m long, q long, both long")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    x = texts.select(F.col("fp").alias("a"), F.col("text").alias("ta"))
+    y = texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(x, "a").join(y, "b")
+
+
+def similar(percent: int):
+    return (F.col("both") > 0) & (100 * F.col("both") >= percent * (F.col("m") + F.col("q") - F.col("both")))
+
+
+def members(answers: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """``a, b, m, apart, weight, comp, cells``: class ``a`` of leader ``b`` and how many differences it posts in each cell.
+
+    ``weight`` is (100 + percent) * apart - (100 - percent) * m: two members are linked if and only if they share at least
+    the sum of their weights over 2 * (100 + percent) differences. A cell is a leader and a band of sizes with the band
+    below, as sizes of linked sets are close. A member is held against the least weight of another component there;
+    where there is none, it posts nothing.
+    """
+    rows = answers.withColumn("apart", F.col("m") + F.col("q") - 2 * F.col("both"))
+    rows = rows.withColumn("weight", (100 + percent) * F.col("apart") - (100 - percent) * F.col("m"))
+    rows = rows.join(joined.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("comp", F.coalesce("root", "a"))
+    # A band is a trifle wider than two linked sizes can be apart, so that they never stand two bands apart.
+    band = F.floor(F.log(F.col("m").cast("double")) / F.log(F.lit(100 / percent * (1 + 1e-9))))
+    rows = rows.withColumn("own", band).select("a", "b", "m", "apart", "weight", "comp", "own", F.explode(F.array(band, band + 1)).alias("cell"))
+    rows = materialize(rows, "members")
+    each = materialize(rows.groupBy("b", "cell", "comp").agg(F.min("weight").alias("weight")), "weights")
+    first = each.groupBy("b", "cell").agg(F.min(F.struct("weight", "comp")).alias("x")).select("b", "cell", F.col("x.weight").alias("w1"), F.col("x.comp").alias("c1"))
+    second = each.join(first, ["b", "cell"]).where("comp <> c1").groupBy("b", "cell").agg(F.first("c1").alias("c1"), F.first("w1").alias("w1"), F.min("weight").alias("w2"))
+    other = F.when(F.col("comp") == F.col("c1"), F.col("w2")).otherwise(F.col("w1"))
+    shares = F.greatest(F.lit(1), F.ceil((F.col("weight") + other) / F.lit(2 * (100 + percent))))
+    held = rows.join(second, ["b", "cell"]).withColumn("posts", F.col("apart") - shares + 1).where("posts > 0")
+    return held.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("m", "apart", "weight", "comp", "own")), F.collect_list(F.struct("cell", "posts")).alias("cells"))
+
+
+def differences(members_: DataFrame, texts: DataFrame, frequencies: Frequencies, n: int) -> DataFrame:
+    """Postings ``gram, fp, size, pos, apart, weight, comp, home, bits`` of the members' differences, seldom ones first.
+
+    ``gram`` names n-gram, leader and cell; ``home`` tells whether the cell is the band of the member's own size. How many members
+    have a difference is guessed: one that the leader lacks, as often as the corpus has it; one that it has, as much more
+    seldom than the leader's most frequent n-gram. The guess depends on n-gram and leader alone, so all use one order.
+    """
+    names = ["gram", "fp", "size", "pos", "apart", "weight", "comp", "home", "bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, lead, m, apart, weight, comp, own = (b.column(k).to_numpy() for k in range(7))
+            cells_ = b.column(7).to_pylist()
+            out: list[list[np.ndarray]] = []
+            for k, x, y in both_sets(b, n):
+                more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                all_y = frequencies.of(y)
+                top = int(all_y.max(initial=0))
+                guess = np.concatenate([np.minimum(frequencies.of(more), top), top - frequencies.of(less)])
+                gram = np.concatenate([more, less])
+                gram = gram[np.lexsort((gram, guess))]
+                bits = parities(gram, np.array([0, len(gram)]))[0]
+                for cell in cells_[k]:
+                    at = gram[: cell["posts"]]
+                    name = mix(at ^ mix(np.array([lead[k], cell["cell"]], np.int64).view(np.uint64)).sum(dtype=np.uint64))
+                    out.append([name.view(np.int64), np.arange(len(at)), np.full(len(at), k), np.full(len(at), cell["cell"] == own[k]), bits])
+                if sum(len(o[0]) for o in out) > 200_000:
+                    yield made(out, fp, m, apart, weight, comp)
+                    out = []
+            if out:
+                yield made(out, fp, m, apart, weight, comp)
+
+    def made(out: list, fp, m, apart, weight, comp) -> pa.RecordBatch:
+        gram, pos, k, home = (np.concatenate([o[c] for o in out]) for c in range(4))
+        bits = pa.array([o[4] for o in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), [len(o[0]) for o in out])))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, fp[k], m[k], pos.astype(np.int64), apart[k], weight[k], comp[k], home.astype(np.int64))] + [bits], names=names)
+
+    rows = with_texts(members_, texts).select("a", "b", "m", "apart", "weight", "comp", "own", "cells", "ta", "tb")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", bits binary")
+
+
+def cells(lists: DataFrame) -> DataFrame:
+    """Postings of lists that hold several components, with the cell ``x, y`` they are compared in and their block ``own``.
+
+    A list of more than CELL postings is dealt to blocks by component, or within a component that would fill a block.
+    Every two blocks that can hold a pair are one cell, so a task never holds more than two blocks, and members of one
+    large component do not meet each other.
+    """
+    mixed = lists.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n"), F.max("home").alias("any")).where("least < most and any = 1").select("gram", "n")
+    held = materialize(lists.join(mixed, "gram"), "mixed")
+    zero = F.lit(0).cast("long")
+    short = held.where(F.col("n") <= CELL).select("*", zero.alias("own"), zero.alias("x"), zero.alias("y")).drop("n")
+
+    long = held.where(F.col("n") > CELL)
+    large = long.groupBy("gram", "comp").agg(F.count("*").alias("many")).where(F.col("many") > CELL // 8)
+    spread = F.when(F.col("many").isNull(), F.xxhash64(F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / CELL)))).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("many") / CELL))))
+    placed = long.join(large, ["gram", "comp"], "left").withColumn("own", spread).drop("many", "n")
+    blocks = placed.groupBy("gram", "own").agg(F.min("comp").alias("c"), F.max("comp").alias("d"))
+    x, y = (blocks.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in ("own", "c", "d"))) for side in "xy")
+    one = (F.col("x_c") == F.col("x_d")) & (F.col("y_c") == F.col("y_d")) & (F.col("x_c") == F.col("y_c"))
+    both = x.join(y, "gram").where((F.col("x_own") <= F.col("y_own")) & ~one).select("gram", F.col("x_own").alias("x"), F.col("y_own").alias("y"))
+    sides = both.select("gram", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("own"))
+    return short.unionByName(placed.join(sides, ["gram", "own"]))
 
 
 def lists_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -208,203 +443,93 @@ def lists_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.
         yield edges(rest), rest
 
 
-def shared_lists(postings: DataFrame) -> DataFrame:
-    """Postings of lists with two classes at least, and ``leads``: those of the list's first LEADERS classes that stand before.
-
-    Streams: of the list that a batch breaks off in, only its last posting and its leaders are kept.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None  # last posting, its number in its list, the list's leaders, whether it was sent
-        for b in batches:
-            g, f, s, p, r = (b.column(k).to_numpy() for k in range(5))
-            if not len(g):
-                continue
-            if kept is not None:
-                g, f, s, p, r = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(kept[0], (g, f, s, p, r), strict=True))
-            new = np.ones(len(g), bool)
-            new[1:] = g[1:] != g[:-1]
-            fresh = new.copy()
-            fresh[1:] |= f[1:] != f[:-1]
-            which, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            number = np.cumsum(fresh)
-            number = number - number[first[which]]  # of the class in its list, from 0
-            if kept is not None:
-                number[which == 0] += kept[1]
-            leads = np.zeros((len(first), LEADERS), np.int64)
-            if kept is not None:
-                leads[0] = kept[2]
-            at = np.flatnonzero(fresh & (number < LEADERS))
-            leads[which[at], number[at]] = f[at]
-            last = np.append(first[1:], len(g)) - 1
-            on = fresh & (number[last][which] > 0)
-            if kept is not None and kept[3]:
-                on[0] = False
-            many = np.minimum(number[on], LEADERS)
-            values = leads[which[on]][np.arange(LEADERS) < many[:, None]]
-            column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[on]) for x in (g, f, s, p, r)), column], names=["gram", "fp", "size", "pos", "rare", "leads"])
-            kept = ((g[-1], f[-1], s[-1], p[-1], r[-1]), number[-1], leads[-1], bool(number[-1] > 0))
-
-    return postings.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "gram long, fp long, size int, pos int, rare int, leads array<long>")
-
-
-def cells(lists: DataFrame, percent: int) -> DataFrame:
-    """Postings of lists that hold several components, with the cell ``x, y`` they are compared in and their block ``own``.
-
-    A list of more than CELL postings is dealt to blocks: by size, so that most blocks are too far apart in size to be
-    compared, then by component, or within a component that would fill a block. Every two blocks that can hold a pair are
-    one cell, so a task never holds more than two blocks, and members of one large component do not meet each other.
-    In lists of frequent n-grams, classes with too few of them are left out first.
-    """
-    size = F.col("size").cast("long")
-    able = lists.where((F.col("pos") < F.col("rare")) | (100 * (size - F.col("rare")) >= percent * size))
-    mixed = able.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least < most").select("gram", "n")
-    held = materialize(able.join(mixed, "gram"), "mixed")
-    zero = F.lit(0).cast("long")
-    short = held.where(F.col("n") <= CELL).select("*", zero.alias("own"), zero.alias("x"), zero.alias("y")).drop("n")
-
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent)))
-    long = held.where(F.col("n") > CELL).withColumn("band", band)
-    large = long.groupBy("gram", "band", "comp").agg(F.count("*").alias("many")).where(F.col("many") > CELL // 8)
-    spread = F.when(F.col("many").isNull(), F.xxhash64("band", F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / CELL)))).otherwise(F.xxhash64("band", "comp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("many") / CELL))))
-    placed = long.join(large, ["gram", "band", "comp"], "left").withColumn("own", spread).drop("band", "many", "n")
-    blocks = placed.groupBy("gram", "own").agg(F.min("size").cast("long").alias("lo"), F.max("size").cast("long").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d"))
-    x, y = (blocks.select("gram", *(F.col(c).alias(f"{side}_{c}") for c in ("own", "lo", "hi", "c", "d"))) for side in "xy")
-    near = (F.col("x_own") <= F.col("y_own")) & (percent * F.col("x_lo") <= 100 * F.col("y_hi")) & (percent * F.col("y_lo") <= 100 * F.col("x_hi"))
-    one = (F.col("x_c") == F.col("x_d")) & (F.col("y_c") == F.col("y_d")) & (F.col("x_c") == F.col("y_c"))
-    both = x.join(y, "gram").where(near & ~one).select("gram", F.col("x_own").alias("x"), F.col("y_own").alias("y"))
-    sides = both.select("gram", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("own"))
-    return short.unionByName(placed.join(sides, ["gram", "own"]))
-
-
 def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of different components that share enough head n-grams.
+    """``a, b`` of different components that share a posted difference where enough can follow for the least number.
 
-    Lists of rare and of frequent n-grams are two channels. A pair with a rare head n-gram in common is found in the lists
-    of those: what it lacks to the least count its frequent head n-grams must be able to add. Any other similar pair has
-    only frequent n-grams in common, so both must have as many of them as a similar pair needs to share: in a long list
-    most classes have too few, and none of their pairs is made. Pairs are counted per task, then summed, and the count is
-    held against the least one that travels with them.
+    The first difference that a pair shares stands where so many can follow in both; each pair is sent once a task.
     """
+    full, block = 2 * (100 + percent), BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "b", "frequent", "least", "n"]
-
-        def counted(pairs: list) -> pa.RecordBatch:
-            if not pairs:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=names)
-            a, b, often, least = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            o = np.lexsort((often, b, a))
-            a, b, often, least = a[o], b[o], often[o], least[o]
-            at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (often[1:] != often[:-1])))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], often[at], least[at], np.diff(np.append(at, len(a))))], names=names)
+        def once(pairs: list) -> pa.RecordBatch:
+            p = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
         pairs, many = [], 0
-        for edge, (_, cx, cy, f, size, pos, rare, comp, bits, own) in lists_of(batches, 3):
+        for edge, (_, cx, cy, f, size, pos, apart, weight, comp, home, bits, own) in lists_of(batches, 3):
             for i, j in zip(edge[:-1], edge[1:], strict=True):
-                often, apart = pos[i] >= rare[i], cx[i] != cy[i]
-                # Sorted by size, in blocks: a block is compared with later ones while sizes and positions allow a link.
-                o = i + np.lexsort((pos[i:j], size[i:j]))
-                fo, so, po, ro, co, wo = f[o], size[o].astype(np.int64), pos[o].astype(np.int64), rare[o].astype(np.int64), comp[o], own[o]
-                for x in range(0, len(o), BLOCK):
-                    xs = slice(x, x + BLOCK)
-                    top = so[xs].max()
-                    for y in range(x, len(o), BLOCK):
-                        ys = slice(y, y + BLOCK)
-                        if percent * so[y] > 100 * top:
-                            break
-                        # At a shared n-gram, what may be shared before it counts as well as what may follow.
-                        before, after = min(po[xs].max(), po[ys].max()), min((so[xs] - po[xs]).max(), (so[ys] - po[ys]).max())
-                        if before + after < need(so[x], so[y], percent):
+                # Sorted by what can follow: a block is compared with others while that can be enough.
+                o = i + np.lexsort((f[i:j], pos[i:j] - apart[i:j]))
+                fo, so, wo, co, ho, bo = f[o], size[o], weight[o], comp[o], home[o], own[o]
+                left = (apart - pos)[o]
+                for x in range(0, len(o), block):
+                    xs = slice(x, x + block)
+                    for y in range(x, len(o), block):
+                        ys = slice(y, y + block)
+                        if left[y] * full < wo[xs].min() + wo[ys].min():
                             continue
-                        ok = (co[xs, None] != co[None, ys]) & (percent * so[None, ys] <= 100 * so[xs, None])
-                        if apart:
-                            ok &= wo[xs, None] != wo[None, ys]
-                        if often:
-                            ok &= np.minimum(so[xs, None] - ro[xs, None], so[None, ys] - ro[None, ys]) >= need(so[xs, None], so[None, ys], percent)
+                        ok = (co[xs, None] != co[None, ys]) & (percent * np.maximum(so[xs, None], so[None, ys]) <= 100 * np.minimum(so[xs, None], so[None, ys]))
+                        ok &= (ho[xs, None] | ho[None, ys]) > 0
+                        ok &= np.minimum(left[xs, None], left[None, ys]) * full >= wo[xs, None] + wo[None, ys]
+                        if cx[i] != cy[i]:
+                            ok &= bo[xs, None] != bo[None, ys]
                         if x == y:
                             ok = np.triu(ok, 1)
                         p, q = np.nonzero(ok)
-                        if len(p):
-                            m, n, u, v = so[xs][p], so[ys][q], po[xs][p], po[ys][q]
-                            on = np.minimum(u, v) + np.minimum(m - u, n - v) >= need(m, n, percent)
-                            p, q = p[on], q[on]
                         if len(p):  # no more n-grams may differ than similar sets can differ in, so no more bits
                             odd = np.bitwise_count(bits[o[xs]][p] ^ bits[o[ys]][q]).sum(axis=1, dtype=np.int64)
                             on = odd * (100 + percent) <= (so[xs][p] + so[ys][q]) * (100 - percent)
-                            p, q = p[on], q[on]
-                        if len(p):
-                            (hx, kx), (hy, ky) = shown(so[xs], percent), shown(so[ys], percent)
-                            fewer = np.minimum(kx[p], ky[q])
-                            if not often:
-                                fewer = np.maximum(1, fewer - np.minimum(np.maximum(hx - ro[xs], 0)[p], np.maximum(hy - ro[ys], 0)[q]))
-                            p, q = fo[xs][p], fo[ys][q]
-                            pairs.append((np.minimum(p, q), np.maximum(p, q), np.full(len(p), int(often)), fewer))
+                            p, q = fo[xs][p[on]], fo[ys][q[on]]
+                            pairs.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
                             many += len(p)
                             if many >= 500_000:
-                                yield counted(pairs)
+                                yield once(pairs)
                                 pairs, many = [], 0
-        yield counted(pairs)
-
-    dealt = cells(lists, percent).select("gram", "x", "y", "fp", "size", "pos", "rare", "comp", "bits", "own")
-    found = dealt.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(run, "a long, b long, frequent long, least long, n long")
-    return found.groupBy("a", "b", "frequent").agg(F.first("least").alias("least"), F.sum("n").alias("n")).where("n >= least").select("a", "b").distinct()
+        yield once(pairs)
 
-
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar. ``texts`` has ``fp, text`` of every class in them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                sets = []
-                for c in (2, 3):
-                    own = []
-                    for _, _, raw, at in slices(part.column(c)):
-                        gram, to = sets_of(raw, at, n)
-                        own += [gram[p:q] for p, q in zip(to[:-1], to[1:], strict=True)]
-                    sets.append(own)
-                for k, (x, y) in enumerate(zip(*sets, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[lo + k] = both and 100 * both >= percent * (len(x) + len(y) - both)
-            yield b.select(["a", "b"]).filter(pa.array(keep))
-
-    x = texts.select(F.col("fp").alias("a"), F.col("text").alias("ta"))
-    y = texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    dealt = cells(lists).select("gram", "x", "y", "fp", "size", "pos", "apart", "weight", "comp", "home", "bits", "own")
+    return dealt.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class_id`` of every row; ``class_id`` is the smallest id with the same set."""
-    facts, often = describe(documents, n)
-    postings = heads(documents, often, n, percent)
-    lists = materialize(shared_lists(postings), "lists")
-    classes = materialize(facts.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits")), "classes")
+    """``doc_id, n_shingles, component_id, class_id`` of every row, and ``body, group``.
 
-    # Leaders: each class against the first classes of its lists, where it meets them often enough.
-    met = lists.select("fp", "size", F.explode("leads").alias("lead")).groupBy("fp", "lead").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    stars = materialize(met.where(F.col("n") * 400 >= F.col("size") * (100 - percent)).select(F.col("fp").alias("a"), F.col("lead").alias("b")), "stars")
-    source = documents.select("doc_id", "text")
+    ``class_id`` is the smallest id with the same set, ``body`` the xxhash64 of the text and ``group`` a name of the
+    component that is there without any id, too; null where there are no words.
+    """
+    facts, often = describe(documents, n)
+    frequencies = Frequencies(often)
+    found = materialize(met(heads(documents, frequencies, n, percent), percent), "met")
+    classes = materialize(facts.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.min("body").alias("body")), "classes")
+    source = documents.select(F.xxhash64("text").alias("body"), "text")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(classes, "fp").select("fp", F.col("class_id").alias("doc_id"))
-        return materialize(source.join(wanted, "doc_id").dropDuplicates(["fp"]).select("fp", "text"), "texts")
-
-    links = materialize(verified(stars, texts_of(stars), n, percent), "links")
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(classes.select("fp", "body"), "fp")
+        return materialize(source.join(wanted, "body").dropDuplicates(["fp"]).select("fp", "text"), "texts")
+
+    # Every class against the leaders of its frequent n-grams.
+    shows = found.where("kind = 2").select(F.col("a"), F.col("n").alias("rank"), F.explode("often").alias("gram"))
+    leads = shows.groupBy("gram").agg(F.min(F.struct("rank", "a")).alias("x")).select("gram", F.col("x.a").alias("b"))
+    led = shows.join(leads, "gram").select("a", "b").union(found.where("kind = 1").select("a", "b"))
+    led = materialize(led.where("a <> b").distinct(), "led")
+    texts = texts_of(led)
+    answers = materialize(measured(led, texts, n), "answers")
+    links = answers.where(similar(percent)).select("a", "b")
     joined = materialize(connected_components(links), "joined")
 
-    # Across components: lists that hold more than one, by blocks.
-    known = classes.select("fp", "bits").join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "bits", F.coalesce("root", "fp").alias("comp"))
-    marked = lists.drop("leads").join(known, "fp")
-    pairs = materialize(cross_pairs(marked, percent), "pairs")
-    more = verified(pairs, texts_of(pairs), n, percent)
+    # Across components: members of a leader by their differences, and pairs of short lists.
+    posted = differences(members(answers, joined, percent), texts, frequencies, n)
+    derived = cross_pairs(materialize(posted, "differences"), percent)
+    counted = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("least").alias("least")).where("n >= least").select("a", "b")
+    known = joined.select("node", "root")
+    short = counted.join(known.toDF("a", "ra"), "a", "left").join(known.toDF("b", "rb"), "b", "left").where("ra is null or rb is null or ra <> rb").select("a", "b")
+    pairs = materialize(derived.union(short).distinct(), "pairs")
+    more = measured(pairs, texts_of(pairs), n).where(similar(percent)).select("a", "b")
     final = materialize(connected_components(links.union(more)), "components")
 
     named = final.withColumnRenamed("node", "fp").join(classes, "fp")
     lowest = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labels = materialize(classes.join(named.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp", "left").select("fp", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "labels")
-    full = facts.join(labels, "fp", "left")
-    return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    linked = named.select("fp", "root").join(lowest, "root")
+    labels = materialize(classes.join(linked, "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("group"), F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id")), "labels")
+    empty = F.col("n_shingles") == 0
+    return facts.join(labels, "fp", "left").select("doc_id", "n_shingles", *(F.when(empty, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")), "body", "group")

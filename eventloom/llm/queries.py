@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,17 +81,16 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("body", "group")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
-    return found
+    return {name: f for name, f in globals().items() if re.fullmatch(r"op\d+_.+", name)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL expresses."""
-    return {"op1_license_scan": op1_sql(), "op2_pivot_search": OP2_SQL}
+    return {"op1_license_scan": license_sql(), "op2_pivot_search": OP2_SQL}
 
 
 OP2_SQL = """
@@ -108,7 +108,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
-def op1_sql() -> str:
+def license_sql() -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     notices = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in license_scan.TEMPLATES)
     return f"""

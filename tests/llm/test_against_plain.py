@@ -155,32 +155,49 @@ def test_jaccard_on_stars_of_equal_length(spark):
 
 
 def test_jaccard_deals_long_lists_to_cells(spark, monkeypatch):
-    """One large component, one stranger and many small components in one list, of several sizes: no cell holds much, every
-    pair of two components that sizes allow meets once, and a cell of one component is not made."""
+    """One large component, one stranger and many small components in one list: no cell holds much, every pair of two
+    components meets once, and a cell of one component is not made."""
     monkeypatch.setattr(jaccard_join, "CELL", 64)
-    rng = random.Random(2)
-    rows = [(1, k, 100, 0, 100, 1, bytes(32)) for k in range(1000)] + [(1, 1000, 100, 0, 100, 2, bytes(32))]
-    rows += [(2, k, rng.choice([50, 60, 61, 200]), 0, 300, 5 if k % 3 else 10 + k, bytes(32)) for k in range(600)]
-    rows += [(3, k, 9, 0, 9, 7, bytes(32)) for k in range(300)] + [(4, k, 9, 0, 9, k, bytes(32)) for k in range(2)]
-    lists = spark.createDataFrame(rows, "gram long, fp long, size int, pos int, rare int, comp long, bits binary")
+    rows = [(1, k, 1, 1) for k in range(1000)] + [(1, 1000, 2, 1)]
+    rows += [(2, k, 5 if k % 3 else 10 + k, k % 2) for k in range(600)]
+    rows += [(3, k, 7, 1) for k in range(300)] + [(4, k, k, 1) for k in range(2)] + [(5, k, k, 0) for k in range(2)]
+    lists = spark.createDataFrame(rows, "gram long, fp long, comp long, home long")
     cells = {}
-    for r in jaccard_join.cells(lists, 80).collect():
-        cells.setdefault((r["gram"], r["x"], r["y"]), []).append((r["fp"], r["size"], r["comp"], r["own"]))
+    for r in jaccard_join.cells(lists).collect():
+        cells.setdefault((r["gram"], r["x"], r["y"]), []).append((r["fp"], r["comp"], r["own"]))
     assert max(map(len, cells.values())) <= 256 and {k[0] for k in cells} == {1, 2, 4}
     assert sum(len(v) for k, v in cells.items() if k[0] == 1) < 3000
-    met = [(g, *sorted((a[0], b[0]))) for (g, x, y), v in cells.items() for i, a in enumerate(v) for b in v[:i] if a[2] != b[2] and 100 * min(a[1], b[1]) >= 80 * max(a[1], b[1]) and (x == y or a[3] != b[3])]
-    want = {(a[0], *sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[5] != b[5] and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])}
+    met = [(g, *sorted((a[0], b[0]))) for (g, x, y), v in cells.items() for i, a in enumerate(v) for b in v[:i] if a[1] != b[1] and (x == y or a[2] != b[2])]
+    want = {(a[0], *sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] != 5 and a[2] != b[2]}
     assert len(met) == len(set(met)) and set(met) == want
 
 
 def test_jaccard_with_small_cells(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CELL", 8)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    for name, value in (("CELL", 8), ("BLOCK", 4), ("SHORT", 5)):
+        monkeypatch.setattr(jaccard_join, name, value)
     test_jaccard_on_stars_of_equal_length(spark)
     test_jaccard_on_edited_groups(spark, monkeypatch)
 
 
+def test_jaccard_without_known_frequencies(spark, monkeypatch):
+    """No n-gram is known as frequent, so long lists have their first class as leader."""
+    monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", 0)
+    monkeypatch.setattr(jaccard_join, "SHORT", 6)
+    test_jaccard_on_stars_of_equal_length(spark)
+    test_jaccard_on_edited_groups(spark, monkeypatch)
+
+
+def test_jaccard_of_null_and_repeated_ids(spark):
+    """A row without id links to others and names nothing; rows of one id with different texts each have their own links."""
+    words = [f"w{k}" for k in range(41)]
+    near = [*words[:40], "end"]
+    other = [f"x{k}" for k in range(41)]
+    rows = [(None, words), (None, near), (5, words), (6, other), (6, words), (3, [*other[:40], "end"]), (None, [f"y{k}" for k in range(9)])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["component_id"] is None else r["component_id"]) for r in jaccard_join.jaccard_components(df).collect())
+    assert got == [(-1, -1), (-1, 5), (-1, 5), (3, 3), (5, 5), (6, 3), (6, 5)]
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(k, " ".join(["w"] * 10), f"s{min(k // 100, 3)}" if k < 1000 else "big") for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
