@@ -37,8 +37,9 @@ from ._common import materialize
 from .components import connected_components
 from .textfeat import LOWER, SPACED, mix, slices, span_hashes, word_spans
 
-#: An n-gram counts as frequent from so many classes on, counted in runs of CHUNK n-grams where it occurs LOCAL times.
-FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 24, 2, 4_000_000, 250_000
+#: An n-gram counts as frequent from so many classes on, counted in runs of CHUNK n-grams where it occurs LOCAL times: it then
+#: occurs some times as often in all. At most MOST_FREQUENT are known (16 MB); lists of the others are led by their first class.
+FREQUENT, LOCAL, CHUNK, MOST_FREQUENT = 6, 2, 4_000_000, 1_000_000
 #: Pairs are made in lists of so many classes at most; longer ones have a leader, so no list makes more than SHORT / 2 pairs a posting.
 SHORT = 32
 BLOCK = 1024
@@ -163,7 +164,7 @@ def heads(documents: DataFrame, frequencies: Frequencies, n: int, percent: int)
     """Heads of all classes that can link; a task sends a class once.
 
     ``gram, fp, size`` of each rare n-gram of a head, and one row ``fp, size, rank, often`` of a class with frequent ones:
-    these, and its share of rare n-grams in millionths.
+    their 64-bit hashes, and its share of rare n-grams in millionths.
     """
     names = ["gram", "fp", "size", "rank", "often"]
 
@@ -192,26 +193,26 @@ def heads(documents: DataFrame, frequencies: Frequencies, n: int, percent: int)
                 gram, row, tier = gram[on].view(np.int64), row[on], tier[on]
                 key = fp.view(np.int64)
                 r = row[tier == 0]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[tier == 0]), pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(gram[tier == 0]), pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.binary())], names=names)
                 row, gram = row[tier > 0], gram[tier > 0]
                 first = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
                 r = row[first]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(gram))
+                lists = pa.array([x.tobytes() for x in np.split(gram, first[1:])] if len(r) else [], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.array((rare[r] * 1_000_000 // np.maximum(size[r], 1)).astype(np.int32)), lists], names=names)
 
-    return documents.select("text").mapInArrow(run, "gram long, fp long, size int, rank int, often array<long>")
+    return documents.select("text").mapInArrow(run, "gram long, fp long, size int, rank int, often binary")
 
 
 def met(heads_: DataFrame, percent: int) -> DataFrame:
     """What the lists give, by ``kind``: 0, classes ``a, b`` that share ``n`` n-grams of short lists, of which they need
-    ``least`` in all; 1, class ``a`` in a long list led by ``b``; 2, class ``a`` with its frequent n-grams and rank ``n``.
+    ``least`` in all; 1, class ``a`` in a long list led by ``b``; 2, class ``a`` of rank ``n`` with a frequent n-gram ``b``.
 
     Streams lists sorted by n-gram; what is held of a list is at most SHORT classes, or the leader of a longer one.
     """
-    names, short = ["kind", "a", "b", "n", "least", "often"], SHORT
+    names, short = ["kind", "a", "b", "n", "least"], SHORT
 
-    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, least: np.ndarray, often: pa.Array | None = None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(x).astype(np.int64)) for x in (a, b, n, least)), pa.nulls(len(a), pa.list_(pa.int64())) if often is None else often], names=names)
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(x).astype(np.int64)) for x in (a, b, n, least))], names=names)
 
     def counted(pairs: list) -> pa.RecordBatch:
         a, b, least = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -249,7 +250,9 @@ def met(heads_: DataFrame, percent: int) -> DataFrame:
             lone = b.column(4).is_valid()
             c = b.filter(lone)
             if c.num_rows:
-                yield rows(2, *(c.column(k).to_numpy() for k in (1, 1, 3, 2)), c.column(4))
+                held = [np.frombuffer(x, np.int64) for x in c.column(4).to_pylist()]
+                f, r = (np.repeat(c.column(k).to_numpy(), [len(x) for x in held]) for k in (1, 3))
+                yield rows(2, f, np.concatenate(held), r, np.zeros(len(f)))
             b = b.filter(pc.invert(lone))
             g, f, s = (b.column(k).to_numpy() for k in range(3))
             if rest is not None:
@@ -279,7 +282,7 @@ def met(heads_: DataFrame, percent: int) -> DataFrame:
         if pairs:
             yield counted(pairs)
 
-    return heads_.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "kind int, a long, b long, n long, least long, often array<long>")
+    return heads_.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "kind int, a long, b long, n long, least long")
 
 
 def sets_at(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -508,7 +511,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
         return materialize(source.join(wanted, "body").dropDuplicates(["fp"]).select("fp", "text"), "texts")
 
     # Every class against the leaders of its frequent n-grams.
-    shows = found.where("kind = 2").select(F.col("a"), F.col("n").alias("rank"), F.explode("often").alias("gram"))
+    shows = found.where("kind = 2").select("a", F.col("n").alias("rank"), F.col("b").alias("gram"))
     leads = shows.groupBy("gram").agg(F.min(F.struct("rank", "a")).alias("x")).select("gram", F.col("x.a").alias("b"))
     led = shows.join(leads, "gram").select("a", "b").union(found.where("kind = 1").select("a", "b"))
     led = materialize(led.where("a <> b").distinct(), "led")
