@@ -34,7 +34,8 @@ def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens with sources as even as they can be when no document is repeated: the largest sources give."""
+    """Nine tenths of the tokens with sources as even as they can be when no document is repeated: the largest sources give.
+    Documents without words leave, as they hold no tokens to draw."""
     drawn = temperature_mix.mix_sources(docs, repetition=1.0, budget_share=0.9).select(F.col("row").alias("__row"))
     return docs.join(drawn, F.xxhash64("doc_id", "text") == F.col("__row"), "left_semi")
 

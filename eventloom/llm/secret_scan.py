@@ -2,8 +2,8 @@
 
 Every whole text is scanned for the base kinds (``assign``, ``access``, ``hex``) and for candidates of the kind
 ``owned``: further runs of 20 or more token characters with both letters and digits. Hashes of all candidate values are
-aggregated by distinct repositories and owners. A value seen with at most ``max_owners`` owners is an owner-specific,
-live-looking credential; one that is copied more widely is an example. Base spans always stay and are labelled;
+aggregated by distinct repositories and owners. A value seen with at most ``max_owners`` owners, and in at most
+``max_repositories`` repositories, is an owner-specific, live-looking credential; one that is copied more widely is an example. Base spans always stay and are labelled;
 ``owned`` spans are added only where the value is owner-specific, so widely copied look-alikes are left alone.
 
 Positions come from splitting a text at its matches: pieces and matches alternate, so their lengths add up to code
@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-OWNED = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,40}[0-9])(?=[0-9_-]{0,40}[A-Za-z])[A-Za-z0-9_-]{20,}"
+OWNED = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}"
 
 
 def found(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
@@ -51,7 +51,7 @@ def candidates(documents: DataFrame, text: str = "text") -> DataFrame:
     """The rows' ``base`` spans and ``more``: ``owned`` candidates that touch no base span."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(F.filter(found(t, "assign", ASSIGN, 2), lambda m: F.length(m["value"]) >= 6), found(t, "access", ACCESS), found(t, "hex", HEX))
-    return documents.withColumn("base", base).withColumn("more", F.filter(found(t, "owned", OWNED), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    return documents.withColumn("base", base).withColumn("more", F.filter(found(t, "owned", OWNED), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
 
 
 def listed(spans: Column) -> Column:
@@ -60,25 +60,29 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan_secrets(documents: DataFrame, repository: Column, owner: Column, max_owners: int = 1, salts: int = 8) -> DataFrame:
+def scan_secrets(documents: DataFrame, repository: Column, owner: Column, max_owners: int = 1, max_repositories: int = 8, rows_per_salt: int = 20_000) -> DataFrame:
     """One row per row of ``documents``: ``doc_id, text_hash, base, added, live, example``.
 
     ``base`` and ``added`` are arrays of (kind, start, end, value); ``live`` and ``example`` split all of them by
     ownership. Only rows with candidates enter the exchange; their hashes are counted per owner and repository with
-    partial aggregation first, and the join back is salted, so a credential in a third of all rows is no hot key.
+    partial aggregation first, and in the join back a value of many occurrences has a salt for every ``rows_per_salt`` of
+    them, so a credential in a third of all rows is no hot key.
     """
     scanned = candidates(documents.select("doc_id", "text", repository.alias("repository"), owner.alias("owner")))
     scanned = scanned.select("doc_id", F.xxhash64("text").alias("text_hash"), "repository", "owner", "base", "more")
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets")
-    value = scanned.select("row", "repository", "owner", F.explode(F.concat("base", "more")).alias("span")).withColumn("hash", F.sha2("span.value", 256))
+    value = scanned.select("row", "repository", "owner", F.explode(F.concat("base", "more")).alias("span")).withColumn("hash", F.unhex(F.sha2("span.value", 256)))
     ownership = (
         value.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
         .groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("occurrences"))
     )
-    spread = materialize(ownership, "ownership").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    judged = value.withColumn("salt", F.pmod(F.col("row"), F.lit(salts)).cast("int")).join(spread, ["hash", "salt"])
-    alone = F.col("owners") <= max_owners
+    ownership = materialize(ownership.withColumn("salts", F.ceil(F.col("occurrences") / rows_per_salt).cast("int")), "ownership")
+    spread = ownership.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    hot = ownership.where("salts > 1").select("hash", "salts")  # at most one value for every rows_per_salt candidates
+    salted = value.join(hot, "hash", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int"))
+    judged = salted.join(spread, ["hash", "salt"])
+    alone = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when(alone & (F.col("span.kind") == "owned"), F.col("span"))).alias("added"),
         F.collect_list(F.when(alone, F.col("span"))).alias("live"),

@@ -80,10 +80,14 @@ def source_weights(documents: DataFrame, budget: int | None = None, entropy: flo
     a, z = exponent_for(per, spend, entropy, repetition)
     out = per.withColumn("weight", F.round(F.exp(F.lit(a) * F.log("share")) / F.lit(z), 12))
     out = out.withColumn("budget", F.floor(F.col("weight") * F.lit(spend)).cast("long"))
+    # The exponent is rounded: a budget within that of whole epochs is whole epochs, so a document at their end is not lost.
+    whole = F.round(F.col("budget") / F.col("tokens")).cast("long") * F.col("tokens")
+    close = (whole > 0) & (F.abs(whole - F.col("budget")) <= F.greatest(F.lit(1.0), F.col("tokens") * 1e-6))
+    out = out.withColumn("budget", F.when(close, whole).otherwise(F.col("budget")))
     return out.withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("long")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
 
-def mix_sources(documents: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = None, budget_share: float = 1.0, blocks: int = 64, seed: int = 17, rows_per_bucket: int = 50_000) -> DataFrame:
+def mix_sources(documents: DataFrame, budget: int | None = None, entropy: float | None = None, repetition: float | None = None, budget_share: float = 1.0, blocks: int = 64, seed: int = 17, rows_per_bucket: int = 5_000) -> DataFrame:
     """Emissions: ``row, doc_id, source, tokens, epoch, block, place, weight``; ``place`` (0 to 1) orders the whole mix.
 
     ``row`` is a hash of id and text, equal for repeated rows.

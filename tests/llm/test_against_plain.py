@@ -1,6 +1,7 @@
 """Results against plain versions, exact round trips and held-out accuracy on the smallest tables."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -59,6 +60,42 @@ def test_ownership_separates_copies(spark):
     assert out == {0: [own], 1: [], 2: [], 3: []}
 
 
+def test_ownership_equals_a_plain_count(spark, docs):
+    """Which base and owned spans are live, against sets of owners and repositories made in plain Python; hot values are salted."""
+    own = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}")
+    rows = [*docs, (700001, "x " + "z" * 41 + "1 end", "en", "s1"), (700002, "7_" * 30 + "b", "en", "s1"), (700003, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in secret_scan.scan_secrets(df, F.concat_ws("/", "source", "lang"), F.col("source"), rows_per_salt=3).collect()}
+    found, owners, repos = {}, {}, {}
+    for i, text, lang, source in rows:
+        text = text or ""
+        base = [(kind, int(a), int(b)) for kind, a, b in (s.split(":") for s in base_spans(text))]
+        more = [("owned", m.start(), m.end()) for m in own.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        found[i] = [(s, ASSIGN.fullmatch(text[s[1] : s[2]])[2] if s[0] == "assign" else text[s[1] : s[2]]) for s in base + more]
+        for _, v in found[i]:
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add((source, lang))
+    alone = lambda v: len(owners[v]) <= 1 and len(repos[v]) <= 8
+    spans = lambda r, c: sorted((s["kind"], s["start"], s["end"]) for s in r[c])
+    for i, f in found.items():
+        assert spans(out[i], "live") == sorted(s for s, v in f if alone(v)) and spans(out[i], "example") == sorted(s for s, v in f if not alone(v) and s[0] != "owned")
+        assert spans(out[i], "added") == sorted(s for s, v in f if alone(v) and s[0] == "owned")
+    assert spans(out[700001], "added") == [("owned", 2, 44)] and spans(out[700002], "added") == [("owned", 0, 61)]
+
+
+def test_values_in_many_repositories_are_examples(spark):
+    df = spark.createDataFrame([(k, "token=abcdef99", f"r{k}") for k in range(5)], "doc_id long, text string, repo string")
+    for most, live in ((4, 0), (5, 5)):
+        assert secret_scan.scan_secrets(df, F.col("repo"), F.lit("o"), max_repositories=most).where(F.size("live") > 0).count() == live
+
+
+def test_mix_draws_a_lone_document_whole(spark):
+    rows = [(k, " ".join(["w"] * (7 + k % 5)), f"s{min(k // 90, 2)}") for k in range(900)] + [(900, " ".join(["w"] * 11), "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = temperature_mix.mix_sources(df, repetition=1.0, budget_share=0.9)
+    assert out.where("source = 'lone'").count() == 1 and out.groupBy("doc_id").count().where("count > 1").count() == 0
+
+
 def test_pack_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
