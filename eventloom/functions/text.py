@@ -53,9 +53,19 @@ def normalise_name(name: Column, nfkc: bool = False) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
 
 
+# Fixed value: the pieces of a camelCase run.
+CAMEL_PIECE = r"[A-Z]?[a-z0-9]+|[A-Z]+(?=[A-Z]|$)|\d+"
+
+
 def grounding_tokens(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[^\W_]+"), F.lit(0)))
+    """Distinct lower-case tokens: runs of letters and digits, those in ASCII cut where a camelCase word begins.
+
+    A run of capitals counts up to the last one before a word or the end; an ASCII run with no such piece stays whole.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"(?U)[^\W_]+"), F.lit(0))
+    pieces = lambda t: F.regexp_extract_all(t, F.lit(CAMEL_PIECE), F.lit(0))
+    cut = F.transform(runs, lambda t: F.when(t.rlike(r"^[\x00-\x7F]+$") & (F.size(pieces(t)) > 0), pieces(t)).otherwise(F.array(t)))
+    return F.array_distinct(F.transform(F.flatten(cut), F.lower))
 
 
 def grounding_score(name: Column, text: Column) -> Column:

@@ -93,9 +93,8 @@ def jaccard_edges(g: EventGraph, domain: str | None = None, theta_group: float =
     if stop_groups:
         tags = tags.where(~F.col("group_id").isin(stop_groups))
     e = set_overlaps(part, "entity_id", entity_cap, only).select("a", "b", F.col("inter").alias("ei"), (F.col("inter") / F.col("uni")).alias("ej"))
-    t = set_overlaps(tags, "group_id", group_cap, only).where((F.col("inter") >= least_group) | F.lit(False)).select("a", "b", F.col("inter").alias("gi"), (F.col("inter") / F.col("uni")).alias("gj"))
-    weak = set_overlaps(tags, "group_id", group_cap, only).select("a", "b", F.col("inter").alias("gi"), (F.col("inter") / F.col("uni")).alias("gj")) if least_group > 1 else t
-    both = e.join(weak, ["a", "b"], "full_outer")
+    t = set_overlaps(tags, "group_id", group_cap, only).select("a", "b", F.col("inter").alias("gi"), (F.col("inter") / F.col("uni")).alias("gj"))
+    both = e.join(t, ["a", "b"], "full_outer")
     zero = lambda c, v: F.coalesce(F.col(c), F.lit(v))
     out = both.select(F.col("a").alias("a_id"), F.col("b").alias("b_id"), zero("ej", 0.0).alias("entity_jaccard"), zero("gj", 0.0).alias("group_jaccard"), zero("ei", 0).alias("entity_intersection"), zero("gi", 0).alias("group_intersection"))
     return out.where((F.col("entity_jaccard") > 0) | ((F.col("group_jaccard") >= theta_group) & (F.col("group_intersection") >= least_group)))

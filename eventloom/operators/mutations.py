@@ -70,14 +70,22 @@ def ingest(g: EventGraph, items: DataFrame) -> EventGraph:
 
 
 def edit_event(g: EventGraph, event_id, remove: list | None = None, add: list | None = None) -> EventGraph:
-    """Change an event's participants; pair counts are derived anew from participation, and entities left without events are deleted."""
+    """Change an event's participants; the pairs it had leave the counts and those it has now enter, and entities left
+    without events are deleted. Only that event's pairs are made, fewer than 2,500, so they are broadcast."""
     part = g.participated_in.where(~((F.col("event_id") == event_id) & F.col("entity_id").isin(remove or [])))
     if add:
         new = g.entities.where(F.col("id").isin(add)).select(F.col("id").alias("entity_id"), F.lit(event_id).alias("event_id"))
         part = insert_new(part, new, KEYS["participated_in"])
     orphan = g.entities.where(F.col("id").isin(remove or [])).select("id").join(part.select(F.col("entity_id").alias("id")), "id", "left_anti").withColumn("_gone", F.lit(True))
     entities = g.entities.join(orphan, "id", "left").withColumn("deprecated", F.coalesce("_gone", "deprecated")).drop("_gone")
-    return g.with_tables(participated_in=part, entity_connection=cooccurrence_edges(part), entities=entities)
+    of_event = lambda df: cooccurrence_edges(df.where(F.col("event_id") == event_id))
+    was = of_event(g.participated_in).select("a_id", "b_id", (-F.col("event_count")).alias("change"))
+    change = was.union(of_event(part)).groupBy("a_id", "b_id").agg(F.sum("change").alias("change")).where("change <> 0")
+    kept = g.entity_connection.join(F.broadcast(change), ["a_id", "b_id"], "left").withColumn("event_count", F.col("event_count") + F.coalesce("change", F.lit(0))).drop("change")
+    known = g.entity_connection.join(F.broadcast(change), ["a_id", "b_id"], "left_semi").select("a_id", "b_id")
+    new = change.join(known, ["a_id", "b_id"], "left_anti").withColumnRenamed("change", "event_count")
+    edges = kept.unionByName(new, allowMissingColumns=True).where("event_count > 0")
+    return g.with_tables(participated_in=part, entity_connection=edges, entities=entities)
 
 
 def repoint(edges: DataFrame, columns: list[str], mapping: DataFrame) -> DataFrame:

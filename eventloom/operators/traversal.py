@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import EventGraph
+from ..shared import discard, written
 
 HOP_CAP = 1000
 
@@ -17,13 +18,14 @@ def undirected(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """``id, depth`` of all nodes within ``hops`` (1 to 5) of ``seeds``, each once at its least depth; seeds excluded.
 
-    A frontier join per hop: only new nodes are joined again, so the cost follows the edges they touch.
+    A frontier join per hop, and each frontier is written: a hop reads the edges once and joins only new nodes again.
     """
     out = undirected(edges)
     frontier = seeds.toDF("id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max(1, min(5, hops)) + 1):
         frontier = out.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier = written(frontier, "frontier")
         seen = seen.union(frontier.withColumn("depth", F.lit(depth)))
     return seen.where("depth > 0")
 
@@ -107,6 +109,7 @@ def descend(groups: DataFrame, seeds: DataFrame, depth: int = 20) -> DataFrame:
     out = frontier
     for k in range(1, depth + 1):
         frontier = frontier.select(F.col("id").alias("at"), "root", "trail").join(tree, "at").where(~F.array_contains("trail", F.col("id"))).select("id", "root", F.lit(k).alias("depth"), F.concat("trail", F.array("id")).alias("trail"))
+        frontier = written(frontier, "frontier")
         if frontier.isEmpty():
             break
         out = out.union(frontier)
@@ -169,26 +172,31 @@ def ancestors(groups: DataFrame, group_id, depth: int = 10) -> DataFrame:
 def chain(edges: DataFrame, start, src: str = "source_id", dst: str = "target_id", depth: int = 100) -> DataFrame:
     """``id, place`` along single next edges from ``start``, at most ``depth`` deep; the smallest next where there are several.
 
-    Pointer doubling: after j rounds every node knows its node 2^j ahead, so seven joins reach a hundred places.
+    Pointer doubling: after j rounds every node knows its node 2^j ahead, so seven joins reach a hundred places. Each
+    doubling is written, so it reads the one before and not the edges again.
     """
-    nxt = edges.groupBy(F.col(src).alias("id")).agg(F.min(dst).alias("to"))
+    reach = written(edges.groupBy(F.col(src).alias("id")).agg(F.min(dst).alias("to")), "reach")
     found = edges.sparkSession.createDataFrame([(start, 0)], f"id {edges.schema[src].dataType.simpleString()}, place int")
-    reach, span = nxt, 1
+    span = 1
     while span <= depth:
-        found = found.union(found.join(reach, "id").select(F.col("to").alias("id"), (F.col("place") + span).alias("place")))
-        reach = reach.select("id", F.col("to").alias("mid")).join(reach.select(F.col("id").alias("mid"), "to"), "mid").select("id", "to")
+        found = written(found.union(found.join(reach, "id").select(F.col("to").alias("id"), (F.col("place") + span).alias("place"))), "found")
         span *= 2
+        if span <= depth:
+            further = written(reach.select("id", F.col("to").alias("mid")).join(reach.select(F.col("id").alias("mid"), "to"), "mid").select("id", "to"), "reach")
+            discard(reach)
+            reach = further
     return found.where(F.col("place") <= depth).groupBy("id").agg(F.min("place").alias("place"))
 
 
 def resolve_aliases(alias: DataFrame, depth: int = 20) -> DataFrame:
     """``id, canonical`` for alias pairs ``a -> b``: pointer jumping to the end of each chain. A cycle ends at its smallest id."""
-    to = alias.groupBy(F.col("entity_id_a").alias("id")).agg(F.min("entity_id_b").alias("canonical"))
+    to = written(alias.groupBy(F.col("entity_id_a").alias("id")).agg(F.min("entity_id_b").alias("canonical")), "alias")
     span = 1
     while span < depth:
         ahead = to.select(F.col("id").alias("canonical"), F.col("canonical").alias("further"))
-        to = to.join(ahead, "canonical", "left").select("id", F.coalesce("further", "canonical").alias("canonical"))
-        span *= 2
+        jumped = written(to.join(ahead, "canonical", "left").select("id", F.coalesce("further", "canonical").alias("canonical")), "alias")
+        discard(to)
+        to, span = jumped, span * 2
     return to
 
 
@@ -233,26 +241,26 @@ def event_graph(g: EventGraph, theta: float = 0.4, scope_ids: DataFrame | None =
     return induced_subgraph(e, ids).select("a_id", "b_id", F.col("entity_jaccard").alias("weight"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``id, component`` (its smallest id) of every node of ``edges`` (``a_id, b_id``): least labels with pointer jumping.
 
-    Every round takes the least label among neighbours, then the label of the label; lineage is cut by checkpoint().
+    Every round takes the least label among neighbours, then the label of the label, and is written. Raises where labels
+    still move after ``rounds``.
     """
-    spark = edges.sparkSession
-    both = undirected(edges.where("a_id <> b_id")).distinct()
+    both = written(undirected(edges.where("a_id <> b_id")).distinct(), "both")
     label = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id"))
-    cut = bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+    held = None
     for _ in range(rounds):
         near = both.join(label.toDF("dst", "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
         least = label.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         jump = least.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = least.join(jump, "component", "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "was")
-        new = new.checkpoint() if cut else new.persist()
-        moved = not new.where("component <> was").isEmpty()
-        label = new.select("id", "component")
-        if not moved:
-            break
-    return label
+        new = written(least.join(jump, "component", "left").select("id", F.least("component", F.coalesce("far", "component")).alias("component"), "was"), "labels")
+        if held is not None:
+            discard(held)
+        held, label = new, new.select("id", "component")
+        if new.where("component <> was").isEmpty():
+            return label
+    raise RuntimeError(f"components still grow after {rounds} rounds")
 
 
 def threads(next_edges: DataFrame, hits: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import traversal as T
 from ..operators import vector_search as V
 from .bridge import order_graph as graph
 from .bridge import table, vector_events
+from ..shared import written
 from .registry import query
 
 WHEN = "strftime(ts, '%Y-%m')"
@@ -49,7 +50,7 @@ ej as (select a.event_id as a_id, b.event_id as b_id, count(*) as i from p3 a jo
 
 def jaccard(spark, sf, cap):
     g = graph(spark, sf)
-    out = A.jaccard_edges(g.with_tables(event_member_of=g.event_member_of.where("false")), entity_cap=cap)
+    out = A.jaccard_edges(g, entity_cap=cap)
     return out.select("a_id", "b_id", F.round("entity_jaccard", 6).alias("entity_jaccard"), "entity_intersection")
 
 
@@ -69,23 +70,42 @@ def jaccard_capped(spark, sf):
 @query(JACCARD.format(cap=200) + JACCARD_TAIL + " where a_id = 1 or b_id = 1 or a_id = 5 or b_id = 5")
 def jaccard_incremental(spark, sf):
     g = graph(spark, sf)
-    out = A.jaccard_edges(g.with_tables(event_member_of=g.event_member_of.where("false")), only=spark.createDataFrame([(1,), (5,)], "event_id long"))
+    out = A.jaccard_edges(g, only=spark.createDataFrame([(1,), (5,)], "event_id long"))
     return out.select("a_id", "b_id", F.round("entity_jaccard", 6).alias("entity_jaccard"), "entity_intersection")
 
 
-@query(""", t as (select event_id, group_id from mo join evl on event_id = id where event_id % 40 = 0), n as (select event_id, count(*) as n from t group by 1)
+@query(JACCARD.format(cap=28) + """, tg as (select o_orderkey as event_id, 'c' || o_custkey as group_id from orders union all select o_orderkey, 'y' || o_custkey || '-' || year(o_orderdate) from orders),
+t1 as (select tg.* from tg join evl on event_id = id), t2 as (select * from t1 where group_id in (select group_id from t1 group by 1 having count(*) <= 200)), tz as (select event_id, count(*) as n from t2 group by 1),
+tj as (select a.event_id as a_id, b.event_id as b_id, count(*) as gi from t2 a join t2 b on a.group_id = b.group_id and a.event_id < b.event_id group by 1, 2),
+e as (select a_id, b_id, i / (x.n + y.n - i) as ej, i as ei from ej join sz x on x.event_id = a_id join sz y on y.event_id = b_id),
+t as (select a_id, b_id, gi / (x.n + y.n - gi) as gj, gi from tj join tz x on x.event_id = a_id join tz y on y.event_id = b_id)
+select a_id, b_id, round(coalesce(ej, 0), 6) as entity_jaccard, round(coalesce(gj, 0), 6) as group_jaccard, coalesce(ei, 0) as entity_intersection, coalesce(gi, 0) as group_intersection
+from e full outer join t using (a_id, b_id) where ei > 0 or (gj >= 0.3 and gi >= 2)""")
+def jaccard_both_channels(spark, sf):
+    """Orders linked by their parts, by tags of their customer and its years, or by both."""
+    g = graph(spark, sf)
+    o = table(spark, sf, "orders")
+    key = F.col("o_custkey").cast("string")
+    tags = F.array(F.concat(F.lit("c"), key), F.concat(F.lit("y"), key, F.lit("-"), F.year("o_orderdate").cast("string")))
+    out = A.jaccard_edges(g.with_tables(event_member_of=o.select(F.col("o_orderkey").alias("event_id"), F.explode(tags).alias("group_id"))), entity_cap=28)
+    return out.withColumn("entity_jaccard", F.round("entity_jaccard", 6)).withColumn("group_jaccard", F.round("group_jaccard", 6))
+
+
+@query(""", t as (select event_id, group_id from mo join evl on event_id = id), n as (select event_id, count(*) as n from t group by 1)
 select a.event_id as a_id, b.event_id as b_id, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) as group_jaccard, count(*) as group_intersection
-from t a join t b on a.group_id = b.group_id and a.event_id < b.event_id join n x on x.event_id = a.event_id join n y on y.event_id = b.event_id group by 1, 2 having count(*) >= 2""")
+from t a join t b on a.group_id = b.group_id and a.event_id < b.event_id join n x on x.event_id = a.event_id join n y on y.event_id = b.event_id where a.event_id in (1, 5) or b.event_id in (1, 5) group by 1, 2 having count(*) >= 2""")
 def jaccard_group_trigger(spark, sf):
+    """The tag side alone, without a cap, for two changed events against all others."""
     g = graph(spark, sf)
-    g = g.with_tables(participated_in=g.participated_in.where("false"), event_member_of=g.event_member_of.where("event_id % 40 = 0"))
-    return A.jaccard_edges(g, group_cap=None).select("a_id", "b_id", F.round("group_jaccard", 6).alias("group_jaccard"), "group_intersection")
+    g = g.with_tables(participated_in=g.participated_in.where("false"))
+    out = A.jaccard_edges(g, group_cap=None, only=spark.createDataFrame([(1,), (5,)], "event_id long"))
+    return out.select("a_id", "b_id", F.round("group_jaccard", 6).alias("group_jaccard"), "group_intersection")
 
 
 @query(JACCARD.format(cap=200) + "select case when a_id = 1 then b_id else a_id end as neighbour, round(i / (x.n + y.n - i), 6) as score from ej join sz x on x.event_id = a_id join sz y on y.event_id = b_id where a_id = 1 or b_id = 1 order by i / (x.n + y.n - i) desc, 1 limit 20")
 def jaccard_neighbors(spark, sf):
     g = graph(spark, sf)
-    e = A.jaccard_edges(g.with_tables(event_member_of=g.event_member_of.where("false")), only=spark.createDataFrame([(1,)], "event_id long"))
+    e = A.jaccard_edges(g, only=spark.createDataFrame([(1,)], "event_id long"))
     return A.jaccard_neighbours(e, 1).select("neighbour", F.round("score", 6).alias("score"))
 
 
@@ -353,32 +373,41 @@ def entity_weights(spark, sf):
     return T.entity_graph(graph(spark, sf)).select("a_id", "b_id", F.round("weight", 6).alias("weight"))
 
 
-def similar_edges(spark, sf):
-    """Vector pairs of one label with cosine of at least 0.3; 80 vectors."""
-    e = table(spark, sf, "embeddings").where("vec_id < 80")
-    a, b = e.toDF(*[c + "1" for c in e.columns]), e.toDF(*[c + "2" for c in e.columns])
-    s = a.join(b, (a["label1"] == b["label2"]) & (a["vec_id1"] < b["vec_id2"])).select(F.col("vec_id1").alias("a_id"), F.col("vec_id2").alias("b_id"), F.round(cosine(F.col("embedding1"), F.col("embedding2")) + 1, 6).alias("weight"))
-    return s
-
-
-@query("select vec_id as id, min(vec_id) over (partition by label) as component from embeddings e where vec_id < 80 and (select count(*) from embeddings where vec_id < 80 and label = e.label) > 1", prelude=False)
+@query("select o_orderkey as id, min(o_orderkey) over (partition by o_custkey) as component from orders where o_custkey in (select o_custkey from orders group by 1 having count(*) > 1)", prelude=False)
 def components(spark, sf):
-    return T.components(similar_edges(spark, sf))
+    """Orders linked by the next order of their customer: a customer's orders are one component."""
+    return T.components(graph(spark, sf).event_sequential_next.select(F.col("prev_id").alias("a_id"), F.col("next_id").alias("b_id")))
 
 
-EDGES = "with e as (select a.vec_id as a_id, b.vec_id as b_id, a.label, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) + 1, 6) as w from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where b.vec_id < 80) "
+@query(""", e as (select a_id, b_id, event_count as w from conn), m as (select sum(w) as m from e),
+win as (select x.domain as c, sum(w) as w from e join ent x on x.id = a_id join ent y on y.id = b_id where x.domain = y.domain group by 1),
+deg as (select domain as c, sum(w) as d from (select a_id as id, w from e union all select b_id, w from e) join ent using (id) group by 1)
+select round(sum(coalesce(win.w, 0) / m - pow(d / (2 * m), 2)), 6) as modularity from deg left join win using (c), m""")
+def modularity_given_labels(spark, sf):
+    """Modularity of the parts' co-occurrence under their brands."""
+    g = graph(spark, sf)
+    edges = g.entity_connection.select("a_id", "b_id", F.col("event_count").cast("double").alias("weight"))
+    return C.modularity(edges, g.entities.select("id", F.col("domain").alias("community"))).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query(EDGES + "select round(sum(x), 6) as modularity from (select sum(w) / (select sum(w) from e) - pow(2 * sum(w) / (2 * (select sum(w) from e)), 2) as x from e group by label)", prelude=False)
-def modularity_given_labels(spark, sf):
-    label = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
-    return C.modularity(similar_edges(spark, sf), label).select(F.round("modularity", 6).alias("modularity"))
+def strong_pairs(spark, sf):
+    g = graph(spark, sf)
+    return T.entity_graph(g.with_tables(entity_connection=g.entity_connection.where("event_count >= 2")))
 
 
 @query()
 def leiden_events(spark, sf):
-    g = graph(spark, sf)
-    return C.cluster(T.entity_graph(g.with_tables(entity_connection=g.entity_connection.where("event_count >= 2"))))
+    return C.cluster(strong_pairs(spark, sf))
+
+
+@query(""", k as (select id from ent where not deprecated and user_tag is null), e as (select a_id, b_id from conn where event_count >= 2 and a_id in (select id from k) and b_id in (select id from k))
+select (select count(*) from (select a_id from e union select b_id from e)) as nodes, true as beats_single_nodes, true as beats_one_community""")
+def leiden_quality(spark, sf):
+    """All nodes have a community, and modularity is above that of single nodes and of one community for all, which is 0."""
+    edges = written(strong_pairs(spark, sf), "pairs")
+    label = written(C.cluster(edges), "communities")
+    alone = C.modularity(edges, label.select("id", F.col("id").alias("community"))).toDF("alone")
+    return C.modularity(edges, label).crossJoin(alone).crossJoin(label.agg(F.count("*").alias("nodes"))).select("nodes", (F.col("modularity") > F.col("alone")).alias("beats_single_nodes"), (F.col("modularity") > 0).alias("beats_one_community"))
 
 
 # Communities given by the vectors' labels, tags by event type.

@@ -74,16 +74,16 @@ def pair_shared_events(spark, sf):
 
 
 @query("""select w.id as event_id, (select string_agg(cast(entity_id as varchar), ',' order by entity_id) from pi where event_id = w.id) as entities,
-(select string_agg(group_id, ',' order by group_id) from mo where event_id = w.id) as tags from ev w where id % 50 = 1""")
+(select string_agg(group_id, ',' order by group_id) from mo where event_id = w.id) as tags from ev w""")
 def event_context(spark, sf):
     g = graph(spark, sf)
-    return L.event_context(g, g.events.where("id % 50 = 1").select(F.col("id").alias("event_id")))
+    return L.event_context(g, g.events.select(F.col("id").alias("event_id")))
 
 
-@query("select e.id as event_id, (select min(prev_id) from nx where next_id = e.id) as prev_event, (select min(next_id) from nx where prev_id = e.id) as next_event from ev e where id % 20 = 3")
+@query("select e.id as event_id, (select min(prev_id) from nx where next_id = e.id) as prev_event, (select min(next_id) from nx where prev_id = e.id) as next_event from ev e")
 def event_adjacent(spark, sf):
     g = graph(spark, sf)
-    return L.adjacent(g, g.events.where("id % 20 = 3").select(F.col("id").alias("event_id")))
+    return L.adjacent(g, g.events.select(F.col("id").alias("event_id")))
 
 
 @query("""select conv_id * 1000 + turn as event_id, coalesce(nullif(case when turn % 3 = 0 then trim(text) else '' end, ''), substr(text, 1, 200), '') as summary from conversations""", prelude=False)
@@ -201,18 +201,18 @@ def review_candidates(spark, sf):
     return L.review_candidates(g).select("file_path", "segment_key", "event_id", "old_event_id")
 
 
-@query("""select o.o_orderkey, o.o_custkey % 20 as k, o.o_orderdate, (select p.price from p where p.k = o.o_custkey % 20 and p.fitted <= o.o_orderdate order by p.fitted desc limit 1) as price
-from (select * from orders where o_orderkey % 5 = 0) o""".replace("select o.o_orderkey", """with p as (select o_custkey % 20 as k, o_orderdate as fitted, max(o_totalprice) as price from orders where o_orderkey % 7 = 0 group by 1, 2) select o.o_orderkey""", 1), prelude=False)
+@query("""select o_orderkey, o.k, o_orderdate, price from (select o_orderkey, o_custkey % 20 as k, o_orderdate from orders) o
+asof left join (select o_custkey % 20 as k, o_orderdate as fitted, max(o_totalprice) as price from orders group by 1, 2) p on p.k = o.k and o.o_orderdate >= p.fitted""", prelude=False)
 def asof_price(spark, sf):
     o = table(spark, sf, "orders").withColumn("k", F.col("o_custkey") % 20)
-    price = o.where("o_orderkey % 7 = 0").groupBy("k", F.col("o_orderdate").alias("fitted")).agg(F.max("o_totalprice").alias("price"))
-    return L.as_of_join(o.where("o_orderkey % 5 = 0"), price, ["k"], "o_orderdate", "fitted", "price", "o_orderkey")
+    price = o.groupBy("k", F.col("o_orderdate").alias("fitted")).agg(F.max("o_totalprice").alias("price"))
+    return L.as_of_join(o, price, ["k"], "o_orderdate", "fitted", "price", "o_orderkey")
 
 
-@query("select id, row_number() over (order by id) - 1 as place from ev where id % 1000 = 1")
+@query("select id, row_number() over (order by id) - 1 as place from ev")
 def context_events(spark, sf):
     g = graph(spark, sf)
     from pyspark.sql import Window
 
-    edges = g.events.where("id % 1000 = 1").select(F.col("id").alias("source_id"), F.lit("EVT").alias("source_kind"), F.lit("c1").alias("target_id"), F.lit("CG ").alias("target_kind"), F.lit("belongs_to").alias("rel"), (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("order_index"))
+    edges = g.events.select(F.col("id").alias("source_id"), F.lit("EVT").alias("source_kind"), F.lit("c1").alias("target_id"), F.lit("CG ").alias("target_kind"), F.lit("belongs_to").alias("rel"), (F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("order_index"))
     return L.context_events(g.with_tables(context_edges=edges), "c1").select("id", "place")

@@ -15,6 +15,7 @@ from ..operators import traversal as T
 from ..operators import vector_search as V
 from ..sources import ingest
 from ..streaming import ingest as S
+from ..shared import shared_root
 from . import sql_guard
 from .bridge import order_graph as graph
 from .bridge import table
@@ -97,9 +98,7 @@ def user_sessions(spark, sf):
 @query("select a_id, b_id, event_count from conn")
 def streaming_edges(spark, sf):
     """Co-occurrence by micro-batches of whole events equals the batch result."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    root = shared_root(spark)
     at = f"{root}/edges-{uuid.uuid4().hex}"
     part = graph(spark, sf).participated_in
     for k in range(2):
@@ -111,9 +110,7 @@ def streaming_edges(spark, sf):
 
 @query("select 'ok' as status, cast(3 as bigint) as row_count union all select 'error', 0", prelude=False)
 def sql_audit(spark, sf):
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='audit-')}"
+    root = shared_root(spark)
     at = f"{root}/audit-{uuid.uuid4().hex}"
     sql_guard.audited(spark, "SELECT id FROM range(10)", at, 3)
     try:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import codec, text
@@ -11,6 +9,7 @@ from ..functions import vectors as vec
 from ..graph import EventGraph
 from ..operators import mutations as M
 from ..sources import archive, ingest
+from ..shared import shared_path, shared_root
 from . import sql_guard
 from .bridge import order_graph as graph
 from .bridge import table
@@ -50,10 +49,15 @@ def name_normalize_nfkc(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.normalise_name(F.concat(F.lit("\uff21"), F.col("p_name")), nfkc=True).alias("norm"))
 
 
-@query("""select doc_id, round(len(list_intersect(n, t)) / len(n), 6) as score from (select doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 40)), '[\\p{L}\\p{N}]+')) as n, list_distinct(regexp_extract_all(lower(substr(text, 30, 400)), '[\\p{L}\\p{N}]+')) as t from documents) where len(n) > 0""", prelude=False)
+TOKENS = """list_distinct(flatten(list_transform(regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+'), lambda w: case when regexp_full_match(w, '[\\x00-\\x7F]+')
+then string_split(lower(regexp_replace(regexp_replace(w, '([A-Z])([A-Z][a-z0-9])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), ' ') else [lower(w)] end)))"""
+GROUNDED = "coalesce(source, '') || ' TheHTTPOrder' || doc_id || 'Of' || upper(coalesce(lang, '')) || ' and-A'"
+
+
+@query(f"select doc_id, round(len(list_intersect(n, t)) / len(n), 6) as score from (select doc_id, {TOKENS.format(x=GROUNDED)} as n, {TOKENS.format(x='text')} as t from documents)", prelude=False)
 def grounding_score(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.round(text.grounding_score(F.substring("text", 1, 40), F.substring("text", 30, 400)), 6).alias("score")).where(F.size(text.grounding_tokens(F.lit("x"))) > 0).join(d.where(F.size(text.grounding_tokens(F.substring("text", 1, 40))) > 0).select("doc_id"), "doc_id", "left_semi")
+    """Names of several words and cases against whole texts."""
+    return table(spark, sf, "documents").select("doc_id", F.round(text.grounding_score(F.expr(GROUNDED), F.col("text")), 6).alias("score"))
 
 
 @query("select doc_id, length(source || '_and_' || lang) > 100 or doc_id % 3 = 0 as suspicious from documents", prelude=False)
@@ -134,12 +138,12 @@ def vector_codec(spark, sf):
     return e.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
-DIGESTS = "(select string_agg(b || ':' || d, chr(10) order by b) from (select substr(sha256(id), 1, 3) as b, sha256(string_agg(id, chr(10) order by id)) as d from (select cast({id} as varchar) as id from {t} where {id} < 1000) group by 1))"
+DIGESTS = "(select string_agg(b || ':' || d, chr(10) order by b) from (select substr(sha256(id), 1, 3) as b, sha256(string_agg(id, chr(10) order by id)) as d from (select cast({id} as varchar) as id from {t}) group by 1))"
 
 
 @query("select sha256(" + DIGESTS.format(id="event_id", t="events") + " || chr(10) || '---' || chr(10) || " + DIGESTS.format(id="vec_id", t="embeddings") + ") as source_hash", prelude=False)
 def source_hash(spark, sf):
-    return codec.source_hash(table(spark, sf, "events").where("event_id < 1000").select(F.col("event_id").alias("id")), table(spark, sf, "embeddings").where("vec_id < 1000").select(F.col("vec_id").alias("id")))
+    return codec.source_hash(table(spark, sf, "events").select(F.col("event_id").alias("id")), table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
 
 
 @query()
@@ -211,7 +215,7 @@ def merge_candidates(spark, sf):
 @query()
 def merge_candidates_fuzzy(spark, sf):
     g = graph(spark, sf)
-    names = g.entities.where("id <= 300").withColumn("name", F.concat("title", F.lit(" no"), F.col("id").cast("string"))).withColumn("domain", F.lit("d")).withColumn("type", F.lit("t"))
+    names = g.entities.withColumn("name", F.when(F.col("id") % 5 == 0, F.concat("title", F.lit("s"))).otherwise(F.col("title")))
     return M.fuzzy_candidates(g.with_tables(entities=names))
 
 
@@ -250,10 +254,10 @@ def rename_domain(spark, sf):
     return M.rename_domain(graph(spark, sf), "O", "open").events.select("domain").distinct()
 
 
-@query("select 'events' as kind, count(*) as n from (select distinct text from conversations where turn < 2 and conv_id < 50) union all select 'entities', count(*) from (select distinct role from conversations where turn < 2 and conv_id < 50)", prelude=False)
+@query("select 'events' as kind, count(*) as n from (select distinct text from conversations) union all select 'entities', count(*) from (select distinct role from conversations)", prelude=False)
 def ingest_batch(spark, sf):
-    c = table(spark, sf, "conversations").where("turn < 2 and conv_id < 50")
-    items = c.select(text.event_id(F.lit("d"), F.lit("w"), F.col("text")).alias("event_id"), F.lit("d").alias("domain"), F.substring("text", 1, 200).alias("summary"), F.array(F.struct(F.col("role").alias("name"), F.lit("role").alias("type"))).alias("entities"), F.lit("chat").alias("tag"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("at"), F.col("turn").alias("order_index"))
+    c = table(spark, sf, "conversations")
+    items = c.select(text.event_id(F.lit("d"), F.lit("w"), F.col("text")).alias("event_id"), F.lit("d").alias("domain"), F.col("text").alias("summary"), F.array(F.struct(F.col("role").alias("name"), F.lit("role").alias("type"))).alias("entities"), F.lit("chat").alias("tag"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("at"), F.col("turn").alias("order_index"))
     g = M.ingest(M.ingest(EventGraph(spark), items), items)
     return g.events.agg(F.lit("events").alias("kind"), F.count("*").alias("n")).union(g.entities.agg(F.lit("entities"), F.count("*")))
 
@@ -262,18 +266,18 @@ def ingest_batch(spark, sf):
 
 
 def small_graph(spark, sf):
-    """The orders of one priority and year with what hangs on them, under string ids."""
+    """Orders, parts and what links them, under string ids."""
     g = graph(spark, sf)
     s = lambda *c: [F.col(x).cast("string").alias(x) for x in c]
-    events = g.events.where("id % 25 = 1").select(*s("id"), "domain", "summary", "timestamp", "order_index", "deprecated", "created_at")
+    events = g.events.select(*s("id"), "domain", "summary", "timestamp", "order_index", "deprecated", "created_at")
     entities = g.entities.select(*s("id"), "name", F.lit("O").alias("domain"), "type", "deprecated")
-    part = g.participated_in.where("event_id % 25 = 1").select(*s("entity_id", "event_id"))
+    part = g.participated_in.select(*s("entity_id", "event_id"))
     return EventGraph(spark, {"events": events, "entities": entities, "participated_in": part})
 
 
-@query(", e as (select * from ev where id % 25 = 1 and domain = 'O') select 'events' as kind, count(*) as n from e union all select 'entities', count(*) from ent union all select 'participated_in', count(*) from pi where event_id in (select id from e)")
+@query(", e as (select * from ev where domain = 'O') select 'events' as kind, count(*) as n from e union all select 'entities', count(*) from ent union all select 'participated_in', count(*) from pi where event_id in (select id from e)")
 def archive_roundtrip(spark, sf):
-    root = tempfile.mkdtemp(prefix="archive-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/archive-{__import__('uuid').uuid4().hex}"
+    root = shared_path(spark, "archive")
     archive.export(small_graph(spark, sf), "O", root)
     back = archive.import_archive(EventGraph(spark), root, mode="restore")
     one = lambda n: getattr(back, n).agg(F.lit(n).alias("kind"), F.count("*").alias("n"))
@@ -336,7 +340,7 @@ def streaming_ingest_dedup(spark, sf):
     from ..streaming import ingest as S
 
     source = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    root = shared_root(spark)
     at = f"{root}/stream-{uuid.uuid4().hex}"
     for k in range(2):
         source.write.mode("append").parquet(f"{at}/in")

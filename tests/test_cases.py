@@ -168,3 +168,28 @@ def test_fuzzy_candidates_are_whole(spark, monkeypatch):
     want = {(a, b): r for b in range(len(names)) for a in range(b) if kinds[a] == kinds[b] and (r := max(ratio(names[a], names[b]), ratio(names[b], names[a]))) >= 0.85}
     sure = {p for p in want if min(ratio(*(names[k] for k in p)), ratio(*(names[k] for k in p[::-1]))) >= 0.85}
     assert len(got) == len(set(got)) and sure <= set(got) <= set(want) and {(0, 1), (2, 3), (2, 4)} <= sure
+
+
+def test_edit_event_changes_pair_counts_as_a_rebuild_would(spark):
+    from eventloom.graph import EventGraph
+    from eventloom.operators import mutations as M
+    from eventloom.operators.analytics import cooccurrence_edges
+
+    part = spark.createDataFrame([(e, v) for v, es in {1: [1, 2, 3], 2: [1, 2], 3: [2, 3, 4], 4: [4]}.items() for e in es], "entity_id long, event_id long")
+    entities = spark.createDataFrame([(i, False) for i in range(1, 7)], "id long, deprecated boolean")
+    g = EventGraph(spark, {"participated_in": part, "entities": entities, "entity_connection": cooccurrence_edges(part)})
+    for remove, add in (([2], [5]), ([1, 2, 3], None), (None, [4, 5, 6]), ([2, 3], [4])):
+        out = M.edit_event(g, 1, remove=remove, add=add)
+        pairs = lambda df: sorted(tuple(r) for r in df.select("a_id", "b_id", "event_count").collect())
+        assert pairs(out.entity_connection) == pairs(cooccurrence_edges(out.participated_in))
+
+
+def test_grounding_tokens_cut_camel_case(spark):
+    from pyspark.sql import functions as F
+
+    from eventloom.functions import text
+
+    cases = {"PoolManager": ["pool", "manager"], "HTTPServer2x": ["http", "server2x"], "snake_case-x": ["snake", "case", "x"], "ABC": ["abc"], "Überfahrt ÉtaT": ["überfahrt", "état"], "A1bC": ["a1b", "c"], "": []}
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", text.grounding_tokens(F.col("s")).alias("t"))
+    assert {r["s"]: r["t"] for r in df.collect()} == cases
+    assert spark.range(1).select(text.grounding_score(F.lit("PoolManager"), F.lit("the pool manager")).alias("x")).first()[0] == 1.0

@@ -7,6 +7,10 @@ import oracle
 from eventloom.plans.catalog import ORACLES, QUERIES
 
 
+#: Queries without SQL whose result can rightly be empty on the smallest tables.
+MAY_BE_EMPTY = {"merge_candidates_fuzzy"}
+
+
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect(DATA)
@@ -18,4 +22,4 @@ def test_query(spark, con, name):
     if name in ORACLES:
         assert oracle.difference(df, con, ORACLES[name]) is None
     else:
-        assert df.count() >= 0
+        assert df.count() >= (0 if name in MAY_BE_EMPTY else 1)
