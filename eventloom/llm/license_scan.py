@@ -1,14 +1,15 @@
 """License scans (operator 1), DataFrame functions only.
 
-Each file's header lines (lines that can name a licence) or, for a licence file, its whole text become a sparse TF-IDF
-vector over words; idf counts over all license candidates of the corpus and the templates. Its cosine with every
-template is a sum over shared terms (a join on the term with the small, fixed template index), and the best template at
-or above ``threshold`` is the file's own licence. Files without one inherit: licence files and headers declare a licence
-for their directory, and the nearest ancestor directory with a declaration decides. Ancestors are found by joining each
-directory's path prefixes with the declaring directories, once per directory and not per file.
+The candidates of a file are its lines that can name a licence; of a licence file, known by its name, also its paragraphs,
+wrapped lines joined, and its whole text. Each becomes a sparse TF-IDF vector over words; idf counts over all candidates of
+the corpus and the templates. Its cosine with every template is a sum over shared terms (a join on the term with the
+small, fixed template index), and the best template at or above ``threshold`` is the file's own licence. Files without
+one inherit: licence files declare a licence for their directory, before headers do, and the nearest ancestor directory
+with a declaration decides, up to the root. Ancestors are found by joining each directory's path prefixes with the
+declaring directories, once per directory and not per file.
 
 Defined cases: null and empty texts have no own licence and inherit. A null path has no ancestors. Cosine ties: the
-template first by name. Several declarations in one directory: the one most files make, then the higher mean cosine,
+template first by name. Several declarations in one directory: that of a licence file, then the one most files make, then the higher mean cosine,
 then the name. Directories without a declaring ancestor give null licence and ``how`` = ``none``. Repeated rows stay.
 """
 
@@ -36,29 +37,47 @@ TEMPLATES = (
     ("BSD-3-Clause", "Released under the BSD License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-LINE = r"(?i)(licen[sc]|copyright|rights reserved|spdx|permission is hereby|redistribution and use|creative commons)"
+LINE = r"(?i)(licen[sc]|copyright|rights reserved|spdx|permission is hereby|permission to use|redistribution and use|creative commons|public domain)"
+LICENSE_FILE = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)([.-][^/]*)?$"
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
 
 
-def license_lines(text: Column) -> Column:
-    """The lines that can name a licence. The cheap test of the whole text comes first."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(LINE))
-    return F.when(text.rlike(LINE), lines).otherwise(F.expr("cast(array() as array<string>)"))
+def is_license_file(path: Column) -> Column:
+    return F.coalesce(path.rlike(LICENSE_FILE), F.lit(False))
+
+
+def candidates(text: Column, path: Column) -> Column:
+    """The distinct pieces that can name a licence. The cheap test of the whole text comes first."""
+    flat = lambda t: F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " "))
+    lines = F.transform(F.split(text, "\n"), F.trim)
+    whole = F.concat(lines, F.transform(F.split(text, r"\n[ \t\r\f]*\n"), flat), F.array(flat(text)))
+    pieces = F.filter(F.when(is_license_file(path), whole).otherwise(lines), lambda piece: piece.rlike(LINE))
+    return F.when(text.rlike(LINE), F.array_distinct(pieces)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
-    """``file, line, license, cosine`` of the best template of each candidate line at or above ``threshold``.
+    """``file, line, license, cosine`` of the best template of each candidate at or above ``threshold``.
 
-    ``files`` has ``file`` and ``text``. Equal lines are scored once, so a header that a third of all files carries is
-    one row of the join, and its term statistics are pre-aggregated.
+    ``files`` has ``file``, ``path`` and ``text``. Equal candidates are scored once, so a header that a third of all files
+    carries is one row of the join, and its term statistics are pre-aggregated.
     """
     spark = files.sparkSession
-    lines = files.select("file", F.explode(license_lines(F.col("text"))).alias("line"))
-    lines = materialize(lines.select("file", F.trim("line").alias("line")), "license_lines")
+    lines = materialize(files.select("file", F.explode(candidates(F.col("text"), F.col("path"))).alias("line")), "license_lines")
     distinct = materialize(lines.groupBy("line").agg(F.count("*").alias("n")), "license_distinct")
     known = spark.createDataFrame(list(templates), "license string, template string")
     terms = distinct.select("line", "n", F.explode(words(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
@@ -89,10 +108,10 @@ def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     own = materialize(own, "license_own")
     narrow = named.select("file", "path", "dir")
     marked = materialize(narrow.join(own, "file", "left"), "license_files")
-    votes = marked.where("own is not null and path is not null").groupBy("dir", "own").agg(F.count("*").alias("n"), F.sum(F.col("own_cosine").cast("decimal(28,6)")).alias("c"))
-    declared = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("c") / F.col("n")).alias("c"), "own")).alias("b")).select(F.col("dir").alias("ancestor"), F.col("b.own").alias("inherited"))
+    votes = marked.where("own is not null and path is not null").groupBy("dir", "own", is_license_file(F.col("path")).alias("by_file")).agg(F.count("*").alias("n"), F.sum(F.col("own_cosine").cast("decimal(28,6)")).alias("c"))
+    declared = votes.groupBy("dir").agg(F.min(F.struct((~F.col("by_file")).alias("f"), (-F.col("n")).alias("n"), (-F.col("c") / F.col("n")).alias("c"), "own")).alias("b")).select(F.col("dir").alias("ancestor"), F.col("b.own").alias("inherited"))
     depth = F.size(F.split("dir", "/"))
-    prefixes = F.transform(F.sequence(F.lit(1), depth), lambda k: F.concat_ws("/", F.slice(F.split("dir", "/"), F.lit(1), k)))
+    prefixes = F.array_distinct(F.transform(F.sequence(F.lit(0), depth), lambda k: F.concat_ws("/", F.slice(F.split("dir", "/"), F.lit(1), k))))
     dirs = marked.where("path is not null").select("dir").distinct().withColumn("ancestor", F.explode(prefixes))
     nearest = dirs.join(declared, "ancestor").groupBy("dir").agg(F.max_by(F.struct(F.col("ancestor"), F.col("inherited")), F.length("ancestor")).alias("near"))
     nearest = materialize(nearest.select("dir", F.col("near.ancestor").alias("declared_in"), F.col("near.inherited").alias("inherited")), "license_dirs")

@@ -29,12 +29,12 @@ def held_out(modulus: int, rest: int):
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are documents, in folders of their source, its languages and hundreds of ids: every fiftieth id stands in the
-    source's own folder, every other tenth in the language's, the rest below."""
+    """Files are documents, in folders of their source, its languages and hundreds of ids: every fiftieth id is a licence file
+    in the source's own folder, every other tenth stands in the language's, the rest below; every thousandth is at the root."""
     docs, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     source, lang = F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))
-    folder = F.when(i % 50 == 0, source).when(i % 10 == 0, F.concat_ws("/", source, lang)).otherwise(F.concat_ws("/", source, lang, F.floor(i / 100).cast("string")))
-    path = F.concat(folder, F.lit("/"), i.cast("string"), F.lit(".txt"))
+    folder = F.when(i % 1000 == 0, "").when(i % 50 == 0, source).when(i % 10 == 0, F.concat_ws("/", source, lang)).otherwise(F.concat_ws("/", source, lang, F.floor(i / 100).cast("string")))
+    path = F.concat(folder, F.when(folder == "", "").otherwise("/"), F.when(i % 50 == 0, F.concat(F.lit("LICENSE."), i.cast("string"))).otherwise(F.concat(i.cast("string"), F.lit(".txt"))))
     return license_scan.scan_licenses(docs.select(i.alias("file"), path.alias("path"), "text")).withColumnRenamed("file", "doc_id")
 
 
@@ -99,10 +99,10 @@ with v as (
   from embeddings
   where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  select q.vec_id as query_id, q.v as qv, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from (select distinct vec_id, v from v where vec_id % 50 = 0) q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+  select query_id, cast(row_number() over (partition by query_id, qv order by score desc, vec_id) as int) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """
@@ -111,11 +111,15 @@ select query_id, rank, vec_id, score from r where rank <= 5
 def license_sql() -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     notices = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in license_scan.TEMPLATES)
-    return f"""
+    return rf"""
 with files as (
-  select doc_id, coalesce(source, '-') || case when doc_id % 50 = 0 then '' else '/' || coalesce(lang, '-') || case when doc_id % 10 = 0 then '' else '/' || cast(floor(doc_id / 100) as bigint) end end as dir, doc_id || '.txt' as name, text from documents
+  select doc_id, doc_id % 50 = 0 as by_file, case when doc_id % 1000 = 0 then '' else coalesce(source, '-') || case when doc_id % 50 = 0 then '' else '/' || coalesce(lang, '-') || case when doc_id % 10 = 0 then '' else '/' || cast(floor(doc_id / 100) as bigint) end end end as dir, case when doc_id % 50 = 0 then 'LICENSE.' || doc_id else doc_id || '.txt' end as name, text from documents
+), pieces as (
+  select doc_id, trim(unnest(string_split(text, chr(10)))) as line from files
+  union all select doc_id, trim(regexp_replace(unnest(regexp_split_to_array(text, '\n[ \t\r\f]*\n')), '[ \t\n\r\f]+', ' ', 'g')) from files where by_file
+  union all select doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) from files where by_file
 ), lines as (
-  select doc_id, trim(line) as line from (select doc_id, unnest(string_split(text, chr(10))) as line from files) where regexp_matches(line, {quote(license_scan.LINE)})
+  select distinct doc_id, line from pieces where regexp_matches(line, {quote(license_scan.LINE)})
 ), di as (select line, count(*) as n from lines group by 1),
 terms as (select line, n, term, count(*) as tf from (select line, n, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) as term from di) where term <> '' group by 1, 2, 3),
 known(license, template) as (values {notices}),
@@ -129,11 +133,11 @@ dots as (select line, license, template, cast(sum(cast(x * y as decimal(28, 12))
 scored as (select line, license, round(dot / (nx * ny), 6) as cosine from dots join nx using (line) join ny using (license, template)),
 best as (select line, license, cosine from scored where cosine >= 0.6 qualify row_number() over (partition by line order by cosine desc, license) = 1),
 own as (select doc_id, license, cosine from lines join best using (line) qualify row_number() over (partition by doc_id order by cosine desc, license) = 1),
-votes as (select dir, license, count(*) as n, sum(cast(cosine as decimal(28, 6))) as c from files join own using (doc_id) group by 1, 2),
-declared as (select dir as ancestor, license as inherited from votes qualify row_number() over (partition by dir order by n desc, c / n desc, license) = 1),
-dirs as (select distinct dir, unnest(list_transform(range(1, len(string_split(dir, '/')) + 1), lambda k: array_to_string(string_split(dir, '/')[1:k], '/'))) as ancestor from files),
+votes as (select dir, license, by_file, count(*) as n, sum(cast(cosine as decimal(28, 6))) as c from files join own using (doc_id) group by 1, 2, 3),
+declared as (select dir as ancestor, license as inherited from votes qualify row_number() over (partition by dir order by by_file desc, n desc, c / n desc, license) = 1),
+dirs as (select distinct dir, unnest(list_transform(range(0, len(string_split(dir, '/')) + 1), lambda k: array_to_string(string_split(dir, '/')[1:k], '/'))) as ancestor from files),
 near as (select dir, ancestor as declared_in, inherited from dirs join declared using (ancestor) qualify row_number() over (partition by dir order by length(ancestor) desc) = 1)
-select doc_id, dir || '/' || name as path, coalesce(license, inherited) as license, cosine,
+select doc_id, case dir when '' then '' else dir || '/' end || name as path, coalesce(license, inherited) as license, cosine,
   case when license is not null then 'own' when inherited is not null then 'inherited' else 'none' end as how, case when license is null then declared_in end as declared_in
 from files left join own using (doc_id) left join near using (dir)
 """

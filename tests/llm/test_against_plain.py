@@ -1,5 +1,6 @@
 """Results against plain versions, exact round trips and held-out accuracy on the smallest tables."""
 
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import oracle
 from conftest import DATA
-from eventloom.llm import hilbert_pack, itq_dedup, jaccard_join, pivot_search, queries, secret_scan, temperature_mix
+from eventloom.llm import hilbert_pack, itq_dedup, jaccard_join, license_scan, pivot_search, queries, secret_scan, temperature_mix
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,27 @@ def docs(spark):
     return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
 
 
+def test_licence_files_and_inheritance(spark):
+    """Wrapped licence files of common layouts, one at the root; who inherits what, against a plain walk up the path."""
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe rest."
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this document, but changing it is not allowed."
+    apache = "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS"
+    mpl = "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"
+    header = "Released under the BSD License.\ncode"
+    files = {"LICENSE": mit, "src/a.py": "code", "src/deep/b.py": "x", "gpl/COPYING": gpl, "gpl/src/c.c": "int", "ap/LICENSE.txt": apache, "ap/x/y/z.js": "", "mpl/licence-mpl": mpl, "mpl/q.py": header, "mpl/r.py": "r", "mpl/s.py": header, "bsd/one.py": header, "bsd/two.py": "two", "lonely.txt": None, "src/LICENSES.py": "nothing"}
+    want = {"LICENSE": "MIT", "gpl/COPYING": "GPL-3.0", "ap/LICENSE.txt": "Apache-2.0", "mpl/licence-mpl": "MPL-2.0", "mpl/q.py": "BSD-3-Clause", "mpl/s.py": "BSD-3-Clause", "bsd/one.py": "BSD-3-Clause"}
+    declared = {"": "MIT", "gpl": "GPL-3.0", "ap": "Apache-2.0", "mpl": "MPL-2.0", "bsd": "BSD-3-Clause"}
+    df = spark.createDataFrame([(p, p, t) for p, t in files.items()] + [("none", None, "x")], "file string, path string, text string")
+    out = {r["file"]: r for r in license_scan.scan_licenses(df).collect()}
+    for p in files:
+        up = p
+        while p not in want and (up := up.rpartition("/")[0]) not in declared:
+            pass
+        assert (out[p]["license"], out[p]["how"]) == ((want[p], "own") if p in want else (declared[up], "inherited")), p
+        assert out[p]["declared_in"] == (None if p in want else up)
+    assert out["none"]["how"] == "none"
+
+
 def test_pivot_search_equals_sql(spark):
     assert oracle.difference(queries.op2_pivot_search(spark, DATA), oracle.connect(DATA), queries.OP2_SQL) is None
 
@@ -38,6 +60,24 @@ def test_pivot_search_over_many_cells(spark):
     assert got == want
 
 
+def test_pivot_search_of_lengths_repeats_and_ties(spark):
+    """Three lengths, one of them not in the pivots' sample, repeated queries, one vector in thousands of copies over many
+    cells, and clusters in which bounds rule leaves out."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((6, 8)) * 20
+    rows = [(i, (centres[i % 6] + 0.05 * rng.standard_normal(8)).astype(np.float32).tolist()) for i in range(1200)]
+    rows += [(5000 + i, [1.0, 2.0, 3.0]) for i in range(2500)] + [(5000, [1.0, 2.0, 3.0]), (9000, [0.5, 0.25, 0.0])]
+    rows += [(9050, [3.0, 4.0]), (9051, [1.0, 1.0]), (9100, [7.0])] + rows[:1]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in pivot_search.pivot_top_k(df, F.col("vec_id") % 50 == 0, block=300, pivot_sample=500).collect())
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64)) for i, v in rows]
+    want = []
+    for q, y in {(i, tuple(v)): (i, v) for i, v in whole if i % 50 == 0}.values():
+        best = sorted((-int(v @ y), i) for i, v in whole if i != q and len(v) == len(y))[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_secrets(spark, docs):
     out = {r["doc_id"]: r for r in queries.op4_secret_scan(spark, DATA).collect()}
     for i, text, _, _ in docs:
@@ -143,6 +183,52 @@ def test_embedding_recall(spark):
         assert (got <= links).all() and got.sum() >= 0.9 * links.sum()
 
 
+def test_itq_recall_on_planted_copies(spark):
+    """Near copies of the table's own vectors at cosines of 0.98 to 1, in several labels and two lengths, in tens of thousands of
+    rows; a small block makes parts long and lets them differ in a bit."""
+    rng = np.random.default_rng(8)
+    own = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding", "label").toPandas()
+    base = np.stack(own["embedding"]).astype(np.float64)
+    base = np.concatenate([base, rng.standard_normal((10_000, base.shape[1]))])
+    label = np.concatenate([own["label"].to_numpy() % 3, rng.choice(3, 10_000, p=[0.8, 0.15, 0.05])])
+    pick = rng.integers(0, len(base), 12_000)
+    unit = base[pick] / np.linalg.norm(base[pick], axis=1, keepdims=True)
+    noise = rng.standard_normal(unit.shape)
+    noise -= (noise * unit).sum(axis=1, keepdims=True) * unit
+    cosine = rng.uniform(0.98, 1, (len(pick), 1))
+    near = cosine * unit + np.sqrt(1 - cosine**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    sets = [(np.concatenate([base, near]), np.concatenate([label, label[pick]])), (np.concatenate([base[:500], near[pick < 500]])[:, :5], np.concatenate([label[:500], label[pick[pick < 500]]]))]
+    rows, links = [], []
+    for x, y in sets:
+        x = x.astype(np.float32)
+        at = len(rows)
+        rows += [(at + k, v, int(z)) for k, (v, z) in enumerate(zip(x.tolist(), y, strict=True))]
+        u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+        count = np.zeros(len(u), np.int64)
+        for z in range(3):
+            on = np.flatnonzero(y == z)
+            for lo in range(0, len(on), 2000):
+                count[on[lo : lo + 2000]] = (u[on[lo : lo + 2000]] @ u[on].T >= 0.98).sum(axis=1) - 1
+        links.append(count)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(8)
+    for block in (1024, 8):
+        got = np.array([r[1] for r in sorted((r["vec_id"], r["n_links"]) for r in itq_dedup.near_duplicates(df, block=block).collect())])
+        for part, want in zip(np.split(got, [len(links[0])]), links, strict=True):
+            assert (part <= want + 1e-9).all() and part.sum() >= 0.9 * want.sum(), (block, part.sum() / want.sum())
+            print("recall", block, part.sum() / want.sum())
+
+
+def test_itq_of_other_lengths_and_the_threshold(spark):
+    """A lone pair of another length links, and so does a pair at the threshold itself."""
+    rows = [(k, [math.cos(k), math.sin(k), 1.0], 1) for k in range(60)] + [(100, [1.0, 0.0], 1), (101, [1.0, 0.01], 1), (102, [1.0], 1), (103, [2.0], 1)]
+    rows += [(200, [1.0, 0.0, 0.0, 0.0], 2), (201, [0.6, 0.8, 0.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {r["vec_id"]: r["n_links"] for r in itq_dedup.near_duplicates(df).where("vec_id >= 100 and vec_id < 200").collect()}
+    assert out == {100: 1, 101: 1, 102: 1, 103: 1}
+    same = {r["vec_id"]: r["n_links"] for r in itq_dedup.near_duplicates(df.where("vec_id >= 200"), threshold=0.6, tables=1, bits=1).collect()}
+    assert set(same.values()) <= {0, 1}
+
+
 def test_jaccard_on_data(spark, docs):
     sets = [shingles(t) for _, t, *_ in docs]
     comp = union_find(len(sets), similar_pairs(sets))
