@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..graph import EventGraph
+from ..functions import vectors as vec
 from ..operators import community as C
+from ..operators import contexts as X
 from ..operators import lookup as L
 from ..operators import mutations as M
 from ..operators import traversal as T
@@ -161,3 +163,63 @@ def tag_move(spark, sf):
 def tag_uniqueness(spark, sf):
     tags = spark.createDataFrame([("Group", "d", None), ("Group", "d", "system"), ("Group", "e", "user"), ("Group", "d", "user")], "name string, domain string, type string")
     return M.link_or_create_groups(EventGraph(spark).groups, tags).select(F.col("domain").alias("id"), "name", "type")
+
+
+def customer_contexts(spark, sf):
+    """A customer's orders are a context, and a nation's customers are contexts below the nation's."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    groups = c.select(name("c", "c_custkey").alias("id"), name("n", "c_nationkey").alias("parent_id"), F.col("c_custkey").alias("order_index"))
+    groups = groups.unionByName(table(spark, sf, "nation").select(name("n", "n_nationkey").alias("id")), allowMissingColumns=True)
+    edges = o.select(F.col("o_orderkey").cast("string").alias("source_id"), F.lit(X.EVENT).alias("source_kind"), name("c", "o_custkey").alias("target_id"), F.lit(X.CONTEXT).alias("target_kind"), F.lit("belongs_to").alias("rel"))
+    g = X.put_groups(EventGraph(spark), groups.withColumn("name", F.lit("new")))
+    return X.link(X.link(g, edges), edges)
+
+
+STAGED = "case when {n} <= 4 then 'seed' when {n} <= 9 then 'sprout' when {n} <= 19 then 'established' else 'core' end"
+
+
+@query(f"""with o as (select o_custkey as c, count(*) as n from orders group by 1), x as (
+select 'c' || c_custkey as id, coalesce(n, 0) as own, coalesce(n, 0) as total from customer left join o on c = c_custkey
+union all select 'n' || n_nationkey, 0, (select coalesce(sum(n), 0) from customer join o on c = c_custkey where c_nationkey = n_nationkey) from nation)
+select id, own, cast(total as bigint) as total, {STAGED.format(n='total')} as stage from x""", prelude=False)
+def context_stages(spark, sf):
+    g = X.refresh_stages(customer_contexts(spark, sf))
+    return X.member_counts(g).drop("stage").join(g.context_groups.select("id", "stage"), "id")
+
+
+@query("""select 'groups' as kind, (select count(*) from customer where c_custkey % 2 = 1) as n union all select 'roots', (select count(*) from customer where c_custkey % 2 = 1)
+union all select 'edges', (select count(*) from orders where o_custkey % 2 = 1)""", prelude=False)
+def context_delete(spark, sf):
+    """Every second customer and all nations are deleted: their edges go, and the customers left have no parent."""
+    g = customer_contexts(spark, sf)
+    ids = g.context_groups.where(F.startswith("id", F.lit("n")) | (F.substring("id", 2, 20).cast("long") % 2 == 0)).select("id")
+    g = X.delete_groups(g, ids)
+    one = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return one("groups", g.context_groups).union(one("roots", g.context_groups.where("parent_id is null"))).union(one("edges", g.context_edges))
+
+
+@query("select o_orderkey as event_id, 'c' || o_custkey as id, 'n' || c_nationkey as parent_id from orders join customer on c_custkey = o_custkey", prelude=False)
+def contexts_of_events(spark, sf):
+    g = customer_contexts(spark, sf)
+    return X.contexts_of(g, table(spark, sf, "orders").select(F.col("o_orderkey").cast("string"))).select(F.col("event_id").cast("long").alias("event_id"), "id", "parent_id")
+
+
+@query("""with s as (select doc_id, 'f' || doc_id % 50 as file_path, doc_id % 7 = 0 as waits, doc_id % 5 = 0 as goes from documents)
+select file_path, case when bool_or(goes) and not bool_or(waits and not goes) then 'loaded' else 'produced' end as stage_state, count(*) filter (where not waits or goes) as loaded from s group by 1""", prelude=False)
+def load_promotion(spark, sf):
+    i = F.col("doc_id")
+    s = table(spark, sf, "documents").select("doc_id", F.lit("d").alias("domain"), F.concat(F.lit("f"), (i % 50).cast("string")).alias("file_path"), i.cast("string").alias("segment_key"), F.lit("active").alias("status"), F.when(i % 7 == 0, "produced").otherwise("loaded").alias("stage_state"))
+    files = s.select("domain", "file_path", "status", F.lit("produced").alias("stage_state")).distinct()
+    segments, files = X.promote_loaded(s, files, s.where("doc_id % 5 = 0"))
+    loaded = segments.groupBy("file_path").agg(F.count_if(F.col("stage_state") == "loaded").alias("loaded"))
+    return files.join(loaded, "file_path").select("file_path", "stage_state", "loaded")
+
+
+@query("select item_id, text is not null and trim(text) <> '' as has_vector, item_id % 3 <> 0 as own from benchmark", prelude=False)
+def vector_backfill(spark, sf):
+    """Two thirds of the rows have a vector of their own and keep it; the others get one from their text."""
+    own = F.array(F.lit(2.0).cast("float"))
+    rows = table(spark, sf, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 3 != 0, own).alias("embedding"))
+    out = X.backfill_vectors(rows, vec.deterministic_embedding(), F.col("text"))
+    return out.select("item_id", F.col("embedding").isNotNull().alias("has_vector"), F.coalesce(F.col("embedding") == own, F.lit(False)).alias("own"))

@@ -275,13 +275,33 @@ def small_graph(spark, sf):
     return EventGraph(spark, {"events": events, "entities": entities, "participated_in": part})
 
 
-@query(", e as (select * from ev where domain = 'O') select 'events' as kind, count(*) as n from e union all select 'entities', count(*) from ent union all select 'participated_in', count(*) from pi where event_id in (select id from e)")
+@query(""", e as (select * from ev where domain = 'O') select 'events' as kind, count(*) as n from e union all select 'entities', count(*) from ent union all select 'participated_in', count(*) from pi where event_id in (select id from e)
+union all select 'entity_connection', count(*) from conn union all select 'community_assignment', count(*) from e union all select 'context_edges', count(*) from e
+union all select 'event_sequential_next', count(*) from nx where prev_id in (select id from e) and next_id in (select id from e)
+union all select 'train_run', 1 + count(distinct id % 3) from e union all select 'context_groups', 2 union all select 'entity_alias', count(*) from ent where id % 7 = 0
+union all select 'build_segment_manifest', count(*) from e""")
 def archive_roundtrip(spark, sf):
+    """Rows of each table of one domain after export and restore; runs come along where an assignment names them."""
+    g, whole = small_graph(spark, sf), graph(spark, sf)
+    e, i = g.events, F.col("id")
+    runs = spark.createDataFrame([(f"run{k}", None) for k in range(3)] + [("run8", "X"), ("run9", "O")], "id string, domain string")
+    text_ids = lambda df, *c: df.select(*(F.col(x).cast("string").alias(x) if x in c else x for x in df.columns))
+    g = g.with_tables(
+        entity_connection=text_ids(whole.entity_connection, "a_id", "b_id"), event_sequential_next=text_ids(whole.event_sequential_next, "prev_id", "next_id"), train_run=runs,
+        community_assignment=e.select(F.concat(F.lit("run"), (i.cast("long") % 3).cast("string")).alias("run_id"), F.lit("event").alias("node_kind"), i.alias("node_id"), F.lit(1).cast("long").alias("community_id")),
+        context_groups=spark.createDataFrame([("c0", "O"), ("c1", "O"), ("c2", "F")], "id string, domain string"),
+        context_edges=e.select(i.alias("source_id"), F.lit("EVT").alias("source_kind"), F.lit("c0").alias("target_id"), F.lit("CG ").alias("target_kind"), F.lit("belongs_to").alias("rel")),
+        entity_alias=g.entities.where(i.cast("long") % 7 == 0).select(i.alias("entity_id_a"), F.lit("1").alias("entity_id_b"), F.lit("same").alias("relation")),
+        build_segment_manifest=e.select(i.cast("long").alias("id"), "domain", F.lit("f").alias("file_path"), i.alias("segment_key")),
+    )
     root = shared_path(spark, "archive")
-    archive.export(small_graph(spark, sf), "O", root)
+    archive.export(g, "O", root)
     back = archive.import_archive(EventGraph(spark), root, mode="restore")
-    one = lambda n: getattr(back, n).agg(F.lit(n).alias("kind"), F.count("*").alias("n"))
-    return one("events").union(one("entities")).union(one("participated_in"))
+    out = None
+    for n in back.tables:
+        one = back.tables[n].agg(F.lit(n).alias("kind"), F.count("*").alias("n"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 def halves(spark, sf):

@@ -43,19 +43,36 @@ def read_table(spark: SparkSession, root: str, name: str, defaults: dict | None
     return out.select(*cols)
 
 
+#: Edge tables, and the kind of node in each of their ends.
+ENDS = {
+    "participated_in": {"entity_id": "entity", "event_id": "event"}, "event_member_of": {"event_id": "event", "group_id": "group"}, "event_sequential_next": {"prev_id": "event", "next_id": "event"},
+    "entity_connection": {"a_id": "entity", "b_id": "entity"}, "event_jaccard_connected": {"a_id": "event", "b_id": "event"}, "entity_alias": {"entity_id_a": "entity", "entity_id_b": "entity"},
+}
+
+
 def of_domain(g: EventGraph, domain: str) -> EventGraph:
-    """A domain's nodes, and the edges with both ends among them."""
-    nodes = {n: getattr(g, n).where(F.col("domain") == domain) for n in ("entities", "events", "groups", "content_store") if n in g.tables}
-    ids = {k: nodes[n].select("id") for k, n in (("entity", "entities"), ("event", "events"), ("group", "groups")) if n in nodes}
-    ends = {"participated_in": (("entity_id", "entity"), ("event_id", "event")), "event_member_of": (("event_id", "event"), ("group_id", "group")), "event_sequential_next": (("prev_id", "event"), ("next_id", "event")), "entity_connection": (("a_id", "entity"), ("b_id", "entity")), "event_jaccard_connected": (("a_id", "event"), ("b_id", "event"))}
-    edges = {}
-    for n, sides in ends.items():
-        if n in g.tables:
-            df = g.tables[n]
-            for column, kind in sides:
-                df = df.join(ids[kind].withColumnRenamed("id", column), column, "left_semi")
-            edges[n] = df
-    return EventGraph(g.spark, nodes | edges)
+    """Everything of a domain: its nodes and manifests, edges with both ends among the nodes, assignments and context edges
+    of them, and the runs of the domain together with all runs that its assignments name."""
+    have = lambda *names: [n for n in names if n in g.tables]
+    out = {n: g.tables[n].where(F.col("domain") == domain) for n in have("entities", "events", "groups", "content_store", "build_file_manifest", "build_segment_manifest", "context_groups")}
+    node = lambda table: (out[table] if table in out else getattr(g, table).where("false")).select("id")
+    ids = {kind: node(table) for kind, table in (("entity", "entities"), ("event", "events"), ("group", "groups"), ("context", "context_groups"))}
+    for n in have(*ENDS):
+        df = g.tables[n]
+        for column, kind in ENDS[n].items():
+            df = df.join(ids[kind].withColumnRenamed("id", column), column, "left_semi")
+        out[n] = df.select(*g.tables[n].columns)
+    for n in have("community_assignment"):
+        of = [g.tables[n].where(F.col("node_kind") == kind).join(ids[kind].withColumnRenamed("id", "node_id"), "node_id", "left_semi").select(*g.tables[n].columns) for kind in ("entity", "event")]
+        out[n] = of[0].union(of[1])
+    for n in have("context_edges"):
+        kind = F.trim("source_kind")
+        of = [g.tables[n].where(kind == code).join(ids[k].withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(*g.tables[n].columns) for code, k in (("EVT", "event"), ("CG", "context"))]
+        out[n] = of[0].union(of[1])
+    for n in have("train_run"):
+        named = out["community_assignment"].select(F.col("run_id").alias("id")).distinct().withColumn("_named", F.lit(True)) if "community_assignment" in out else g.train_run.where("false").select("id", F.lit(True).alias("_named"))
+        out[n] = g.tables[n].join(named, "id", "left").where((F.col("domain") == domain) | F.coalesce("_named", F.lit(False))).select(*g.tables[n].columns)
+    return EventGraph(g.spark, out)
 
 
 def export(g: EventGraph, domain: str, root: str) -> dict:
