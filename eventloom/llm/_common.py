@@ -45,6 +45,19 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def one_label(labels: DataFrame, name: str) -> DataFrame:
+    """``doc_id, y``: one label of each id, the smallest where rows contradict each other."""
+    return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col(name).cast("int")).alias("y")).where("y is not null")
+
+
+def labelled_texts(documents: DataFrame, chosen: DataFrame) -> tuple[list, list]:
+    """Texts and labels of the ``chosen`` ids in the order of ids, for the driver. An id on several rows gives one text, the
+    smallest, so there are no more than ``chosen`` has."""
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "y").toArrow()
+    return rows["text"].to_pylist(), rows["y"].to_numpy()
+
+
 def stratified_sample(rows: DataFrame, key: str, label: str, per_class: int, seed: int = 7, max_classes: int = 1000) -> DataFrame:
     """At most about ``per_class`` rows of each value of ``label``, chosen by a hash of ``key``, so every run takes the same.
 

@@ -108,7 +108,8 @@ def fit(documents: DataFrame, learn_from, per_class: int = 800) -> LanguageModel
     """Learn from at most about ``per_class`` whole texts of each language (the documented bound) where ``learn_from`` holds."""
     known = documents.select("doc_id", "text", "lang").where(learn_from & F.col("text").isNotNull())
     chosen = stratified_sample(known, "doc_id", "lang", per_class)
-    rows = chosen.orderBy("doc_id", "text").select("text", "lang").toArrow()
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x"))  # an id on several rows counts once
+    rows = one.orderBy("doc_id").select("x.text", "x.lang").toArrow()
     return train(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
 

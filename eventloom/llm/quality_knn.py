@@ -7,7 +7,8 @@ broadcast; each block of documents is multiplied with all of them, so the neighb
 
 Defined cases: null and empty texts and texts under three bytes have no direction; their score is the sample's share of
 label 1 under equal class weights (0.5, so predicted 0). Without labelled rows every score is 0.5. Equal similarities:
-the neighbour that stands first in the sample (order of id) counts. Repeated rows are each scored.
+the neighbour that stands first in the sample (order of id) counts. Of contradicting labels of an id the smallest counts.
+Repeated rows are each scored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stratified_sample
+from ._common import labelled_texts, one_label, stratified_sample
 from .textfeat import gram_hashes, slices
 
 BUCKETS, RANK = 1 << 12, 48
@@ -91,10 +92,9 @@ def train(texts: list[str], y: np.ndarray, df: np.ndarray, n: int, k: int = 15,
 def fit(documents: DataFrame, labels: DataFrame, learn_from, per_class: int = 1500) -> QualityModel:
     """Neighbours: at most about ``per_class`` whole documents of each label (the documented bound) where ``learn_from`` holds."""
     df, n = document_frequency(documents)
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(learn_from).dropDuplicates(["doc_id"])
+    known = one_label(labels.where(learn_from), "quality")
     chosen = stratified_sample(known, "doc_id", "y", per_class)  # a few thousand ids by its bound: broadcast
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
-    return train(rows["text"].to_pylist(), rows["y"].to_numpy(), df, n)
+    return train(*labelled_texts(documents, chosen), df, n)
 
 
 def vote(column: pa.Array, m: QualityModel) -> np.ndarray:
@@ -105,6 +105,9 @@ def vote(column: pa.Array, m: QualityModel) -> np.ndarray:
     for i, j, counts in count_blocks(column):
         sim = latent(counts, m.idf, m.basis) @ m.vectors.T
         near = np.argpartition(-sim, min(m.k, sim.shape[1]) - 1, axis=1)[:, : m.k]
+        last = np.take_along_axis(sim, near, 1).min(axis=1, keepdims=True)
+        tied = np.flatnonzero((sim >= last).sum(axis=1) > near.shape[1])  # the last place is shared: the first in the sample count
+        near[tied] = np.argsort(-sim[tied], axis=1, kind="stable")[:, : m.k]
         weight = np.maximum(np.take_along_axis(sim, near, 1).astype(np.float64), 0) ** m.power * share[near]
         total = weight.sum(axis=1)
         out[i:j] = np.where(total > 0, (weight * m.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), 0.5)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stratified_sample
+from ._common import labelled_texts, one_label, stratified_sample
 from .textfeat import LOWER, WORD, mix, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 17
@@ -97,10 +97,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, per_class: int = 20
 
     ``learn_from`` is a condition on ``doc_id``. The sample is chosen by a hash of the id among all labelled rows.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(learn_from).dropDuplicates(["doc_id"])
+    known = one_label(labels.where(learn_from), "toxic")
     chosen = stratified_sample(known, "doc_id", "y", per_class)  # a few thousand ids by its bound: broadcast
-    rows = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
-    return train(rows["text"].to_pylist(), rows["y"].to_numpy())
+    return train(*labelled_texts(documents, chosen))
 
 
 def score_batch(column: pa.Array, weights: np.ndarray, bias: float, located: float) -> tuple[np.ndarray, list[list[dict]]]:

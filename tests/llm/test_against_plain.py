@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import base_spans, sha, shingles, similar_pairs, union_find
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import oracle
 from conftest import DATA
-from eventloom.llm import hilbert_pack, itq_dedup, jaccard_join, license_scan, pivot_search, queries, secret_scan, temperature_mix
+from eventloom.llm import _common, hilbert_pack, itq_dedup, jaccard_join, license_scan, pivot_search, quality_knn, queries, secret_scan, temperature_mix, toxicity_mil
 
 
 @pytest.fixture(scope="module")
@@ -348,6 +349,56 @@ def test_held_out_accuracy(spark):
     assert share(queries.op9_toxicity_mil(spark, sf).join(labels, "doc_id"), F.col("toxic") == F.col("predicted")) > 0.9
 
 
+def test_quality_vote_is_exact_with_ties():
+    """The vote against one that sorts all neighbours by similarity, then place; copies in the sample tie at the last place."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([3, 30, 90]))) for _ in range(30)]
+    known = [texts[k % 12] for k in range(60)]
+    y = np.array([rng.randrange(2) for _ in known])
+    df = np.ones(quality_knn.BUCKETS)
+    m = quality_knn.train(known, y, df, 60, k=7)
+    got = quality_knn.vote(pa.array(texts + ["", None]), m)
+    share = {1: 0.5 / (y == 1).sum() * 60, 0: 0.5 / (y == 0).sum() * 60}
+    for text, score in zip(texts, got, strict=False):
+        sim = np.concatenate([quality_knn.latent(c, m.idf, m.basis) for _, _, c in quality_knn.count_blocks(pa.array([text]))])[0] @ m.vectors.T
+        sim = np.round(sim, 5)  # copies tie
+        near = sorted(range(60), key=lambda k: (-sim[k], k))[:7]
+        weight = [max(float(sim[k]), 0) ** m.power * share[int(y[k])] for k in near]
+        want = sum(w * y[k] for w, k in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else 0.5
+        assert abs(score - want) < 1e-3
+    assert got[-2] == got[-1] == 0.5
+
+
+def test_toxic_sentences_are_located():
+    """Scores are the noisy-or of sentence scores, and the offending spans are the sentences that hold the word."""
+    weights = np.zeros(toxicity_mil.BUCKETS)
+    raw = np.frombuffer(b"zapword", np.uint8)
+    weights[toxicity_mil.bags(raw, np.array([0, 7]))[0][:1]] = 6.0
+    texts = ["Nice day. Ünïcode zapword here! Bye\nzapword zapword", "all is well. Really", "zapword", "", None]
+    score, spans = toxicity_mil.score_batch(pa.array(texts, pa.large_string()), weights, -5.0, 0.5)
+    p = lambda n: 1 / (1 + math.exp(5 - 6 * n))
+    assert np.allclose(score, [1 - (1 - p(0)) ** 2 * (1 - p(1)) * (1 - p(2)), 1 - (1 - p(0)) ** 2, p(1), 0, 0])
+    assert [texts[0][s["start"] : s["end"]].strip() for s in spans[0]] == ["Ünïcode zapword here", "zapword zapword"]
+    assert [len(s) for s in spans] == [2, 0, 1, 0, 0] and abs(spans[2][0]["score"] - p(1)) < 1e-12
+
+
+def test_toxicity_learns_from_one_class():
+    for label, low, high in ((1, 0.999, 1), (0, 0, 0.001)):
+        model = toxicity_mil.train(["some words", "other words"], np.array([label, label]))
+        score, _ = toxicity_mil.score_batch(pa.array(["words", "new ones"], pa.large_string()), *model, 0.5)
+        assert ((score >= low) & (score <= high)).all()
+
+
+def test_labels_that_contradict_and_repeat(spark):
+    """One id with two labels and several texts is one example, the same in any order of rows."""
+    rows = [(1, 1), (1, 0), (2, 1), (None, 1), (3, None)]
+    texts = spark.createDataFrame([(1, "b"), (1, "a"), (1, "c"), (2, "x"), (2, None), (None, "n")], "doc_id long, text string")
+    for order in (rows, rows[::-1]):
+        chosen = _common.one_label(spark.createDataFrame(order, "doc_id long, toxic int"), "toxic")
+        got = _common.labelled_texts(texts, chosen)
+        assert got[0] == ["a", "x"] and list(got[1]) == [0, 1]
+
+
 def test_pipeline(spark, docs):
     """Documents of the result: no toxic word lists it learned, one per group, every id in its place."""
     out = corpus_pipeline.run(spark, DATA)

@@ -109,3 +109,13 @@ def test_stages(spark, odd, none, name):
         assert out.columns == odd.columns
     if name == "near_duplicates":
         assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 6, 7, 8]
+
+
+def test_toxicity_stage(spark, odd, none, tmp_path):
+    """The first stage reads documents and labels; null and empty texts stay, and so do all columns."""
+    labels = odd.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"), F.lit("x").alias("y"))
+    for name, df in (("documents", odd), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.drop_toxic(spark, odd, str(tmp_path))
+    assert out.columns == odd.columns and out.count() == len(ROWS)
+    assert corpus_pipeline.drop_toxic(spark, none, str(tmp_path)).count() == 0
