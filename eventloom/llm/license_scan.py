@@ -71,16 +71,17 @@ def candidates(text: Column, path: Column) -> Column:
 
 
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
-    """``file, line, license, cosine`` of the best template of each candidate at or above ``threshold``.
+    """``file, license, cosine`` of the best template of each candidate at or above ``threshold``.
 
     ``files`` has ``file``, ``path`` and ``text``. Equal candidates are scored once, so a header that a third of all files
-    carries is one row of the join, and its term statistics are pre-aggregated.
+    carries is one row of the join, and its term statistics are pre-aggregated. From then on a candidate, which can be a
+    whole text, is named by its MD5 digest.
     """
     spark = files.sparkSession
-    lines = materialize(files.select("file", F.explode(candidates(F.col("text"), F.col("path"))).alias("line")), "license_lines")
-    distinct = materialize(lines.groupBy("line").agg(F.count("*").alias("n")), "license_distinct")
+    lines = materialize(files.select("file", F.explode(candidates(F.col("text"), F.col("path"))).alias("piece")).withColumn("line", F.unhex(F.md5("piece"))), "license_lines")
+    distinct = materialize(lines.groupBy("line").agg(F.count("*").alias("n"), F.first("piece").alias("piece")), "license_distinct")
     known = spark.createDataFrame(list(templates), "license string, template string")
-    terms = distinct.select("line", "n", F.explode(words(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
+    terms = distinct.select("line", "n", F.explode(words(F.col("piece"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
     notices = known.select("license", "template", F.explode(words(F.col("template"))).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("tf"))
     total = distinct.agg(F.sum("n").alias("n")).select(F.coalesce("n", F.lit(0)).alias("total"))
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))
@@ -95,7 +96,7 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     dot = x.join(F.broadcast(y), "term").groupBy("line", "license", "template").agg(F.sum(dec(F.col("x") * F.col("y"))).cast("double").alias("dot"))  # the templates are a fixed list
     scored = dot.join(nx, "line").join(F.broadcast(ny), ["license", "template"]).select("line", "license", F.round(F.col("dot") / (F.col("nx") * F.col("ny")), 6).alias("cosine")).where(F.col("cosine") >= threshold)
     ranked = scored.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("line", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
-    return lines.join(materialize(ranked, "license_best"), "line").select("file", "line", "license", "cosine")
+    return lines.join(materialize(ranked, "license_best"), "line").select("file", "license", "cosine")
 
 
 def scan_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
