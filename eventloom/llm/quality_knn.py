@@ -6,8 +6,8 @@ broadcast; each block of documents is multiplied with all of them, so the neighb
 ``k`` nearest are averaged with weights that grow with the similarity.
 
 Defined cases: null and empty texts and texts under three bytes have no direction; their score is the sample's share of
-label 1 under equal class weights (0.5, so predicted 0). Without labelled rows every score is 0.5. Equal similarities:
-the neighbour that stands first in the sample (order of id) counts. Of contradicting labels of an id the smallest counts.
+label 1 under equal class weights (0.5, so predicted 0). Without labelled rows every score is 0.5. Similarities
+equal to four decimals: the neighbour that stands first in the sample (order of id) counts. Of contradicting labels of an id the smallest counts.
 Repeated rows are each scored.
 """
 
@@ -103,7 +103,7 @@ def vote(column: pa.Array, m: QualityModel) -> np.ndarray:
         return out
     share = np.where(m.labels == 1, 0.5 / max(1, (m.labels == 1).sum()), 0.5 / max(1, (m.labels == 0).sum())) * len(m.labels)
     for i, j, counts in count_blocks(column):
-        sim = latent(counts, m.idf, m.basis) @ m.vectors.T
+        sim = np.round(latent(counts, m.idf, m.basis) @ m.vectors.T, 4)  # so that copies tie
         near = np.argpartition(-sim, min(m.k, sim.shape[1]) - 1, axis=1)[:, : m.k]
         last = np.take_along_axis(sim, near, 1).min(axis=1, keepdims=True)
         tied = np.flatnonzero((sim >= last).sum(axis=1) > near.shape[1])  # the last place is shared: the first in the sample count
