@@ -104,8 +104,9 @@ def jaccard_group_trigger(spark, sf):
 
 @query(JACCARD.format(cap=200) + "select case when a_id = 1 then b_id else a_id end as neighbour, round(i / (x.n + y.n - i), 6) as score from ej join sz x on x.event_id = a_id join sz y on y.event_id = b_id where a_id = 1 or b_id = 1 order by i / (x.n + y.n - i) desc, 1 limit 20")
 def jaccard_neighbors(spark, sf):
+    """By their parts alone."""
     g = graph(spark, sf)
-    e = A.jaccard_edges(g, only=spark.createDataFrame([(1,)], "event_id long"))
+    e = A.jaccard_edges(g.with_tables(event_member_of=g.event_member_of.where("false")), only=spark.createDataFrame([(1,)], "event_id long"))
     return A.jaccard_neighbours(e, 1).select("neighbour", F.round("score", 6).alias("score"))
 
 
