@@ -60,7 +60,7 @@ def scoped_explore(spark, sf):
     """Communities of the entities below one region, at a higher resolution."""
     g = graph(spark, sf)
     scope = T.subtree_entities(g, "n1", 2)
-    return C.cluster(T.entity_graph(g, scope_ids=scope), resolution=1.5)
+    return C.cluster(T.entity_graph(g, scope_ids=scope), resolution=1.5, rounds=3, levels=1, settle=False)
 
 
 @query("select entity_id, event_id from pi where event_id <> 3 union select entity_id, event_id from pi where event_id = 3 and entity_id <> (select min(entity_id) from pi where event_id = 3) union select 1, 3")
