@@ -1,4 +1,4 @@
-"""The ten queries ``opN_<name>``: each applies its operator, with production parameters, to its whole table."""
+"""The queries ``opN_<name>``: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_pack, itq_dedup, jaccard_join, language_id, license_scan, pivot_search, quality_knn, secret_scan, temperature_mix, toxicity_mil
+from . import chat_format, delta_lloyd, filter_audit, hilbert_pack, itq_dedup, jaccard_join, language_id, license_scan, pivot_search, quality_knn, secret_scan, temperature_mix, toxicity_mil
 from ._common import crc32_of_id
 
 TOKENIZER = "word_bpe_49k.json"
@@ -84,13 +84,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("body", "group")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.digest(delta_lloyd.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(tricky)), in_order=True)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.fullmatch(r"op\d+_.+", name)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL expresses."""
-    return {"op1_license_scan": license_sql(), "op2_pivot_search": OP2_SQL}
+    return {"op1_license_scan": license_sql(), "op2_pivot_search": OP2_SQL, "op11_delta_lloyd": delta_lloyd.sql(), "op12_chat_format": chat_format.SQL, "op13_filter_audit": f"select * exclude (filter) from ({filter_audit.SQL})"}
 
 
 OP2_SQL = """
