@@ -50,7 +50,10 @@ def integers(x: np.ndarray) -> np.ndarray:
 
 def safe(y: np.ndarray) -> bool:
     """Whether squared distances between parts of such components are below 2**53."""
-    return y.dtype != object and (not y.size or 4 * max(1, y.shape[1]) * float(np.abs(y).max()) ** 2 < 2.0**53)
+    if y.dtype == object or not y.size:
+        return y.dtype != object
+    most = float(np.abs(y).max())
+    return 4 * y.shape[1] * most * most < 2.0**53
 
 
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
