@@ -210,8 +210,9 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", threshold: float
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     able = F.col("label").isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & finite & F.col("vec_id").isNotNull()
     every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col(vector).alias("vector"), F.coalesce(able, F.lit(False)).alias("able"))
-    every = every.withColumn("name", F.when(F.col("able"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("vector", lambda x: (x + 0).cast("string"))), 256)))
-    classes = materialize(every.where("able").groupBy("name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")), "classes")
+    every = every.withColumn("name", F.when(F.col("able"), F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + 0).cast("string"))), 256)))
+    # The label is a key of its own: written into one string with the components it could pass for one of them.
+    classes = materialize(every.where("able").groupBy("label", "name").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes")
     classes = classes.withColumn("width", F.size("vector").cast("long"))
     groups = classes.groupBy("label", "width").agg(F.count("*").alias("n"))
     lengths = groups.agg(F.count_distinct("width")).first()[0]
@@ -235,10 +236,10 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", threshold: float
         found = materialize(link_blocks(placed.withColumn("cell", cell).withColumn("side", side), threshold), "links")
         edges, counts = found.where("b is not null").select("a", "b"), found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
         roots = connected_components(edges)
-        per_class = classes.select("name", "rep", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        per_class = materialize(per_class.select("name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "per_class")
+        per_class = classes.select("label", "name", "rep", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        per_class = materialize(per_class.select("label", "name", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "per_class")
     else:
-        per_class = classes.select("name", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
-    out = every.select("vec_id", "name").join(per_class, "name", "left")
+        per_class = classes.select("label", "name", F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
+    out = every.select("vec_id", "label", "name").join(per_class, ["label", "name"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
