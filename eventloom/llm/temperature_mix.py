@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 HALVINGS = 4
+#: Epochs that one row lists at a time.
+RUN = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -99,7 +101,10 @@ def mix_sources(documents: DataFrame, budget: int | None = None, entropy: float
     dim = weights.select(F.col("source").alias("s"), "weight", "budget", "epochs", "rest", F.col("tokens").alias("all_tokens"), F.greatest(F.lit(1), F.ceil(F.col("documents") / rows_per_bucket)).alias("buckets"))
     rows = documents.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "source", token_count(F.col("text")).alias("tokens")).where("tokens > 0")
     rows = rows.join(dim, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    each = materialize(rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs")))).withColumn("draw", F.shiftrightunsigned(F.xxhash64("row", "epoch", F.lit(seed)), 1)).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.col("buckets"))).where("epoch < epochs or rest > 0"), "mix")
+    # Epochs are listed in runs, so no array grows with them: a small source may be passed millions of times.
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("epochs") / RUN))))
+    runs = runs.withColumn("epoch", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("epochs"), F.col("run") * RUN + (RUN - 1))))).drop("run")
+    each = materialize(runs.withColumn("draw", F.shiftrightunsigned(F.xxhash64("row", "epoch", F.lit(seed)), 1)).withColumn("bucket", F.pmod(F.shiftrightunsigned("draw", 20), F.col("buckets"))).where("epoch < epochs or rest > 0"), "mix")
     bucket = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = each.groupBy("source", "epoch", "bucket").agg(F.sum("tokens").alias("in_bucket")).select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("bucket").alias("b"), F.coalesce(F.sum("in_bucket").over(bucket), F.lit(0)).alias("before"))
     within = Window.partitionBy("source", "epoch", "bucket").orderBy("draw", "row").rowsBetween(Window.unboundedPreceding, 0)
