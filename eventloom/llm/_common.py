@@ -58,16 +58,20 @@ def labelled_texts(documents: DataFrame, chosen: DataFrame) -> tuple[list, list]
     return rows["text"].to_pylist(), rows["y"].to_numpy()
 
 
-def stratified_sample(rows: DataFrame, key: str, label: str, per_class: int, seed: int = 7, max_classes: int = 1000) -> DataFrame:
+def stratified_sample(rows: DataFrame, key: str, label: str, per_class: int, seed: int = 7, total: int | None = None) -> DataFrame:
     """At most about ``per_class`` rows of each value of ``label``, chosen by a hash of ``key``, so every run takes the same.
 
-    One narrow pass counts the classes, another keeps the rows whose hash falls below their class's share (a tenth
-    more than asked for); no row is gathered anywhere. Rows with a null key or label are left out.
+    One pass counts the classes, another keeps the rows whose hash falls below their class's share (a tenth more than
+    asked for). ``total`` bounds the rows of all classes together: with more classes each gives fewer, at least about one.
+    Shares are joined, so any number of classes will do. Rows with a null key or label are left out.
     """
     rows = rows.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
+    counts = materialize(rows.groupBy(label).count(), "classes")
+    wanted = per_class if total is None else max(1, min(per_class, total // max(1, counts.count())))
     grid = 1 << 30
-    share = F.lit(None).cast("long")
-    for r in counts:
-        share = F.when(F.col(label) == F.lit(r[label]), F.lit(min(grid, int(grid * 1.1 * per_class / r["count"]) + 1))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(grid)) < share)
+    share = F.least(F.lit(grid), (F.lit(grid * 1.1 * wanted) / F.col("count")).cast("long") + 1)
+    shares = counts.select(F.col(label), share.alias("__share"))
+    near = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(grid))
+    # Beyond the largest share of any class no row is taken: most rows end here, before the join.
+    most = shares.agg(F.max("__share")).first()[0]
+    return rows.where(near < F.lit(most or 0)).join(shares, label).where(near < F.col("__share")).select(*rows.columns)

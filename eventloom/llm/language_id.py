@@ -104,10 +104,11 @@ def train(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.
     return LanguageModel(classes, (e @ w / t).astype(np.float32), bias / t, t, float(np.quantile(right, 0.005)) if len(right) else 0.0)
 
 
-def fit(documents: DataFrame, learn_from, per_class: int = 800) -> LanguageModel:
-    """Learn from at most about ``per_class`` whole texts of each language (the documented bound) where ``learn_from`` holds."""
+def fit(documents: DataFrame, learn_from, per_class: int = 800, total: int = 50_000) -> LanguageModel:
+    """Learn from at most about ``per_class`` whole texts of each language, and ``total`` of all together (the documented
+    bounds), where ``learn_from`` holds. With more languages each gives fewer texts; none is left out."""
     known = documents.select("doc_id", "text", "lang").where(learn_from & F.col("text").isNotNull())
-    chosen = stratified_sample(known, "doc_id", "lang", per_class)
+    chosen = stratified_sample(known, "doc_id", "lang", per_class, total=total)
     one = chosen.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x"))  # an id on several rows counts once
     rows = one.orderBy("doc_id").select("x.text", "x.lang").toArrow()
     return train(rows["text"].to_pylist(), rows["lang"].to_pylist())
@@ -132,7 +133,7 @@ def predict_batch(column: pa.Array, model: LanguageModel) -> tuple[list[str], np
 
 def predict_language(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` (calibrated probability) and ``rejected``, from the whole text alone."""
-    given = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of at most 1000 classes
+    given = documents.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of a number a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
