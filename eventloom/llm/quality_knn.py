@@ -2,12 +2,13 @@
 
 Features are hashed 3-byte grams, damped by the square root and weighted by an idf counted over every document. A
 truncated SVD of a bounded labelled sample gives the latent space. The sample's vectors, of fixed number and width, are
-broadcast; each block of documents is multiplied with all of them, so the neighbours are exact, and the labels of the
-``k`` nearest are averaged with weights that grow with the similarity.
+broadcast; each block of documents is multiplied with all of them in double precision, so the neighbours are exact, and the
+labels of the ``k`` nearest are averaged with weights that grow with the similarity. Labelled texts of equal features are one
+neighbour, whose label is their mean, before anything is fitted: copies neither crowd out others nor tie.
 
 Defined cases: null and empty texts and texts under three bytes have no direction; their score is the sample's share of
-label 1 under equal class weights (0.5, so predicted 0). Without labelled rows every score is 0.5. Similarities
-equal to four decimals: the neighbour that stands first in the sample (order of id) counts. Of contradicting labels of an id the smallest counts.
+label 1 under equal class weights (0.5, so predicted 0). Without labelled rows every score is 0.5. Of equal
+similarities the neighbour that stands first in the sample (order of id) counts. Of contradicting labels of an id the smallest counts.
 Repeated rows are each scored.
 """
 
@@ -32,7 +33,7 @@ class QualityModel:
     idf: np.ndarray
     basis: np.ndarray  # BUCKETS x RANK
     vectors: np.ndarray  # neighbours x RANK, unit length
-    labels: np.ndarray
+    labels: np.ndarray  # share of label 1
     k: int
     power: float
 
@@ -68,25 +69,29 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def latent(counts: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    z = weighted(counts, idf) @ basis
+    z = weighted(counts, idf).astype(np.float64) @ basis
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
 def train(texts: list[str], y: np.ndarray, df: np.ndarray, n: int, k: int = 15, power: float = 8.0, seed: int = 5) -> QualityModel:
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.05
     if not texts:
-        return QualityModel(idf, np.zeros((BUCKETS, RANK), np.float32), np.zeros((0, RANK), np.float32), np.zeros(0), k, power)
+        return QualityModel(idf, np.zeros((BUCKETS, RANK)), np.zeros((0, RANK)), np.zeros(0), k, power)
     x = np.concatenate([weighted(c, idf) for _, _, c in count_blocks(pa.array(texts, pa.large_string()))])
+    first: dict[bytes, int] = {}
+    of = np.array([first.setdefault(row.tobytes(), len(first)) for row in x])
+    at = np.unique(of, return_index=True)[1]
+    x, y = x[at], np.bincount(of, y) / np.bincount(of)
     q = x.T @ np.linalg.qr(x @ np.random.default_rng(seed).standard_normal((BUCKETS, RANK + 16)).astype(np.float32))[0]
     for _ in range(3):
         q = x.T @ np.linalg.qr(x @ np.linalg.qr(q)[0])[0]
     q = np.linalg.qr(q)[0]
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    basis = (q @ vt[:RANK].T).astype(np.float32)
+    basis = (q @ vt[:RANK].T).astype(np.float64)
     if basis.shape[1] < RANK:
         basis = np.pad(basis, ((0, 0), (0, RANK - basis.shape[1])))
-    z = x @ basis
-    return QualityModel(idf, basis, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12), y.astype(np.float64), k, power)
+    z = x.astype(np.float64) @ basis
+    return QualityModel(idf, basis, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12), y, k, power)
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn_from, per_class: int = 1500) -> QualityModel:
@@ -101,16 +106,16 @@ def vote(column: pa.Array, m: QualityModel) -> np.ndarray:
     out = np.full(len(column), 0.5)
     if not len(m.labels):
         return out
-    share = np.where(m.labels == 1, 0.5 / max(1, (m.labels == 1).sum()), 0.5 / max(1, (m.labels == 0).sum())) * len(m.labels)
+    one, none = 0.5 / max(m.labels.sum(), 1e-9) * m.labels, 0.5 / max((1 - m.labels).sum(), 1e-9) * (1 - m.labels)  # classes weigh alike
     for i, j, counts in count_blocks(column):
-        sim = np.round(latent(counts, m.idf, m.basis) @ m.vectors.T, 4)  # so that copies tie
+        sim = latent(counts, m.idf, m.basis) @ m.vectors.T
         near = np.argpartition(-sim, min(m.k, sim.shape[1]) - 1, axis=1)[:, : m.k]
         last = np.take_along_axis(sim, near, 1).min(axis=1, keepdims=True)
         tied = np.flatnonzero((sim >= last).sum(axis=1) > near.shape[1])  # the last place is shared: the first in the sample count
         near[tied] = np.argsort(-sim[tied], axis=1, kind="stable")[:, : m.k]
-        weight = np.maximum(np.take_along_axis(sim, near, 1).astype(np.float64), 0) ** m.power * share[near]
-        total = weight.sum(axis=1)
-        out[i:j] = np.where(total > 0, (weight * m.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), 0.5)
+        weight = np.maximum(np.take_along_axis(sim, near, 1), 0) ** m.power
+        total = (weight * (one + none)[near]).sum(axis=1)
+        out[i:j] = np.where(total > 0, (weight * one[near]).sum(axis=1) / np.maximum(total, 1e-300), 0.5)
     return np.clip(out, 0, 1)
 
 
