@@ -129,11 +129,11 @@ def license_sql() -> str:
 with files as (
   select doc_id, doc_id % 50 = 0 as by_file, case when doc_id % 1000 = 0 then '' else coalesce(source, '-') || case when doc_id % 50 = 0 then '' else '/' || coalesce(lang, '-') || case when doc_id % 10 = 0 then '' else '/' || cast(floor(doc_id / 100) as bigint) end end end as dir, case when doc_id % 50 = 0 then 'LICENSE.' || doc_id else doc_id || '.txt' end as name, text from documents
 ), pieces as (
-  select doc_id, trim(unnest(string_split(text, chr(10)))) as line from files
-  union all select doc_id, trim(regexp_replace(unnest(regexp_split_to_array(text, '\n[ \t\r\f]*\n')), '[ \t\n\r\f]+', ' ', 'g')) from files where by_file
-  union all select doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) from files where by_file
+  select doc_id, trim(unnest(string_split(text, chr(10)))) as line, false as whole from files
+  union all select doc_id, trim(regexp_replace(unnest(regexp_split_to_array(text, '\n[ \t\r\f]*\n')), '[ \t\n\r\f]+', ' ', 'g')), false from files where by_file
+  union all select doc_id, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), true from files where by_file
 ), lines as (
-  select distinct doc_id, line from pieces where regexp_matches(line, {quote(license_scan.LINE)})
+  select doc_id, line, bool_or(whole) as whole from pieces where regexp_matches(line, {quote(license_scan.LINE)}) group by 1, 2
 ), di as (select line, count(*) as n from lines group by 1),
 terms as (select line, n, term, count(*) as tf from (select line, n, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) as term from di) where term <> '' group by 1, 2, 3),
 known(license, template) as (values {notices}),
@@ -146,12 +146,13 @@ ny as (select license, template, sqrt(cast(sum(cast(y * y as decimal(28, 12))) a
 dots as (select line, license, template, cast(sum(cast(x * y as decimal(28, 12))) as double) as dot from x join y using (term) group by 1, 2, 3),
 scored as (select line, license, round(dot / (nx * ny), 6) as cosine from dots join nx using (line) join ny using (license, template)),
 best as (select line, license, cosine from scored where cosine >= 0.6 qualify row_number() over (partition by line order by cosine desc, license) = 1),
-own as (select doc_id, license, cosine from lines join best using (line) qualify row_number() over (partition by doc_id order by cosine desc, license) = 1),
-votes as (select dir, license, by_file, count(*) as n, sum(cast(cosine as decimal(28, 6))) as c from files join own using (doc_id) group by 1, 2, 3),
-declared as (select dir as ancestor, license as inherited from votes qualify row_number() over (partition by dir order by by_file desc, n desc, c / n desc, license) = 1),
+own as (select doc_id, license, cosine from lines join best using (line) qualify row_number() over (partition by doc_id order by whole desc, cosine desc, license) = 1),
+marked as (select *, by_file and coalesce(regexp_matches(text, '[A-Za-z0-9]'), false) as states from files left join own using (doc_id)),
+votes as (select dir, license, case when license is null then 1 when by_file then 0 else 2 end as kind, count(*) as n, sum(cast(cosine as decimal(28, 6))) as c from marked where license is not null or states group by 1, 2, 3),
+declared as (select dir as ancestor, license as inherited from votes qualify row_number() over (partition by dir order by kind, n desc, c / n desc, license) = 1),
 dirs as (select distinct dir, unnest(list_transform(range(0, len(string_split(dir, '/')) + 1), lambda k: array_to_string(string_split(dir, '/')[1:k], '/'))) as ancestor from files),
 near as (select dir, ancestor as declared_in, inherited from dirs join declared using (ancestor) qualify row_number() over (partition by dir order by length(ancestor) desc) = 1)
-select doc_id, case dir when '' then '' else dir || '/' end || name as path, coalesce(license, inherited) as license, cosine,
-  case when license is not null then 'own' when inherited is not null then 'inherited' else 'none' end as how, case when license is null then declared_in end as declared_in
-from files left join own using (doc_id) left join near using (dir)
+select doc_id, case dir when '' then '' else dir || '/' end || name as path, coalesce(license, case when not states then inherited end) as license, cosine,
+  case when license is not null then 'own' when inherited is not null and not states then 'inherited' else 'none' end as how, case when license is null and not states then declared_in end as declared_in
+from marked left join near using (dir)
 """

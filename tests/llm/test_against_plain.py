@@ -43,6 +43,34 @@ def test_licence_files_and_inheritance(spark):
     assert out["none"]["how"] == "none"
 
 
+def test_licence_of_repeated_files_and_unknown_ones(spark):
+    """Two rows of one file id; licence files of an unknown licence, alone and beside a known one; notices; full texts without a title."""
+    words = dict(sorted(license_scan.TEMPLATES, key=lambda x: len(x[1])))  # the longest of each
+    owner = "Copyright (c) 2021, Some One\nAll rights reserved.\n\n"
+    head = "Licensed under the Apache License, Version 2.0."
+    rows = [
+        ("x", "p/a.py", "Released under the MIT License."), ("x", "p/a.py", "Licensed under CC BY 4.0."), ("x", "q/a.py", "code"), ("x", "p/a.py", "Licensed under CC BY 4.0."), (None, "r/n.py", "Released under the MIT License."), (None, "r/m.py", "Licensed under CC BY 4.0."),
+        ("u", "u/LICENSE", "Some terms of our own making. Ask first."), ("v", "u/f.py", head), ("w", "u/g.py", "code"), ("ww", "u/deep/g.py", "code"),
+        ("k", "k/LICENSE", "Some terms of our own making."), ("l", "k/COPYING", words["Zlib"]), ("m", "k/g.py", ""),
+        ("n", "n/NOTICE", "Parts are by others."), ("o", "n/f.py", head), ("e", "e/LICENSE", " \n"), ("ee", "e/f.py", head), ("en", "e/g.py", None),
+        ("b2", "b2/LICENSE", owner + words["BSD-2-Clause"].replace(" 2. Red", "\n\n2. Red")), ("b3", "b3/LICENSE", owner + words["BSD-3-Clause"].replace(". IN NO", ".\nIN NO")),
+        ("ag", "ag/COPYING", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation\n\nThe rest"),
+        ("c0", "c0/LICENSE", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM"), ("mt", "mt/LICENSE", owner + words["MIT"]), ("m0", "m0/LICENSE", owner + words["MIT-0"]), ("is", "is/LICENSE", owner + words["ISC"]), ("0b", "0b/LICENSE", owner + words["0BSD"]),
+    ]
+    out = license_scan.scan_licenses(spark.createDataFrame([(*r, "x", 1) for r in rows], "file string, path string, text string, row string, whole int"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["file"], set()).add((r["path"], r["license"], r["how"]))
+    assert got["x"] == {("p/a.py", "MIT", "own"), ("p/a.py", "CC-BY-4.0", "own"), ("q/a.py", None, "none")} and out.where("file = 'x'").count() == 4
+    assert got[None] == {("r/n.py", "MIT", "own"), ("r/m.py", "CC-BY-4.0", "own")}
+    one = {k: v for k, ((_, *v),) in ((k, v) for k, v in got.items() if len(v) == 1)}
+    assert one["u"] == one["w"] == one["ww"] == [None, "none"] and one["v"] == ["Apache-2.0", "own"]
+    assert one["k"] == [None, "none"] and one["l"] == ["Zlib", "own"] and one["m"] == ["Zlib", "inherited"]
+    assert one["n"] == one["en"] == ["Apache-2.0", "inherited"]
+    want = {"b2": "BSD-2-Clause", "b3": "BSD-3-Clause", "ag": "AGPL-3.0", "c0": "CC0-1.0", "mt": "MIT", "m0": "MIT-0", "is": "ISC", "0b": "0BSD"}
+    assert {k: one[k][0] for k in want} == want
+
+
 def test_pivot_search_equals_sql(spark):
     assert oracle.difference(queries.op2_pivot_search(spark, DATA), oracle.connect(DATA), queries.OP2_SQL) is None
 
@@ -230,6 +258,13 @@ def test_itq_of_other_lengths_and_the_threshold(spark):
     assert set(same.values()) <= {0, 1}
 
 
+def test_itq_labels_are_keys_of_their_own(spark):
+    """Labels that hold commas and numbers, and vectors of two lengths, cannot pass for each other."""
+    rows = [(1, [1.0, 2.0, 3.0], "a"), (2, [2.0, 3.0], "a,1.0"), (3, [3.0], "a,1.0,2.0"), (4, [1.0, 2.0, 3.0], "a"), (5, [2.0, 3.0], "a"), (6, [1.0, 2.0], "a,"), (7, [1.0, 2.0], "a,"), (8, [2.0, 4.0], "a,")]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert out == {1: (1, 1), 2: (0, 2), 3: (0, 3), 4: (1, 1), 5: (0, 5), 6: (2, 6), 7: (2, 6), 8: (2, 6)}
+
+
 def test_jaccard_on_data(spark, docs):
     sets = [shingles(t) for _, t, *_ in docs]
     comp = union_find(len(sets), similar_pairs(sets))
@@ -339,6 +374,77 @@ def test_mix_meets_its_targets(spark):
     assert out.groupBy("source", "block").count().count() > 100
 
 
+def plain_mix(docs, budget, repetition=None, entropy=None):
+    """Token shares by source and the weights that bisection in plain Python finds."""
+    tokens = {}
+    for _, text, source in docs:
+        n = len((text or "").split())
+        if n:
+            tokens[source] = tokens.get(source, 0) + n
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items()}
+
+    def weights(a):
+        z = sum(x**a for x in share.values())
+        return {s: x**a / z for s, x in share.items()}
+
+    def good(a):
+        w = weights(a)
+        if entropy is not None:
+            return -sum(x * math.log(x) for x in w.values()) >= entropy * math.log(len(w))
+        return max(w[s] * budget / tokens[s] for s in w) > repetition
+
+    lo, hi = 0.0, 1.0
+    if good(1.0):
+        lo = hi
+    elif not good(0.0):
+        hi = lo
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if good(mid) else (lo, mid)
+    return tokens, weights(lo)
+
+
+@pytest.mark.parametrize("limit", [{"repetition": 3.0}, {"repetition": 1.2}, {"entropy": 0.95}, {"entropy": 0.6}])
+def test_mix_equals_a_plain_one(spark, limit):
+    """Weights by a plain bisection; every whole epoch holds each document once, the rest a part of one more that fits."""
+    rng = random.Random(8)
+    sizes = {"big": 400, "mid": 60, "small": 9, None: 4}
+    docs = [(k, " ".join(["w"] * rng.randrange(1, 60)), s) for s, n in sizes.items() for k in range(n)] + [(1, "", "big"), (2, None, "mid")]
+    total = sum(len((t or "").split()) for _, t, _ in docs)
+    tokens, want = plain_mix(docs, total, **limit)
+    out = temperature_mix.mix_sources(spark.createDataFrame([(i, t, s, "x") for i, t, s in docs], "doc_id long, text string, source string, place string"), rows_per_bucket=50, **limit).collect()
+    for s, w in want.items():
+        own = [r for r in out if r["source"] == s]
+        assert abs(own[0]["weight"] - w) < 1e-6
+        budget = w * total
+        per = {}
+        for r in own:
+            per.setdefault(r["epoch"], []).append((r["doc_id"], r["tokens"]))
+        whole = sorted((i, len(t.split())) for i, t, x in docs if x == s and t)
+        last = max(per)
+        assert all(sorted(per[e]) == whole for e in range(last)) and set(per[last]) <= set(whole) and len(set(per[last])) == len(per[last])
+        spent = sum(r["tokens"] for r in own)
+        assert budget - 60 < spent <= budget + max(1.0, tokens[s] * 1e-6)  # a document that would not fit ends it
+
+
+def test_mix_passes_a_small_source_many_times(spark):
+    """Epochs are rows, not an array: runs of them meet without a gap."""
+    df = spark.createDataFrame([(1, "one", "small"), (2, "w " * 30_000, "big")], "doc_id long, text string, source string")
+    out = temperature_mix.mix_sources(df, entropy=1.0).where("source = 'small'")
+    n, epochs = out.count(), out.select("epoch").distinct().count()
+    assert n == epochs == 15_000 and out.agg(F.max("epoch")).first()[0] == n - 1
+
+
+def test_language_of_many_classes(spark):
+    """No language is left out, however many there are; the sample of all together stays within its bound."""
+    rows = [(k, f"x{k % 1500}", f"l{k % 1500}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = _common.stratified_sample(df, "doc_id", "lang", 800, total=6000)
+    assert got.select("lang").distinct().count() == 1500 and got.columns == df.columns
+    assert _common.stratified_sample(df, "doc_id", "lang", 2, total=100).count() < 6000
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
@@ -349,22 +455,44 @@ def test_held_out_accuracy(spark):
     assert share(queries.op9_toxicity_mil(spark, sf).join(labels, "doc_id"), F.col("toxic") == F.col("predicted")) > 0.9
 
 
-def test_quality_vote_is_exact_with_ties():
-    """The vote against one that sorts all neighbours by similarity, then place; copies in the sample tie at the last place."""
+def test_quality_vote_is_exact():
+    """The vote against one in plain Python from grams on: neighbours whose similarities differ by less than 1e-4, copies with
+    labels that contradict each other, unequal classes."""
     rng = random.Random(6)
-    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([3, 30, 90]))) for _ in range(30)]
-    known = [texts[k % 12] for k in range(60)]
-    y = np.array([rng.randrange(2) for _ in known])
-    df = np.ones(quality_knn.BUCKETS)
-    m = quality_knn.train(known, y, df, 60, k=7)
-    got = quality_knn.vote(pa.array(texts + ["", None]), m)
-    share = {1: 0.5 / (y == 1).sum() * 60, 0: 0.5 / (y == 0).sum() * 60}
-    all_sims = np.concatenate([np.round(quality_knn.latent(c, m.idf, m.basis) @ m.vectors.T, 4) for _, _, c in quality_knn.count_blocks(pa.array(texts + ["", None]))])
-    for sim, score in zip(all_sims[:30], got, strict=False):
-        near = sorted(range(60), key=lambda k: (-sim[k], k))[:7]
-        weight = [max(float(sim[k]), 0) ** m.power * share[int(y[k])] for k in near]
-        want = sum(w * y[k] for w, k in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else 0.5
-        assert abs(score - want) < 1e-3
+    base = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    near = [base[:k] + "#" + base[k + 1 :] for k in range(50, 3500, 60)]  # all about equally far from each other
+    known = near + ["".join(rng.choice("stuvw ") for _ in range(200)) for _ in range(20)] + near[:5] * 3
+    y = np.array([rng.randrange(3) == 0 for _ in known]).astype(int)
+    m = quality_knn.train(known, y, np.ones(quality_knn.BUCKETS), 60, k=7)
+    asked = near[3:9] + [base[:2000] + "??" + base[2000:], base, "zz top", "abc", "", None]
+    got = quality_knn.vote(pa.array(asked), m)
+    bucket = {}
+
+    def latent(text):
+        raw, grams = text.encode(), {}
+        for k in range(len(raw) - 2):
+            g = raw[k : k + 3]
+            if g not in bucket:
+                (_, _, counts), = quality_knn.count_blocks(pa.array([g.decode()]))
+                bucket[g] = int(np.flatnonzero(counts[0])[0])
+            grams[bucket[g]] = grams.get(bucket[g], 0) + 1
+        x = {b: math.sqrt(n) * float(m.idf[b]) for b, n in grams.items()}
+        size = math.sqrt(sum(v * v for v in x.values())) or 1
+        z = [math.fsum(v / size * float(m.basis[b, r]) for b, v in x.items()) for r in range(m.basis.shape[1])]
+        size = math.sqrt(math.fsum(v * v for v in z)) or 1
+        return [v / size for v in z]
+
+    texts = list(dict.fromkeys(known))
+    share = [sum(y[k] for k, t in enumerate(known) if t == own) / known.count(own) for own in texts]
+    vectors = [latent(t) for t in texts]
+    w1, w0 = 0.5 / sum(share), 0.5 / sum(1 - s for s in share)
+    for text, score in zip(asked[:-2], got, strict=False):
+        z = latent(text)
+        sims = [math.fsum(a * b for a, b in zip(z, v, strict=True)) for v in vectors]
+        nearest = sorted(range(len(texts)), key=lambda k: (-sims[k], k))[:7]
+        weight = [max(sims[k], 0) ** m.power for k in nearest]
+        total = sum(w * (w1 * share[k] + w0 * (1 - share[k])) for w, k in zip(weight, nearest, strict=True))
+        assert abs(score - (sum(w * w1 * share[k] for w, k in zip(weight, nearest, strict=True)) / total if total else 0.5)) < 1e-5
     assert got[-2] == got[-1] == 0.5
 
 
