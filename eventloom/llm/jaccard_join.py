@@ -47,6 +47,8 @@ BLOCK = 1024
 CELL = 4096
 #: Cells of a set's parity bits.
 BITS = 256
+#: Keys that the classes of one frequent n-gram are dealt to on their way to its leader.
+SALTS = 16
 
 
 def sets_of(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -513,7 +515,9 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     # Every class against the leaders of its frequent n-grams.
     shows = found.where("kind = 2").select("a", F.col("n").alias("rank"), F.col("b").alias("gram"))
     leads = shows.groupBy("gram").agg(F.min(F.struct("rank", "a")).alias("x")).select("gram", F.col("x.a").alias("b"))
-    led = shows.join(leads, "gram").select("a", "b").union(found.where("kind = 1").select("a", "b"))
+    # Many classes may show one n-gram: they are dealt to SALTS keys, and its leader, a small row, is repeated for each.
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS))
+    led = shows.withColumn("salt", salt).join(leads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["gram", "salt"]).select("a", "b").union(found.where("kind = 1").select("a", "b"))
     led = materialize(led.where("a <> b").distinct(), "led")
     texts = texts_of(led)
     answers = materialize(measured(led, texts, n), "answers")
