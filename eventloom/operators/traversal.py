@@ -188,16 +188,26 @@ def chain(edges: DataFrame, start, src: str = "source_id", dst: str = "target_id
     return found.where(F.col("place") <= depth).groupBy("id").agg(F.min("place").alias("place"))
 
 
-def resolve_aliases(alias: DataFrame, depth: int = 20) -> DataFrame:
-    """``id, canonical`` for alias pairs ``a -> b``: pointer jumping to the end of each chain. A cycle ends at its smallest id."""
-    to = written(alias.groupBy(F.col("entity_id_a").alias("id")).agg(F.min("entity_id_b").alias("canonical")), "alias")
+def resolve_aliases(alias: DataFrame, rounds: int = 64) -> DataFrame:
+    """``id, canonical`` for alias pairs ``a -> b``: pointer jumping to the end of each chain, of any length.
+
+    Of several targets of an id the smallest counts. A cycle stands for its smallest id, for its own members and for all that
+    lead into it: beside the pointer travels the least id met, and once the pointers of all ids that have not ended have gone round
+    their cycles, the least id met from where a pointer stands is that of the cycle.
+    """
+    to = written(alias.groupBy(F.col("entity_id_a").alias("id")).agg(F.min("entity_id_b").alias("at")).select("id", "at", F.col("at").alias("least")), "alias")
+    n = to.count()
     span = 1
-    while span < depth:
-        ahead = to.select(F.col("id").alias("canonical"), F.col("canonical").alias("further"))
-        jumped = written(to.join(ahead, "canonical", "left").select("id", F.coalesce("further", "canonical").alias("canonical")), "alias")
+    for _ in range(rounds):
+        ahead = to.select(F.col("id").alias("at"), F.col("at").alias("further"), F.col("least").alias("met"))
+        jumped = written(to.join(ahead, "at", "left").select("id", F.coalesce("further", "at").alias("at"), F.least("least", F.coalesce("met", "least")).alias("least"), F.col("further").isNotNull().alias("open")), "alias")
         discard(to)
         to, span = jumped, span * 2
-    return to
+        if span > 2 * n or to.where("open").isEmpty():
+            break
+    # Whoever still stands on an id with a target stands on a cycle; that id has met all of its cycle by now.
+    cycle = to.select(F.col("id").alias("at"), F.col("least").alias("in_cycle"))
+    return to.join(cycle, "at", "left").select("id", F.coalesce("in_cycle", "at").alias("canonical"))
 
 
 def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:

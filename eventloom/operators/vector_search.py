@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, literal_vector
 from ..graph import EventGraph
+from . import vector_index
 from .lookup import is_live
 
 
@@ -25,16 +26,18 @@ def knn(rows: DataFrame, query, limit: int = 10, threshold: float | None = None,
     return out.orderBy(F.desc("score"), id_column).limit(limit)
 
 
-def knn_many(rows: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "embedding", id_column: str = "id", block: int = 256) -> DataFrame:
-    """``query_id, id, score`` for every query (``query_id, q``): queries are dealt in blocks and matched block by block.
+def knn_many(rows: DataFrame, queries: DataFrame, limit: int = 10, vector: str = "embedding", id_column: str = "id") -> DataFrame:
+    """``query_id, id, score, rank`` for every query (``query_id, q``) against all rows of its length, without an index.
 
-    Every block of queries is gathered in one row of at most ``block`` vectors, so what meets each row is bounded; a
-    partial top-k per (task, query) combines before the exchange.
+    Blocks of rows meet blocks of queries as products of matrices, each a bounded piece of work that keeps its best; the
+    best of the pieces merge by salted ranks. Vectors that are null, empty or hold null or non-finite components take no part.
     """
-    packed = queries.withColumn("_b", F.floor(F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) / block)).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("_h"), "_b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    scored = rows.where(F.col(vector).isNotNull()).crossJoin(packed).select(F.col(id_column).alias("id"), vector, F.explode("qs").alias("x")).select(F.col("x.query_id").alias("query_id"), "id", cosine(F.col(vector), F.col("x.q")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    own = rows.select(F.col(id_column).alias("id"), F.col(vector).alias("vector")).where(vector_index.able(F.col("vector"))).withColumn("cell", F.size("vector"))
+    blocks = own.groupBy("cell").agg(F.ceil(F.count("*") / vector_index.BLOCK).alias("blocks"))
+    dealt = own.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("ring", F.lit(0))
+    asked = queries.where(vector_index.able(F.col("q"))).select("query_id", "q", F.size("q").alias("cell"), F.lit(0).alias("ring"), F.lit(-2.0).alias("floor"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")  # at most ``limit`` rows a query
+    return vector_index.meet(dealt, asked, limit).withColumn("rank", F.row_number().over(best))
 
 
 def hybrid(events: DataFrame, entities: DataFrame, query, k: int = 10, mode: str = "hybrid", tag_scoped: bool = False) -> DataFrame:
