@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_name, prefixed_id, token_set, token_set_ratio
 from ..graph import KEYS, EventGraph
+from . import merge
 from .analytics import cooccurrence_edges
 from .lookup import newest_per_key
 
@@ -96,14 +97,9 @@ def repoint(edges: DataFrame, columns: list[str], mapping: DataFrame) -> DataFra
 
 
 def merge_entities(g: EventGraph, mapping: DataFrame, asserted_by: str = "user") -> EventGraph:
-    """Merge aliases into canonical entities: edges are moved and merged, self loops dropped, aliases deleted and recorded."""
-    part = repoint(g.participated_in, ["entity_id"], mapping).dropDuplicates(["entity_id", "event_id"])
-    e = repoint(g.entity_connection, ["a_id", "b_id"], mapping).where("a_id <> b_id")
-    edges = e.groupBy(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).agg(F.sum("event_count").alias("event_count"))
-    gone = mapping.select("id", F.lit(True).alias("_gone"))
-    entities = g.entities.join(gone, "id", "left").withColumn("deprecated", F.coalesce("_gone", "deprecated")).drop("_gone")
-    audit = mapping.select(F.col("id").alias("entity_id_a"), F.col("canonical").alias("entity_id_b"), F.lit("same_as").alias("relation"), F.lit(1.0).alias("confidence"), F.lit(asserted_by).alias("asserted_by"))
-    return g.with_tables(participated_in=part, entity_connection=edges, entities=entities, entity_alias=g.entity_alias.unionByName(audit, allowMissingColumns=True) if "entity_alias" in g.tables else audit)
+    """Merge aliases into canonical entities (``id, canonical``): edges are moved and merged, self loops dropped, aliases deleted and
+    recorded. ``merge.merge`` also keeps similarity and centroids up, and a log that reverses it."""
+    return merge.merge(merge.begin(g, similarity=False), mapping, "merge", asserted_by).graph
 
 
 def merge_preview(g: EventGraph, mapping: DataFrame) -> DataFrame:
@@ -114,9 +110,10 @@ def merge_preview(g: EventGraph, mapping: DataFrame) -> DataFrame:
 
 
 def unmerge(g: EventGraph, alias_id) -> EventGraph:
-    """Restore a merged entity and drop its alias record; moved edges stay where they are."""
+    """Restore a merged entity and drop its alias record, where no log of the merge was kept; moved edges stay where they are.
+    ``merge.unmerge`` takes them back by the log."""
     entities = g.entities.withColumn("deprecated", F.when(F.col("id") == alias_id, False).otherwise(F.col("deprecated")))
-    return g.with_tables(entities=entities, entity_alias=g.entity_alias.where(F.col("entity_id_a") != alias_id))
+    return g.with_tables(entities=entities, entity_alias=g.entity_alias.where((F.col("entity_id_a") != alias_id) | (F.col("relation") != merge.SAME)))
 
 
 def merge_candidates(g: EventGraph) -> DataFrame:

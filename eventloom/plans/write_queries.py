@@ -193,9 +193,10 @@ def entity_merge(spark, sf):
     return M.merge_preview(g, g.entities.where("id > 20").select("id", ((F.col("id") % 20) + 1).alias("canonical")))
 
 
-@query(""", m as (select id, id - 1 as canonical from ent where id % 2 = 0), c as (select coalesce(x.canonical, a_id) as a, coalesce(y.canonical, b_id) as b, event_count from conn left join m x on x.id = a_id left join m y on y.id = b_id)
-select least(a, b) as a_id, greatest(a, b) as b_id, cast(sum(event_count) as bigint) as event_count from c where a <> b group by 1, 2""")
+@query(""", p as (select distinct case when entity_id % 2 = 0 and entity_id > 0 and (entity_id - 1) % 101 <> 0 then entity_id - 1 else entity_id end as entity_id, event_id from pi), f as (select event_id from p group by 1 having count(*) between 2 and 49)
+select a.entity_id as a_id, b.entity_id as b_id, count(*) as event_count from p a join p b on a.event_id = b.event_id and a.entity_id < b.entity_id where a.event_id in (select event_id from f) group by 1, 2""")
 def entity_merge_edges(spark, sf):
+    """Even ids go into the odd ones before them, unless those are deleted or not there."""
     g = graph(spark, sf)
     return M.merge_entities(g, g.entities.where("id % 2 = 0").select("id", (F.col("id") - 1).alias("canonical"))).entity_connection
 
