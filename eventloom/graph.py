@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import Store
+
 #: Portable schemas of the graph's tables, by name (Spark DDL).
 SCHEMAS = {
     "entities": "id STRING, name STRING, domain STRING, type STRING, user_tag STRING, deprecated BOOLEAN, created_at TIMESTAMP_NTZ, owner_id STRING, org_id STRING, visibility STRING, acl_json STRING, share_group_id STRING, embedding ARRAY<FLOAT>",
@@ -62,5 +64,15 @@ class EventGraph:
             by = ["domain"] if name in ("entities", "events", "groups") else []
             df.write.mode(mode).partitionBy(*by).parquet(f"{root}/{name}")
 
+    @classmethod
+    def committed(cls, store: Store, version: int | None = None) -> EventGraph:
+        """The graph of a store's newest version, or of an older one."""
+        at = store.snapshot(version)
+        return cls(store.spark, {n: at.table(n) for n in at.names()})
+
+    def commit(self, store: Store, note: str = "") -> int:
+        """All tables as the store's next version: readers see all of them or none. Returns the version."""
+        return store.commit(self.tables, note=note).version
+
     def live(self, name: str) -> DataFrame:
         return getattr(self, name).where(~F.coalesce(F.col("deprecated"), F.lit(False)))
