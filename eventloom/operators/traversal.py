@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import EventGraph
 from ..shared import discard, written
+from . import trees
 
 HOP_CAP = 1000
 
@@ -18,9 +19,10 @@ def undirected(edges: DataFrame, a: str = "a_id", b: str = "b_id") -> DataFrame:
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """``id, depth`` of all nodes within ``hops`` (1 to 5) of ``seeds``, each once at its least depth; seeds excluded.
 
-    A frontier join per hop, and each frontier is written: a hop reads the edges once and joins only new nodes again.
+    A frontier join per hop. The edges are written once, from either end, however they are made; a hop reads them and joins only
+    new nodes again.
     """
-    out = undirected(edges)
+    out = written(undirected(edges), "edges")
     frontier = seeds.toDF("id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max(1, min(5, hops)) + 1):
@@ -116,21 +118,21 @@ def descend(groups: DataFrame, seeds: DataFrame, depth: int = 20) -> DataFrame:
     return out.drop("trail")
 
 
-def subtree_events(g: EventGraph, id_or_name, depth: int = 20) -> DataFrame:
-    """Distinct events of the tags with that id or name and of all tags below."""
+def subtree_events(g: EventGraph, id_or_name, depth: int | None = None) -> DataFrame:
+    """Distinct events of the tags with that id or name and of all tags below, down to ``depth`` if it is given."""
     seeds = g.groups.where((F.col("id") == F.lit(id_or_name)) | (F.col("name") == F.lit(id_or_name))).select("id")
-    below = descend(g.groups, seeds, depth).select(F.col("id").alias("group_id")).distinct()
-    return g.event_member_of.join(below, "group_id", "left_semi").select("event_id").distinct()
+    within = trees.below(g.groups, seeds) if depth is None else descend(g.groups, seeds, depth)
+    return g.event_member_of.join(within.select(F.col("id").alias("group_id")).distinct(), "group_id", "left_semi").select("event_id").distinct()
 
 
-def subtree_entities(g: EventGraph, id_or_name, depth: int = 20) -> DataFrame:
+def subtree_entities(g: EventGraph, id_or_name, depth: int | None = None) -> DataFrame:
     return g.participated_in.join(subtree_events(g, id_or_name, depth), "event_id", "left_semi").select("entity_id").distinct()
 
 
 def check_reparent(groups: DataFrame, group_id, new_parent) -> None:
     """Raises ValueError if ``new_parent`` is the group itself or lies below it."""
-    below = descend(groups, groups.where(F.col("id") == group_id).select("id"))
-    if group_id == new_parent or not below.where(F.col("id") == new_parent).isEmpty():
+    within = trees.below(groups, groups.where(F.col("id") == group_id).select("id"))
+    if group_id == new_parent or not within.where(F.col("id") == new_parent).isEmpty():
         raise ValueError(f"{new_parent} is {group_id} or below it")
 
 
@@ -141,22 +143,17 @@ def move_group(groups: DataFrame, group_id, new_parent) -> DataFrame:
     return moved.drop("level").join(tree_levels(moved), "id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
-def tree_levels(groups: DataFrame, depth: int = 20) -> DataFrame:
+def tree_levels(groups: DataFrame) -> DataFrame:
     """``id, level``: 0 at roots and wherever the parent is in another domain, or a cycle leads to no root."""
     g = groups.select("id", "parent_id", "domain")
     parent = g.select(F.col("id").alias("parent_id"), F.col("domain").alias("parent_domain"))
-    inside = g.join(parent, "parent_id", "left").withColumn("up", F.when(F.col("domain") == F.col("parent_domain"), F.col("parent_id")))
-    roots = inside.where("up is null").select("id")
-    levels = descend(inside.select("id", F.col("up").alias("parent_id")), roots, depth).groupBy("id").agg(F.min("depth").alias("level"))
-    return g.select("id").join(levels, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
-
-
-def root_map(groups: DataFrame, depth: int = 20) -> DataFrame:
-    """``id, root``: the topmost ancestor; groups on a cycle are their own."""
-    known = groups.select(F.col("id").alias("parent_id"))
-    roots = groups.select("id", "parent_id").join(known, "parent_id", "left_anti").select("id")
-    found = descend(groups, roots, depth).groupBy("id").agg(F.min("root").alias("root"))
-    return groups.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    inside = g.join(parent, "parent_id", "left").select("id", F.when(F.col("domain") == F.col("parent_domain"), F.col("parent_id")).alias("parent_id"))
+    return trees.places(inside).select("id", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
+
+
+def root_map(groups: DataFrame) -> DataFrame:
+    """``id, root``: the topmost ancestor; groups on a cycle or below one are their own."""
+    return trees.places(groups).select("id", F.coalesce("root", "id").alias("root"))
 
 
 def ancestors(groups: DataFrame, group_id, depth: int = 10) -> DataFrame:

@@ -129,7 +129,7 @@ def fullest_events(spark, sf):
 select entity_id, count(distinct event_id) as n_events, count(distinct coalesce(g.parent_id, g.id)) as n_roots from pi join evl on event_id = evl.id join mo using (event_id) join grp g on g.id = group_id group by 1) join ent on ent.id = entity_id order by n_events desc, entity_id limit 50""")
 def hub_candidates(spark, sf):
     g = graph(spark, sf)
-    return A.hub_candidates(g, T.root_map(g.groups, 3))
+    return A.hub_candidates(g, T.root_map(g.groups))
 
 
 @query("select id as group_id, name, count(distinct event_id) as n_events from grp left join mo on group_id = id where source in ('forced', 'autotag') group by 1, 2 order by 3 desc, 1 limit 200")
@@ -327,22 +327,22 @@ def ego_subgraph(spark, sf):
 
 @query("select distinct event_id from mo where group_id in (select id from grp where id = 'r1' or parent_id = 'r1')")
 def tag_subtree_events(spark, sf):
-    return T.subtree_events(graph(spark, sf), "r1", 4)
+    return T.subtree_events(graph(spark, sf), "r1")
 
 
 @query("select distinct entity_id from pi where event_id in (select event_id from mo where group_id in (select id from grp where id = 'r2' or parent_id = 'r2'))")
 def tag_subtree_entities(spark, sf):
-    return T.subtree_entities(graph(spark, sf), "r2", 4)
+    return T.subtree_entities(graph(spark, sf), "r2")
 
 
 @query("select id, cast(case when parent_id is null then 0 else 1 end as int) as level from grp")
 def tag_levels(spark, sf):
-    return T.tree_levels(graph(spark, sf).groups, 4)
+    return T.tree_levels(graph(spark, sf).groups)
 
 
 @query("select id, coalesce(parent_id, id) as root from grp")
 def tag_roots(spark, sf):
-    return T.root_map(graph(spark, sf).groups, 4)
+    return T.root_map(graph(spark, sf).groups)
 
 
 @query("select id, cast(case when id = 'n5' then 0 else 1 end as int) as distance from grp where id = 'n5' or id = (select parent_id from grp where id = 'n5')")

@@ -44,3 +44,19 @@ def knn_index_recall(spark, sf):
     exact = vi.search_many(index, asked(e), 10).select("query_id", "id")
     few = vi.search_many(index, asked(e), 10, probes=vi.probes_for(index, 0.95)).select("query_id", "id", F.lit(1).alias("found"))
     return exact.join(few, ["query_id", "id"], "left").agg(F.count("*").alias("n_true"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+
+
+@query("""select lang, count(*) filter (text is not null and trim(text) <> '' and text not like 'A%') as made, count(*) filter (trim(text) like 'A%' and text like 'A%') as failed, count(*) filter (text is null or trim(text) = '') as blank from documents group by 1""", prelude=False)
+def backfill_isolated(spark, sf):
+    """Vectors for all documents by a function that fails for whole batches in which a text begins with an A."""
+    from ..operators.backfill import backfill
+
+    def embed(texts):
+        if any(t.startswith("A") for t in texts):
+            raise ValueError("no text may begin with an A")
+        return [[float(len(t))] for t in texts]
+
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text", F.lit(None).cast("array<float>").alias("embedding"))
+    out, failed = backfill(rows, embed, F.col("text"), "doc_id", batch=16)
+    n = out.join(failed.withColumnRenamed("id", "doc_id"), "doc_id", "left").groupBy("lang")
+    return n.agg(F.count("embedding").alias("made"), F.count("error").alias("failed"), F.count_if(F.col("embedding").isNull() & F.col("error").isNull()).alias("blank"))

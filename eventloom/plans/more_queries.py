@@ -59,7 +59,7 @@ def representative_events(spark, sf):
 def scoped_explore(spark, sf):
     """Communities of the entities below one region, at a higher resolution."""
     g = graph(spark, sf)
-    scope = T.subtree_entities(g, "n1", 2)
+    scope = T.subtree_entities(g, "n1")
     return C.cluster(T.entity_graph(g, scope_ids=scope), resolution=1.5)
 
 

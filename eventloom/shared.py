@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,6 +36,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def counted_write(df: DataFrame, name: str, **measures) -> tuple[DataFrame, dict]:
+    """``written`` with aggregates of the rows, taken while they are written and not by a job of their own."""
+    seen = Observation()
+    out = written(df.observe(seen, *(c.alias(k) for k, c in measures.items())), name)
+    return out, seen.get
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``written`` that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.codec import source_hash
 from ..graph import KEYS, SCHEMAS, EventGraph
+from ..operators.trees import import_waves
+from ..shared import shared_root
 
 VERSION = "1.0"
 # Where each table stands in an archive.
@@ -119,6 +121,15 @@ def import_archive(g: EventGraph, root: str, strategy: str = "skip", mode: str =
     return g.with_tables(**{n: merge(getattr(g, n), read_table(g.spark, root, n, {"visibility": "public"}), KEYS[n], strategy) for n in names})
 
 
+def in_parent_order(g: EventGraph, root: str, name: str) -> DataFrame:
+    """An archive's rows of a tree table (``groups``, ``context_groups``) with ``wave`` and ``problem``.
+
+    Spark writes a table at once. A store that checks parents row by row takes the waves one after the other: a wave's parents
+    are stored or in an earlier one. Rows on cycles, with parents that are nowhere, or below such, have a problem instead.
+    """
+    return import_waves(getattr(g, name).select("id"), read_table(g.spark, root, name, {"visibility": "public"}))
+
+
 def pack_tar(folder: str, to: str) -> None:
     """A local archive folder as one reproducible tar.gz; a step of the driver, for exchange of small domains."""
     def plain(info: tarfile.TarInfo) -> tarfile.TarInfo:
