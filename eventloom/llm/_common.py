@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,19 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``, giving freed memory back to the system at the end of a task: workers are kept for later tasks,
+    and a C library keeps what they freed."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, tidy
 from .textfeat import mix, slices
 
 DIMS, BITS, HASHED = 3, 10, 64
@@ -170,7 +170,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end: int, bounds
                 salt += j - i
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(place), pa.array(np.searchsorted(bounds, place).astype(np.int32)), pa.array(ids, pa.binary())], names=["doc_id", "place", "part", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place long, part int, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, place long, part int, ids binary")
 
 
 def range_bounds(documents: DataFrame, tokenizer_path: str, end: int, parts: int, least: int = 4000) -> np.ndarray:
@@ -203,7 +203,7 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end: int =
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(documents, tokenizer_path, end, parts)
     along = encode_documents(documents, tokenizer_path, end, bounds).repartitionById(parts, F.col("part")).sortWithinPartitions("place").select("doc_id", "ids")
-    placed = materialize(along.mapInArrow(place, f"doc_id {kind}, part long, first long, n long, ids binary"), "packed")
+    placed = materialize(along.mapInArrow(tidy(place), f"doc_id {kind}, part long, first long, n long, ids binary"), "packed")
     before, total = {}, 0
     for r in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row a partition
         before[r["part"]], total = total, total + r["n"]
@@ -223,4 +223,4 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end: int =
                     start += length
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whose, pa.int64())), *(pa.array(out[k], pa.int64()) for k in names)], names=["doc_id", *names])
 
-    return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(tidy(cut), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, tidy
 from .components import connected_components
 from .textfeat import LOWER, SPACED, mix, slices, span_hashes, word_spans
 
@@ -139,7 +139,7 @@ def describe(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         if held:
             yield frequent()
 
-    facts = materialize(documents.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {kind}, body long, n_shingles long, fp long, gram long"), "sets")
+    facts = materialize(documents.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(tidy(run), f"doc_id {kind}, body long, n_shingles long, fp long, gram long"), "sets")
     often = facts.where("gram is not null").groupBy("gram").agg(F.sum("n_shingles").alias("df")).where(F.col("df") >= FREQUENT)
     return facts.where("gram is null").drop("gram"), often
 
@@ -202,7 +202,7 @@ def heads(documents: DataFrame, frequencies: Frequencies, n: int, percent: int)
                 lists = pa.array([x.tobytes() for x in np.split(gram, first[1:])] if len(r) else [], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(key[r]), pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.array((rare[r] * 1_000_000 // np.maximum(size[r], 1)).astype(np.int32)), lists], names=names)
 
-    return documents.select("text").mapInArrow(run, "gram long, fp long, size int, rank int, often binary")
+    return documents.select("text").mapInArrow(tidy(run), "gram long, fp long, size int, rank int, often binary")
 
 
 def met(heads_: DataFrame, percent: int) -> DataFrame:
@@ -284,7 +284,7 @@ def met(heads_: DataFrame, percent: int) -> DataFrame:
         if pairs:
             yield counted(pairs)
 
-    return heads_.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(run, "kind int, a long, b long, n long, least long")
+    return heads_.repartition("gram").sortWithinPartitions("gram", "fp").mapInArrow(tidy(run), "kind int, a long, b long, n long, least long")
 
 
 def sets_at(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -318,7 +318,7 @@ def measured(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 out[:, k] = len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v) for v in out)], names=["a", "b", "m", "q", "both"])
 
-    return with_texts(pairs, texts).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, m long, q long, both long")
+    return with_texts(pairs, texts).select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long, m long, q long, both long")
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -393,7 +393,7 @@ def differences(members_: DataFrame, texts: DataFrame, frequencies: Frequencies,
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, fp[k], m[k], pos.astype(np.int64), apart[k], weight[k], comp[k], home.astype(np.int64))] + [bits], names=names)
 
     rows = with_texts(members_, texts).select("a", "b", "m", "apart", "weight", "comp", "own", "cells", "ta", "tb")
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", bits binary")
+    return rows.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in names[:-1]) + ", bits binary")
 
 
 def cells(lists: DataFrame) -> DataFrame:
@@ -493,7 +493,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
         yield once(pairs)
 
     dealt = cells(lists).select("gram", "x", "y", "fp", "size", "pos", "apart", "weight", "comp", "home", "bits", "own")
-    return dealt.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import labelled_texts, one_label, stratified_sample
+from ._common import labelled_texts, one_label, stratified_sample, tidy
 from .textfeat import LOWER, WORD, mix, slices, span_hashes, word_spans
 
 BUCKETS = 1 << 17
@@ -132,7 +132,7 @@ def score_toxicity(documents: DataFrame, model: tuple[np.ndarray, float], locate
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "score", "offending"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
 
 
 def flag_toxic(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
@@ -146,4 +146,4 @@ def flag_toxic(documents: DataFrame, model: tuple[np.ndarray, float], threshold:
             score, _ = score_batch(b.column(at), given.value, bias, 2.0)
             yield b.filter(pa.array(score < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
