@@ -526,13 +526,38 @@ def test_labels_that_contradict_and_repeat(spark):
         assert got[0] == ["a", "x"] and list(got[1]) == [0, 1]
 
 
-def test_pipeline(spark, docs):
-    """Documents of the result: no toxic word lists it learned, one per group, every id in its place."""
-    out = corpus_pipeline.run(spark, DATA)
-    place = 0
-    for r in out.orderBy("sequence_id", "offset").collect():
+def test_pipeline(spark):
+    """Stage by stage: most labelled toxic documents go and others stay, one of each group stays, no secret is left and clean texts are as
+    they were, sources give what a plain bisection says, and the packing holds exactly what the mix kept."""
+    data = "/root/testdata/sf0.01"  # the smallest tables have eleven toxic documents, too few to learn from
+    told = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    at, held = spark.read.parquet(f"{data}/documents.parquet"), {}
+    docs = [(r["doc_id"], r["text"]) for r in at.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        at = _common.materialize(stage(spark, at, data), name)
+        held[name] = {r["doc_id"]: r for r in at.collect()} if name != "pack" else at.orderBy("sequence_id", "offset").collect()
+    toxic, fine = [i for i, t in told.items() if t == 1], [i for i, t in told.items() if t == 0]
+    assert sum(i in held["toxicity"] for i in toxic) <= 0.3 * len(toxic) and sum(i in held["toxicity"] for i in fine) >= 0.99 * len(fine)  # from 45 toxic examples
+    texts = dict(docs)
+    ids = sorted(held["toxicity"])
+    group = union_find(len(ids), [p for p in similar_pairs([shingles(texts[i]) for i in ids]) if shingles(texts[ids[p[0]]])])
+    assert sorted(held["near_duplicates"]) == sorted({ids[g] for g in group})
+    for i, r in held["secrets"].items():
+        assert base_spans(r["text"]) == [] and (base_spans(texts[i]) or "SECRET" in r["text"] or "EXAMPLE" in r["text"] or r["text"] == texts[i])
+    rows = [(i, r["text"], r["source"]) for i, r in held["secrets"].items()]
+    total = sum(len((t or "").split()) for _, t, _ in rows)
+    tokens, want = plain_mix(rows, int(total * 0.9), repetition=1.0)
+    for source, w in want.items():
+        sizes = [len(r["text"].split()) for r in held["mix"].values() if r["source"] == source]
+        longest = max(len((t or "").split()) for _, t, x in rows if x == source)
+        budget = min(tokens[source], w * int(total * 0.9))
+        assert budget - longest - 1 <= sum(sizes) <= budget + max(1.0, tokens[source] * 1e-6)
+    place, parts = 0, {}
+    for r in held["pack"]:
         assert r["sequence_id"] * 2048 + r["offset"] == place
         place += r["length"]
-    sets = {i: shingles(t) for i, t, *_ in docs}
-    kept = sorted({r["doc_id"] for r in out.select("doc_id").distinct().collect()})
-    assert not [p for p in similar_pairs([sets[i] for i in kept]) if sets[kept[p[0]]]]
+        parts.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert set(parts) == set(held["mix"])
+    for own in parts.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n, _), (b, *_) in zip(own, own[1:], strict=False)) and sum(n for _, n, _ in own) == own[0][2]
