@@ -24,7 +24,10 @@ SCHEMAS = {
     "community_assignment": "run_id STRING, node_kind STRING, node_id STRING, community_id BIGINT",
     "build_file_manifest": "id BIGINT, domain STRING, file_path STRING, file_hash STRING, segment_count INT, build_id STRING, built_at STRING, source_root STRING, status STRING, stage_state STRING",
     "build_segment_manifest": "id BIGINT, domain STRING, file_path STRING, segment_key STRING, segment_index INT, segment_hash STRING, vector_id STRING, old_vector_id STRING, event_id STRING, build_id STRING, built_at STRING, status STRING, stage_state STRING",
-    "context_groups": "id STRING, name STRING, domain STRING, stage STRING, parent_id STRING, order_index BIGINT, created_at TIMESTAMP_NTZ",
+    "context_groups": "id STRING, name STRING, domain STRING, stage STRING, parent_id STRING, order_index BIGINT, created_at TIMESTAMP_NTZ, cluster_source STRING, plan_id STRING, plan_stage STRING, expected_entities STRING, abandon_reason STRING, template_id STRING, transition_pattern STRING, source_cg_ids STRING, instance_count BIGINT",
+    "event_template_groups": "id STRING, name STRING, domain STRING, transition_pattern STRING, structure_description STRING, entity_list STRING, confidence DOUBLE, instance_count BIGINT, created_at TIMESTAMP_NTZ",
+    "plan_nodes": "id STRING, plan_id STRING, etg_id STRING, domain STRING, name STRING, stage STRING, objective_summary STRING, structure_description STRING, entity_ids STRING, entity_summary STRING, order_index BIGINT, realized_event_id STRING, parent_id STRING, abandon_reason STRING, created_at TIMESTAMP_NTZ",
+    "plan_direction_nodes": "id STRING, plan_id STRING, domain STRING, goal_text STRING, stage STRING, entity_ids STRING, entity_summary STRING, order_index BIGINT, realized_event_id STRING, abandon_reason STRING, created_at TIMESTAMP_NTZ",
     "context_edges": "source_id STRING, source_kind STRING, target_id STRING, target_kind STRING, rel STRING, order_index BIGINT",
     "entity_alias": "entity_id_a STRING, entity_id_b STRING, relation STRING, confidence DOUBLE, asserted_by STRING, asserted_at TIMESTAMP_NTZ",
 }
@@ -34,7 +37,7 @@ KEYS = {
     "entities": ["id"], "events": ["id"], "groups": ["id"], "participated_in": ["entity_id", "event_id"], "event_member_of": ["event_id", "group_id"],
     "event_sequential_next": ["prev_id", "next_id", "source"], "entity_connection": ["a_id", "b_id"], "event_jaccard_connected": ["a_id", "b_id"],
     "content_store": ["content_id"], "train_run": ["id"], "community_assignment": ["run_id", "node_kind", "node_id"], "build_file_manifest": ["id"],
-    "build_segment_manifest": ["id"], "context_groups": ["id"], "context_edges": ["source_id", "target_id", "rel"], "entity_alias": ["entity_id_a", "entity_id_b", "relation"],
+    "build_segment_manifest": ["id"], "context_groups": ["id"], "event_template_groups": ["id"], "plan_nodes": ["id"], "plan_direction_nodes": ["id"], "context_edges": ["source_id", "target_id", "rel"], "entity_alias": ["entity_id_a", "entity_id_b", "relation"],
 }
 
 

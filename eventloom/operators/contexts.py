@@ -21,13 +21,17 @@ def stage_of(members: Column) -> Column:
     return out
 
 
-def put_groups(g: EventGraph, rows: DataFrame) -> EventGraph:
-    """Create groups, or set the columns that ``rows`` (one row per ``id``) has where it is not null; all others stay."""
+def put_rows(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Create rows, or set the columns that ``rows`` (one row per ``id``) has where it is not null; all others stay."""
     given = [c for c in rows.columns if c != "id"]
     new = rows.select("id", *(F.col(c).alias(f"_{c}") for c in given))
-    both = g.context_groups.join(new, "id", "full_outer")
+    both = table.join(new, "id", "full_outer")
     value = lambda f: F.coalesce(F.col(f"_{f.name}").cast(f.dataType), F.col(f.name)) if f.name in given else F.col(f.name)
-    return g.with_tables(context_groups=both.select(*(value(f).alias(f.name) for f in g.context_groups.schema)))
+    return both.select(*(value(f).alias(f.name) for f in table.schema))
+
+
+def put_groups(g: EventGraph, rows: DataFrame) -> EventGraph:
+    return g.with_tables(context_groups=put_rows(g.context_groups, rows))
 
 
 def link(g: EventGraph, edges: DataFrame) -> EventGraph:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytic_queries, delta_queries, index_queries, lookup_queries, more_queries, tree_queries, write_queries  # noqa: F401  they register themselves
+from . import analytic_queries, chain_queries, delta_queries, index_queries, lookup_queries, more_queries, object_queries, tree_queries, write_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,7 +18,7 @@ from ..shared import shared_root
 
 VERSION = "1.0"
 # Where each table stands in an archive.
-PLACES = {"entities": "db", "events": "db", "groups": "db", "content_store": "db", "participated_in": "db/edges", "event_member_of": "db/edges", "event_sequential_next": "db/edges", "entity_connection": "db/derived", "event_jaccard_connected": "db/derived", "train_run": "db/derived", "community_assignment": "db/derived", "build_file_manifest": "db", "build_segment_manifest": "db", "context_groups": "db/plan", "context_edges": "db/plan", "entity_alias": "db/edges"}
+PLACES = {"entities": "db", "events": "db", "groups": "db", "content_store": "db", "participated_in": "db/edges", "event_member_of": "db/edges", "event_sequential_next": "db/edges", "entity_connection": "db/derived", "event_jaccard_connected": "db/derived", "train_run": "db/derived", "community_assignment": "db/derived", "build_file_manifest": "db", "build_segment_manifest": "db", "context_groups": "db/plan", "event_template_groups": "db/plan", "plan_nodes": "db/plan", "plan_direction_nodes": "db/plan", "context_edges": "db/plan", "entity_alias": "db/edges"}
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
@@ -56,9 +56,9 @@ def of_domain(g: EventGraph, domain: str) -> EventGraph:
     """Everything of a domain: its nodes and manifests, edges with both ends among the nodes, assignments and context edges
     of them, and the runs of the domain together with all runs that its assignments name."""
     have = lambda *names: [n for n in names if n in g.tables]
-    out = {n: g.tables[n].where(F.col("domain") == domain) for n in have("entities", "events", "groups", "content_store", "build_file_manifest", "build_segment_manifest", "context_groups")}
+    out = {n: g.tables[n].where(F.col("domain") == domain) for n in have("entities", "events", "groups", "content_store", "build_file_manifest", "build_segment_manifest", "context_groups", "event_template_groups", "plan_nodes", "plan_direction_nodes")}
     node = lambda table: (out[table] if table in out else getattr(g, table).where("false")).select("id")
-    ids = {kind: node(table) for kind, table in (("entity", "entities"), ("event", "events"), ("group", "groups"), ("context", "context_groups"))}
+    ids = {kind: node(table) for kind, table in (("entity", "entities"), ("event", "events"), ("group", "groups"), ("context", "context_groups"), ("plan", "plan_nodes"), ("direction", "plan_direction_nodes"))}
     for n in have(*ENDS):
         df = g.tables[n]
         for column, kind in ENDS[n].items():
@@ -69,8 +69,8 @@ def of_domain(g: EventGraph, domain: str) -> EventGraph:
         out[n] = of[0].union(of[1])
     for n in have("context_edges"):
         kind = F.trim("source_kind")
-        of = [g.tables[n].where(kind == code).join(ids[k].withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(*g.tables[n].columns) for code, k in (("EVT", "event"), ("CG", "context"))]
-        out[n] = of[0].union(of[1])
+        of = [g.tables[n].where(kind == code).join(ids[k].withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(*g.tables[n].columns) for code, k in (("EVT", "event"), ("CG", "context"), ("PLN", "plan"), ("DIR", "direction"))]
+        out[n] = of[0].union(of[1]).union(of[2]).union(of[3])
     for n in have("train_run"):
         named = out["community_assignment"].select(F.col("run_id").alias("id")).distinct().withColumn("_named", F.lit(True)) if "community_assignment" in out else g.train_run.where("false").select("id", F.lit(True).alias("_named"))
         out[n] = g.tables[n].join(named, "id", "left").where((F.col("domain") == domain) | F.coalesce("_named", F.lit(False))).select(*g.tables[n].columns)
