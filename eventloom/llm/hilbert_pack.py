@@ -28,20 +28,27 @@ from ._common import materialize, tidy
 from .textfeat import mix, slices
 
 DIMS, BITS, HASHED = 3, 10, 64
-#: Whitespace-separated chunks and words whose ids a worker remembers at most.
-CHUNKS, WORDS = 400_000, 700_000
+#: Whitespace-separated chunks of odd texts and words whose ids a worker remembers at most.
+CHUNKS, WORDS = 200_000, 700_000
 #: Pieces that the tokenizer takes one by one, in texts of ASCII and accented Latin letters.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e0-9]+")
-#: What those texts consist of, lower-cased; any other chunk goes to the tokenizer whole.
-SIMPLE = re.compile(r"[!-;=-~\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e]+")
-_workers: dict[str, ChunkEncoder] = {}
-
-
-class ChunkEncoder:
-    """Ids of texts for tokenizers that drop white space and mark word ends, with a bounded memory of chunks and words.
-
-    Texts are split at ASCII white space. A new chunk is cut into the pieces that the tokenizer would merge separately,
-    and only pieces not seen before are encoded, many at a time: the word-end mark on ids tells them apart again.
+#: What those texts consist of, lower-cased, beside white space; of other texts any other chunk goes to the tokenizer whole.
+SIMPLE = re.compile(r"[!-;=-~\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e\t-\r ]*")
+#: Texts by which a worker finds out whether its tokenizer cuts as assumed here.
+PROBES = [
+    "It's what we're SURE they'll've don't I'd 'S ''s s'", "foo-bar  x1234\t3.14 (a+b)=c; \"quoted\"... A.B.C. _under_ 100% ~`^|\\", "\n \u00c4\u00d6 stra\u00dfe na\u00efve \u010de\u0161tina \u0141\u00d3D\u0179\r\n",
+    "http://a.b/c?d=e&f=1 @user #tag $5 {x} [y] <b>bold</b> <w/>", "\u4e2d\u6587 \u043f\u0440\u0438\u0432\u0435\u0442 e\u0301 \u0130stanbul caf\u00e9\u2014\u201cx\u201d", "", " ",
+]
+_workers: dict[str, PieceEncoder] = {}
+
+
+class PieceEncoder:
+    """Ids of texts for tokenizers that drop white space and mark word ends, with a bounded memory of words and chunks.
+
+    Simple texts are cut into the pieces that the tokenizer would merge separately, and only pieces not seen before are
+    encoded, many at a time: the word-end mark on ids tells them apart again. Other texts are split at ASCII white space, and
+    chunks that are not simple go to the tokenizer whole. Both are tried on a few texts first: a tokenizer that cuts otherwise
+    gets whole chunks, or whole texts if white space matters to it.
     """
 
     def __init__(self, path: str):
@@ -53,57 +60,61 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-
-    def learn_words(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        probes = [p.encode() for p in PROBES]
+        truth = [x + bytes(4) for x in self.whole(probes)]
+        for self.by in ("pieces", "chunks", "texts"):
+            if self.encode(probes, 0) == truth:
+                break
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)] if texts else []
+
+    def learn_words(self, found: set[str]) -> None:
+        """Makes all words of ``found`` known. When the memory is full, only what this batch uses is kept: mostly the frequent ones."""
+        new = [*found.difference(self.words)]
+        if len(self.words) + len(new) > WORDS:
+            self.words = {w: self.words[w] for w in found if w in self.words}
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(part):  # not one piece a word: encode one by one
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.words[w] = np.array(e.ids, "<u4").tobytes()
+                self.words.update(zip(part, self.whole([w.encode() for w in part]), strict=True))
                 continue
             raw, last = ids.tobytes(), (4 * last).tolist()
             self.words.update(zip(part, [raw[p:q] for p, q in zip([0, *last], last, strict=False)], strict=True))
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Makes all of ``chunks`` known. When the memory is full, only what this batch uses is kept: mostly the frequent ones."""
-        new = chunks.difference(self.known)
+    def pieces_of(self, text: bytes) -> list[str] | None:
+        """The pieces of a simple text."""
+        given = text.decode()
+        t = given.lower()
+        return PIECES.findall(t) if self.by == "pieces" and len(t) == len(given) and SIMPLE.fullmatch(t) else None
+
+    def learn_chunks(self, found: set[bytes]) -> None:
+        new = found.difference(self.known)
         if len(self.known) + len(new) > CHUNKS:
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
-        plain = [c for c in new if c.isalpha()]  # ASCII letters only: one piece
-        stopped = [c for c in new if c[-1] in b".," and c[:-1].isalpha()]  # and a full stop or comma: two
-        lower = [c.decode().lower() for c in plain]
-        heads = [c[:-1].decode().lower() for c in stopped]
-        cut, whole, fresh = {}, [], {".", ",", *lower, *heads}
-        for c in new.difference(plain, stopped):
-            given = c.decode()
-            t = given.lower()
-            if len(t) == len(given) and SIMPLE.fullmatch(t):
-                cut[c] = pieces = PIECES.findall(t)
-                fresh.update(pieces)
-            else:
-                whole.append(c)
-        if len(self.words) + len(fresh) > WORDS:
-            self.words = {w: self.words[w] for w in fresh if w in self.words}
-        words, known = self.words, self.known
-        self.learn_words([*fresh.difference(words)])
-        known.update(zip(plain, map(words.__getitem__, lower), strict=True))
-        known.update((c, words[h] + words[chr(c[-1])]) for c, h in zip(stopped, heads, strict=True))
-        known.update((c, b"".join([words[w] for w in pieces])) for c, pieces in cut.items())
-        for c, e in zip(whole, self.tokenizer.encode_batch([c.decode() for c in whole], add_special_tokens=False) if whole else [], strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+            self.known = {c: self.known[c] for c in found if c in self.known}
+        cut = {c: self.pieces_of(c) for c in new}
+        self.learn_words(set().union(*(p for p in cut.values() if p is not None)))
+        odd = [c for c, p in cut.items() if p is None]
+        self.known.update((c, b"".join([self.words[w] for w in p])) for c, p in cut.items() if p is not None)
+        self.known.update(zip(odd, self.whole(odd), strict=True))
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        split, stop = [t.split() for t in texts], end.to_bytes(4, "little")
-        self.learn(set().union(*split))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, s)) + stop for s in split]
-
-
-def encoder(path: str) -> ChunkEncoder:
+        stop = end.to_bytes(4, "little")
+        if self.by == "texts":
+            return [x + stop for x in self.whole(texts)]
+        cut = [self.pieces_of(t) for t in texts]
+        odd = {k: t.split() for k, (t, p) in enumerate(zip(texts, cut, strict=True)) if p is None}
+        self.learn_chunks(set().union(*odd.values()))
+        self.learn_words(set().union(*(p for p in cut if p is not None)))
+        word, chunk = self.words.__getitem__, self.known.__getitem__
+        return [(b"".join(map(chunk, odd[k])) if p is None else b"".join(map(word, p))) + stop for k, p in enumerate(cut)]
+
+
+def encoder(path: str) -> PieceEncoder:
     if path not in _workers:
-        _workers[path] = ChunkEncoder(path)
+        _workers[path] = PieceEncoder(path)
     return _workers[path]
 
 
