@@ -31,7 +31,7 @@ DIMS, BITS, HASHED = 3, 10, 64
 #: Whitespace-separated chunks of odd texts and words whose ids a worker remembers at most.
 CHUNKS, WORDS = 200_000, 700_000
 #: Pieces that the tokenizer takes one by one, in texts of ASCII and accented Latin letters.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e]+|[0-9]|[^\sa-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e0-9]+")
+PIECES = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e0-9]+")
 #: What those texts consist of, lower-cased, beside white space; of other texts any other chunk goes to the tokenizer whole.
 SIMPLE = re.compile(r"[!-;=-~\u00df-\u00f6\u00f8-\u00ff\u0101\u0107\u010d\u0119\u0142\u0144\u0153\u015b\u0161\u017c\u017e\t-\r ]*")
 #: Texts by which a worker finds out whether its tokenizer cuts as assumed here.
