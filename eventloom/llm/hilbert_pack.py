@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +38,7 @@ PROBES = [
     "It's what we're SURE they'll've don't I'd 'S ''s s'", "foo-bar  x1234\t3.14 (a+b)=c; \"quoted\"... A.B.C. _under_ 100% ~`^|\\", "\n \u00c4\u00d6 stra\u00dfe na\u00efve \u010de\u0161tina \u0141\u00d3D\u0179\r\n",
     "http://a.b/c?d=e&f=1 @user #tag $5 {x} [y] <b>bold</b> <w/>", "\u4e2d\u6587 \u043f\u0440\u0438\u0432\u0435\u0442 e\u0301 \u0130stanbul caf\u00e9\u2014\u201cx\u201d", "", " ",
 ]
-_workers: dict[str, PieceEncoder] = {}
+_workers: dict[tuple[str, int], PieceEncoder] = {}
 
 
 class PieceEncoder:
@@ -51,7 +50,7 @@ class PieceEncoder:
     gets whole chunks, or whole texts if white space matters to it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,14 +59,18 @@ class PieceEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
+        self.end, self.width = end, 2 if max(end, len(self.ends) - 1) < 1 << 16 else 4
         probes = [p.encode() for p in PROBES]
-        truth = [x + bytes(4) for x in self.whole(probes)]
+        truth = [x + self.bytes_of([end]) for x in self.whole(probes)]
         for self.by in ("pieces", "chunks", "texts"):
-            if self.encode(probes, 0) == truth:
+            if self.encode(probes) == truth:
                 break
 
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
+
     def whole(self, texts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)] if texts else []
+        return [self.bytes_of(e.ids) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)] if texts else []
 
     def learn_words(self, found: set[str]) -> None:
         """Makes all words of ``found`` known. When the memory is full, only what this batch uses is kept: mostly the frequent ones."""
@@ -76,12 +79,12 @@ class PieceEncoder:
             self.words = {w: self.words[w] for w in found if w in self.words}
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, f"<u{self.width}")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(part):  # not one piece a word: encode one by one
                 self.words.update(zip(part, self.whole([w.encode() for w in part]), strict=True))
                 continue
-            raw, last = ids.tobytes(), (4 * last).tolist()
+            raw, last = ids.tobytes(), (self.width * last).tolist()
             self.words.update(zip(part, [raw[p:q] for p, q in zip([0, *last], last, strict=False)], strict=True))
 
     def pieces_of(self, text: bytes) -> list[str] | None:
@@ -100,8 +103,9 @@ class PieceEncoder:
         self.known.update((c, b"".join([self.words[w] for w in p])) for c, p in cut.items() if p is not None)
         self.known.update(zip(odd, self.whole(odd), strict=True))
 
-    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
-        stop = end.to_bytes(4, "little")
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text and the closing id, little-endian in ``width`` bytes each: two where all ids fit."""
+        stop = self.bytes_of([self.end])
         if self.by == "texts":
             return [x + stop for x in self.whole(texts)]
         cut = [self.pieces_of(t) for t in texts]
@@ -112,10 +116,10 @@ class PieceEncoder:
         return [(b"".join(map(chunk, odd[k])) if p is None else b"".join(map(word, p))) + stop for k, p in enumerate(cut)]
 
 
-def encoder(path: str) -> PieceEncoder:
-    if path not in _workers:
-        _workers[path] = PieceEncoder(path)
-    return _workers[path]
+def encoder(path: str, end: int) -> PieceEncoder:
+    if (path, end) not in _workers:
+        _workers[path, end] = PieceEncoder(path, end)
+    return _workers[path, end]
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -162,7 +166,7 @@ def curve_keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def encode_documents(documents: DataFrame, tokenizer_path: str, end: int, bounds: np.ndarray | None = None) -> DataFrame:
-    """``doc_id``, ``place``, ``part`` and ``ids`` (little-endian unsigned 32-bit) of every row.
+    """``doc_id``, ``place``, ``part``, ``n`` and the ``n`` ``ids`` (little-endian, two or four bytes each) of every row.
 
     ``place`` is the Hilbert key with a salt below it, ``part`` the interval of ``bounds`` that holds it.
     """
@@ -170,18 +174,18 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end: int, bounds
     bounds = np.zeros(0, np.int64) if bounds is None else bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, salt = encoder(tokenizer_path), TaskContext.get().partitionId() << 34
+        enc, salt = encoder(tokenizer_path, end), TaskContext.get().partitionId() << 34
         for b in batches:
             for i, j, raw, at in slices(b.column(1), 1_000_000, 2000):
                 data = raw.tobytes()
-                ids = enc.encode([data[p:q] for p, q in zip(at[:-1], at[1:], strict=True)], end)
-                sizes = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                keys = curve_keys(np.frombuffer(b"".join(ids), "<u4"), sizes)
+                ids = enc.encode([data[p:q] for p, q in zip(at[:-1], at[1:], strict=True)])
+                sizes = np.cumsum([0, *(len(x) // enc.width for x in ids)])
+                keys = curve_keys(np.frombuffer(b"".join(ids), f"<u{enc.width}"), sizes)
                 place = (keys << 32) | (mix(np.arange(salt, salt + j - i, dtype=np.uint64)) >> np.uint64(32)).astype(np.int64)
                 salt += j - i
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(place), pa.array(np.searchsorted(bounds, place).astype(np.int32)), pa.array(ids, pa.binary())], names=["doc_id", "place", "part", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(place), pa.array(np.searchsorted(bounds, place).astype(np.int32)), pa.array(np.diff(sizes)), pa.array(ids, pa.binary())], names=["doc_id", "place", "part", "n", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, place long, part int, ids binary")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, place long, part int, n long, ids binary")
 
 
 def range_bounds(documents: DataFrame, tokenizer_path: str, end: int, parts: int, least: int = 4000) -> np.ndarray:
@@ -192,7 +196,7 @@ def range_bounds(documents: DataFrame, tokenizer_path: str, end: int, parts: int
     rows = documents.count()
     share = min(1.0, max(least, 20 * parts) / max(1, rows))
     some = documents if share == 1 else documents.sample(fraction=share, seed=1)
-    found = encode_documents(some, tokenizer_path, end).select("place", F.octet_length("ids").alias("n")).orderBy("place").toPandas()
+    found = encode_documents(some, tokenizer_path, end).select("place", "n").orderBy("place").toPandas()
     if not len(found):
         return np.zeros(0, np.int64)
     upto = found["n"].cumsum().to_numpy()
@@ -206,14 +210,14 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end: int =
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+            n = b.column(1).to_numpy()
             first = before + np.cumsum(n) - n
             before += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part)), pa.array(first), pa.array(n), b.column(1)], names=["doc_id", "part", "first", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part)), pa.array(first), b.column(1), b.column(2)], names=["doc_id", "part", "first", "n", "ids"])
 
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = range_bounds(documents, tokenizer_path, end, parts)
-    along = encode_documents(documents, tokenizer_path, end, bounds).repartitionById(parts, F.col("part")).sortWithinPartitions("place").select("doc_id", "ids")
+    along = encode_documents(documents, tokenizer_path, end, bounds).repartitionById(parts, F.col("part")).sortWithinPartitions("place").select("doc_id", "n", "ids")
     placed = materialize(along.mapInArrow(tidy(place), f"doc_id {kind}, part long, first long, n long, ids binary"), "packed")
     before, total = {}, 0
     for r in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row a partition
@@ -225,6 +229,7 @@ def pack(documents: DataFrame, tokenizer_path: str, size: int = 2048, end: int =
             whose, out = [], {k: [] for k in names}
             for k, (part, first, n, ids) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
                 place, start = before[part] + first, 0
+                ids = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                 while start < n:
                     seq, offset = divmod(place + start, size)
                     length = min(size - offset, n - start)

@@ -188,8 +188,8 @@ def test_pack_round_trip(spark, docs):
     assert max(used.values()) == 2048 and sum(v < 2048 for v in used.values()) <= 1
 
 
-@pytest.mark.parametrize(("name", "by"), [("word_bpe_49k.json", "pieces"), ("byte_bpe_50k.json", "texts")])
-def test_ids_are_the_tokenizers(name, by, monkeypatch):
+@pytest.mark.parametrize(("name", "by", "end"), [("word_bpe_49k.json", "pieces", 1), ("word_bpe_49k.json", "pieces", 70_000), ("byte_bpe_50k.json", "texts", 1)])
+def test_ids_are_the_tokenizers(name, by, end, monkeypatch):
     """Odd strings, with memories so small that they are emptied often; a tokenizer that keeps white space gets whole texts."""
     monkeypatch.setattr(hilbert_pack, "WORDS", 300)
     monkeypatch.setattr(hilbert_pack, "CHUNKS", 100)
@@ -197,10 +197,10 @@ def test_ids_are_the_tokenizers(name, by, monkeypatch):
     rng = random.Random(4)
     letters = "abcXYZ'sdt re ve ll 019.,-_()<>\t\n \u00e9\u00df\u00c4\u0141\u4e2d\u043f\u0130 \x1c\u2014&#"
     texts = ["", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000))]
-    enc = hilbert_pack.PieceEncoder(path)
-    got = [x for k in range(0, len(texts), 500) for x in enc.encode([t.encode() for t in texts[k : k + 500]], 1)]
+    enc = hilbert_pack.PieceEncoder(path, end)
+    got = [x for k in range(0, len(texts), 500) for x in enc.encode([t.encode() for t in texts[k : k + 500]])]
     assert enc.by == by
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert [np.frombuffer(x, f"<u{enc.width}").tolist() for x in got] == [[*enc.tokenizer.encode(t, add_special_tokens=False).ids, end] for t in texts]
 
 
 def test_hilbert_neighbours():
