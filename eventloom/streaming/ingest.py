@@ -30,7 +30,7 @@ def append_edges(participation: DataFrame, table: str, checkpoint: str):
     """Each micro-batch appends its pair counts as a delta; readers sum the deltas of (a, b). Returns the running query."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        cooccurrence_edges(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        cooccurrence_edges(batch, rows=batch.count()).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
     return participation.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
