@@ -71,3 +71,18 @@ def test_a_micro_batch_is_not_written_by_one_task(spark, tasks_of_100):
     more_queries.streaming_edges(spark, "/root/testdata/sf0.001").collect()
     newest = max(glob.glob(f"{shared.shared_root(spark)[7:]}/edges-*/in"), key=lambda p: __import__("os").stat(p).st_mtime)
     assert len(glob.glob(f"{newest}/*.parquet")) > 20
+
+
+def test_ranking_moves_each_row_a_fixed_number_of_times(spark, monkeypatch):
+    from eventloom.operators import trees
+
+    monkeypatch.setattr(trees, "WHOLE", 100)
+    joined = []
+    real = trees.jumped
+    monkeypatch.setattr(trees, "jumped", lambda now, *a: joined.append(now.count()) or real(now, *a))
+    n = 3_000
+    lists = shared.written(spark.range(n).selectExpr("concat('x', id) as e", "case when id % 1000 <> 999 then concat('x', id + 1) end as next", "id", "id as w", "1L as k"))
+    out = {r["id"]: (r["next"], r["w"], r["k"]) for r in trees.ranked(lists, ["w", "k"]).collect()}
+    end = lambda i: i // 1000 * 1000 + 999
+    assert out == {i: (None, sum(range(i, end(i) + 1)), end(i) - i + 1) for i in range(n)}
+    assert sum(joined) < 6 * n  # doubling alone: ten times
