@@ -86,3 +86,29 @@ def test_ranking_moves_each_row_a_fixed_number_of_times(spark, monkeypatch):
     end = lambda i: i // 1000 * 1000 + 999
     assert out == {i: (None, sum(range(i, end(i) + 1)), end(i) - i + 1) for i in range(n)}
     assert sum(joined) < 6 * n  # doubling alone: ten times
+
+
+def test_components_contract(spark, monkeypatch):
+    """Chains, a star, a cycle, loops, repeated edges and a random graph against a plain walk; links shrink round by round."""
+    import random
+
+    from eventloom.operators import traversal as T
+
+    rng = random.Random(5)
+    rows = [(i, i + 1) for i in range(999)] + [(1500 + rng.randrange(400), 1500 + rng.randrange(400)) for _ in range(300)]
+    rows += [(2000, i) for i in range(2001, 2300)] + [(3000 + i, 3000 + (i + 1) % 50) for i in range(50)] + [(5000, 5000), (7, 8), (8, 7)]
+    written, real = [], T.counted_write
+    monkeypatch.setattr(T, "counted_write", lambda df, name, **m: (lambda out: written.append((name, out[1]["n"])) or out)(real(df, name, **m)))
+    got = {r["id"]: r["component"] for r in T.components(spark.createDataFrame(rows, "a_id long, b_id long")).collect()}
+    least = {x: x for r in rows for x in r if r[0] != r[1]}
+    for _ in range(1000):
+        before = dict(least)
+        for a, b in rows:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    assert got == least
+    links = [n for name, n in written if name == "links"]
+    assert links[-1] == 0 and sum(links) < 2.5 * links[0]  # labels were written and all edges joined again in every round
+    assert T.components(spark.createDataFrame([(1, 1)], "a_id long, b_id long")).count() == 0
