@@ -7,7 +7,7 @@ import tarfile
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,12 +21,13 @@ VERSION = "1.0"
 PLACES = {"entities": "db", "events": "db", "groups": "db", "content_store": "db", "participated_in": "db/edges", "event_member_of": "db/edges", "event_sequential_next": "db/edges", "entity_connection": "db/derived", "event_jaccard_connected": "db/derived", "train_run": "db/derived", "community_assignment": "db/derived", "build_file_manifest": "db", "build_segment_manifest": "db", "context_groups": "db/plan", "event_template_groups": "db/plan", "plan_nodes": "db/plan", "plan_direction_nodes": "db/plan", "context_edges": "db/plan", "entity_alias": "db/edges"}
 
 
-def write_table(df: DataFrame, root: str, name: str) -> None:
-    """JSON lines in parallel files, a ``$header`` line with the columns in one more."""
-    at = f"{root}/{PLACES[name]}/{name}.jsonl"
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(at)
+def write_table(df: DataFrame, root: str, name: str) -> int:
+    """JSON lines in parallel files, a ``$header`` line with the columns in one more. Returns the rows, counted as they are written."""
+    at, seen = f"{root}/{PLACES[name]}/{name}.jsonl", Observation()
+    df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").option("ignoreNullFields", False).json(at)
     header = json.dumps({"$header": {"table": name, "columns": df.columns}})
     df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("append").text(at)
+    return seen.get["n"]
 
 
 def read_table(spark: SparkSession, root: str, name: str, defaults: dict | None = None) -> DataFrame:
@@ -80,9 +81,7 @@ def of_domain(g: EventGraph, domain: str) -> EventGraph:
 def export(g: EventGraph, domain: str, root: str) -> dict:
     """Write a domain's archive; the manifest with row counts and source hash comes last."""
     part = of_domain(g, domain)
-    for name, df in part.tables.items():
-        write_table(df, root, name)
-    counts = {n: df.count() for n, df in part.tables.items()}
+    counts = {name: write_table(df, root, name) for name, df in part.tables.items()}
     manifest = {"version": VERSION, "domain": domain, "row_counts": counts, "source_hash": source_hash(part.events.select("id"), part.entities.select("id")).first()[0]}
     g.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifest.json")
     return manifest
