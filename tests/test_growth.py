@@ -163,3 +163,31 @@ def test_copies_of_a_name_are_no_pairs(spark):
     whole = {(a, b): r for a, b, r in M.fuzzy_candidates(g).collect()}
     assert whole == {(a, b): between.get((first(a), first(b)), 1.0) for a in (r[0] for r in rows[:-2]) for b in (r[0] for r in rows[:-2]) if a < b and (first(a) == first(b) or (first(a), first(b)) in between)}
     assert (200, 300) in between
+
+
+@pytest.mark.parametrize("wide, hub", [(64, 4_000), (3, 4_000), (64, 5), (3, 5), (0, 2)])
+def test_pairs_meet_at_their_first_common_key(spark, monkeypatch, wide, hub):
+    """Two kinds of keys, hubs, events of many keys and of none: all pairs once, with exact overlaps in either kind."""
+    import random
+
+    monkeypatch.setattr(A, "WIDE", wide)
+    monkeypatch.setattr(A, "HUB", hub)
+    rng = random.Random(2)
+    e = {(f"v{i}", rng.randrange(12)) for i in range(40) for _ in range(rng.randrange(6))} | {(f"v{i}", None) for i in range(0, 40, 9)}
+    t = {(f"v{i}", f"g{rng.randrange(9)}") for i in range(0, 50, 2) for _ in range(rng.randrange(1, 7))} | {(f"v{i}", "g0") for i in range(20)}
+    frame = lambda rows, key, kind: spark.createDataFrame(sorted(rows, key=str) * 2, f"event_id string, {key} {kind}")
+    out, found = A.linked_sets({"e": (frame(e, "entity_id", "long"), "entity_id", None), "t": (frame(t, "group_id", "string"), "group_id", None)})
+    assert found == ["e", "t"]
+    got = sorted(tuple(r[c] for c in ("a", "b", "inter_e", "inter_t")) for r in out.collect())
+    of = lambda rows, v: {k for x, k in rows if x == v and k is not None}
+    ids = sorted({r[0] for r in e | t})
+    assert got == [(a, b, n, m) for a in ids for b in ids if a < b for n, m in [(len(of(e, a) & of(e, b)), len(of(t, a) & of(t, b)))] if n or m]
+    one = A.set_overlaps(frame(e, "entity_id", "long"), "entity_id", None).collect()
+    size = lambda v: len({r for r in e if r[0] == v})
+    assert len(one) == sum(n > 0 for *_, n, _ in got) and all(r["uni"] == size(r["a"]) + size(r["b"]) - r["inter"] for r in one)
+
+
+def test_pairs_are_not_shuffled_at_all(spark):
+    rows = [(e, k) for e in range(40) for k in range(5) if (e * 7 + k) % 3]
+    out = A.set_overlaps(spark.createDataFrame(rows, "event_id long, entity_id long"), "entity_id", None)
+    assert "Aggregate" not in plan(out)  # pairs were exchanged to be counted
