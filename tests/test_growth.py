@@ -191,3 +191,18 @@ def test_pairs_are_not_shuffled_at_all(spark):
     rows = [(e, k) for e in range(40) for k in range(5) if (e * 7 + k) % 3]
     out = A.set_overlaps(spark.createDataFrame(rows, "event_id long, entity_id long"), "entity_id", None)
     assert "Aggregate" not in plan(out)  # pairs were exchanged to be counted
+
+
+def test_both_channels_leave_no_key_out(spark):
+    """Orders whose common parts all have more than 28 orders are linked by them."""
+    from pyspark.sql import functions as F
+
+    from eventloom.plans.catalog import QUERIES
+
+    g = order_graph(spark, "/root/testdata/sf0.001")
+    stop = [r["id"] for r in g.entities.where("user_tag = 'stopword'").select("id").collect()]
+    part = g.participated_in.join(g.live("events").select(F.col("id").alias("event_id")), "event_id").where(~F.col("entity_id").isin(stop))
+    often = {r["entity_id"]: sorted(r["e"]) for r in part.groupBy("entity_id").agg(F.collect_set("event_id").alias("e")).where(F.size("e") > 28).collect()}
+    want = {(a, b) for e in often.values() for i, a in enumerate(e) for b in e[i + 1 :]}
+    got = {(r["a_id"], r["b_id"]) for r in QUERIES["jaccard_both_channels"](spark, "/root/testdata/sf0.001").where("entity_intersection > 0").collect()}
+    assert want and want <= got
