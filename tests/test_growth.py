@@ -253,3 +253,13 @@ def test_merged_entities_of_many_events_link_them(spark):
     want = {(a, b) for e in often.values() if len(e) > 60 for a in e for b in e if a < b}
     got = {(r["a_id"], r["b_id"]) for r in DQ.merge_cascade(spark, "/root/testdata/sf0.001").collect()}
     assert want and want <= got
+
+
+def test_a_piece_of_two_million_edges_is_moved_whole(spark):
+    """Such as the parts of sf0.1, by their orders: moved in rounds, they did not settle in minutes."""
+    from eventloom.operators import community as C
+
+    base = shared.written(spark.range(1_050_000).selectExpr("pmod(xxhash64(id, 1), 20000) as a_id", "pmod(xxhash64(id, 2), 20000) as b_id", "1.0d as weight").where("a_id <> b_id"))
+    both = C.undirected_weights(base, ends=True)
+    keys, whole, rounds = C.keyed(both, base)
+    assert rounds == 0 and whole == 2 * base.count() > 2_000_000 and keys.where("key is null").isEmpty()
