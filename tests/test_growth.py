@@ -263,3 +263,13 @@ def test_a_piece_of_two_million_edges_is_moved_whole(spark):
     both = C.undirected_weights(base, ends=True)
     keys, whole, rounds = C.keyed(both, base)
     assert rounds == 0 and whole == 2 * base.count() > 2_000_000 and keys.where("key is null").isEmpty()
+
+
+def test_every_region_is_explored(spark):
+    """All entities with an edge have a community, not those of one nation alone."""
+    from eventloom.operators import traversal as T
+    from eventloom.plans.catalog import QUERIES
+
+    edges = T.entity_graph(order_graph(spark, "/root/testdata/sf0.001"))
+    want = {r["id"] for r in edges.selectExpr("a_id as id").union(edges.selectExpr("b_id")).distinct().collect()}
+    assert {r["id"] for r in QUERIES["scoped_explore"](spark, "/root/testdata/sf0.001").collect()} == want
