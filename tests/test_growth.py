@@ -273,3 +273,20 @@ def test_every_region_is_explored(spark):
     edges = T.entity_graph(order_graph(spark, "/root/testdata/sf0.001"))
     want = {r["id"] for r in edges.selectExpr("a_id as id").union(edges.selectExpr("b_id")).distinct().collect()}
     assert {r["id"] for r in QUERIES["scoped_explore"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def wrote_in(spark, monkeypatch, run):
+    """Names of what ``MG`` writes while ``run`` takes a small graph with vectors of its events."""
+    wrote, real, also = [], MG.written, MG.counted_write
+    monkeypatch.setattr(MG, "written", lambda df, name="table": wrote.append(name) or real(df, name))
+    monkeypatch.setattr(MG, "counted_write", lambda df, name, **m: wrote.append(name) or also(df, name, **m))
+    part = [("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("c", "9")]
+    g = MG.EventGraph(spark, {"events": spark.createDataFrame([(k, False) for k in "129"], "id string, deprecated boolean"), "entities": spark.createDataFrame([(k, False) for k in "abc"], "id string, deprecated boolean"), "participated_in": spark.createDataFrame(part, "entity_id string, event_id string")})
+    return run(g, spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.0, 1.0])], "event_id string, embedding array<double>")), wrote
+
+
+def test_centroids_follow_merges_without_pair_counts(spark, monkeypatch):
+    ask = spark.createDataFrame([("b", "a")], "id string, canonical string")
+    state, wrote = wrote_in(spark, monkeypatch, lambda g, v: MG.merge(MG.begin(g, None, v, similarity=False), ask, "r", vectors=v))
+    assert {r["entity_id"]: (r["n"], r["coherence"]) for r in D.centroids_of(state.centroids, "entity_id").collect()} == {"a": (2, pytest.approx(0.5**0.5)), "c": (1, 1.0)}
+    assert not {"pairs", "connection", "events"} & set(wrote)  # pairs of all participation were counted, vectors or not
