@@ -290,3 +290,15 @@ def test_centroids_follow_merges_without_pair_counts(spark, monkeypatch):
     state, wrote = wrote_in(spark, monkeypatch, lambda g, v: MG.merge(MG.begin(g, None, v, similarity=False), ask, "r", vectors=v))
     assert {r["entity_id"]: (r["n"], r["coherence"]) for r in D.centroids_of(state.centroids, "entity_id").collect()} == {"a": (2, pytest.approx(0.5**0.5)), "c": (1, 1.0)}
     assert not {"pairs", "connection", "events"} & set(wrote)  # pairs of all participation were counted, vectors or not
+
+
+def test_a_reversal_writes_participation_once(spark, monkeypatch):
+    ask = spark.createDataFrame([("b", "a")], "id string, canonical string")
+
+    def run(g, _):
+        state = MG.merge(MG.begin(g, None, similarity=False), ask, "r")
+        return MG.unmerge(state, ask.select("id"))
+
+    state, wrote = wrote_in(spark, monkeypatch, run)
+    assert sorted(tuple(r) for r in state.graph.participated_in.collect()) == [("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("c", "9")]
+    assert wrote.count("participation") == 3 and not {"pairs", "connection", "events", "leave", "moves"} & set(wrote)
